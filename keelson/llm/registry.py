@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from keelson.llm import byte_bpe, exact_dedup, packing, token_files
+from keelson.llm import byte_bpe, exact_dedup, packing, simhash, token_files, topk, warc_zip
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_warc_zip": warc_zip.op3_warc_zip,
         "op6_packing": packing.op6_packing,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
+        "op8_simhash": simhash.op8_simhash,
+        "op9_topk": topk.op9_topk,
         "op10_token_files": token_files.op10_token_files,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op3_warc_zip": warc_zip.OP3_SQL, "op9_topk": topk.OP9_SQL}
