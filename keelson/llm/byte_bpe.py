@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from keelson.llm.common import as_text, pieces_of, quiet_collector, table, text_rows
+from keelson.llm.token_ids import cut_at_spaces
 
 NEVER = 1 << 62
 
@@ -51,13 +52,16 @@ class MergeTransducer:
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         #: tokens that merging their own bytes gives; another can only be a whole match
         self.sound = {t for t in ranks if len(t) == 1 or self.merged(t) == [t]}
+        self.code = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
+        self.once: set[int] = set()
         self.reset()
 
     def reset(self) -> None:
         #: (last token emitted, tail) by number, its number, and its transitions; 0 is the start
+        self.once.clear()
         self.states: list[tuple[bytes, bytes]] = [(b"", b"")]
         self.numbers: dict[tuple, int] = {self.states[0]: 0}
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
+        self.moves: list[dict[int, tuple[int, bytes]]] = [{}]
         #: of each state, for each place in its tail, the last token there
         self.chains: list[list[bytes]] = [[b""]]
         self.tails: list[bytes] = [b""]
@@ -83,7 +87,7 @@ class MergeTransducer:
             known = self.pairs[key] = self.merged(left + token) == [left, token]
         return known
 
-    def extend(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def extend(self, state: int, byte: int) -> tuple[int, bytes]:
         """The transition by byte, made anew."""
         before, chain, tail = self.states[state][0], self.chains[state], self.tails[state] + bytes((byte,))
         n = len(tail)
@@ -106,7 +110,7 @@ class MergeTransducer:
             (final,) = places
             at = final
             while at:
-                out.append(self.ranks[chain[at]])
+                out.append(self.code[chain[at]])
                 at -= len(chain[at])
         left = chain[final] if final else before
         new_tail, new_chain = (tail[final:], [left, *chain[final + 1 :]]) if final else (tail, chain)
@@ -119,30 +123,59 @@ class MergeTransducer:
             self.chains.append(new_chain)
             self.tails.append(new_tail)
             self.starts.append([s - final for s in starts] if final else starts)
-        move = self.moves[state][byte] = (number, tuple(reversed(out)))
+        move = self.moves[state][byte] = (number, b"".join(reversed(out)))
         return move
 
-    def end(self, state: int) -> list[int]:
-        out, chain, at = [], self.chains[state], len(self.tails[state])
+    def end(self, chain: list[bytes]) -> bytes:
+        """The ids still due, from the last tokens of each place of the tail."""
+        out, at = [], len(chain) - 1
         while at:
-            out.append(self.ranks[chain[at]])
-            at -= len(chain[at])
-        return out[::-1]
-
-    def transduce(self, piece: bytes) -> list[int]:
-        """The ids of one match of the pattern. A match that is itself a token is that token, by definition."""
-        if (whole := self.ranks.get(piece)) is not None:
-            return [whole]
+            token = chain[at]
+            out.append(self.code[token])
+            at -= len(token)
+        return b"".join(reversed(out))
+
+    def walk(self, state: int, rest: bytes) -> bytes:
+        """The ids due from a state on, for the last bytes of a piece, without making states."""
+        before, chain, tail, starts = self.states[state][0], [*self.chains[state]], self.tails[state], self.starts[state]
+        sound, prefixes, stable = self.sound, self.prefixes, self.stable
+        begin, tail = len(tail), tail + rest
+        for n in range(begin + 1, len(tail) + 1):
+            for start in starts:
+                token = tail[start:n]
+                if token in sound and ((left := chain[start] if start else before) == b"" or stable(left, token)):
+                    break
+            chain.append(token)
+            starts = [s for s in starts if tail[s:n] in prefixes]
+            starts.append(n)
+        return self.end(chain)
+
+    def transduce(self, piece: bytes) -> bytes:
+        """The ids of one match of the pattern, as little-endian unsigned 32-bit numbers.
+
+        A match that is itself a token is that token, by definition. A transition gets a state of its own when it is
+        met for the second time; the rest of a short piece beyond a transition that is new is walked through.
+        """
+        if (whole := self.code.get(piece)) is not None:
+            return whole
         if len(self.moves) > self.max_states:
             self.reset()
         state, out, moves = 0, [], self.moves
-        for byte in piece:
+        for i, byte in enumerate(piece):
             move = moves[state].get(byte)
             if move is None:
-                if len(moves) > 2 * self.max_states:  # within one very long piece: keep this state alone
+                if len(piece) <= 64:
+                    key = state << 8 | byte
+                    if key not in self.once:
+                        if len(self.once) > 4 * self.max_states:
+                            self.once.clear()
+                        self.once.add(key)
+                        out.append(self.walk(state, piece[i:]))
+                        return b"".join(out)
+                elif len(moves) > 2 * self.max_states:  # within one very long piece: keep this state alone
                     key, chain, tail, starts = self.states[state], self.chains[state], self.tails[state], self.starts[state]
                     self.reset()
-                    moves = self.moves
+                    moves, state = self.moves, 0
                     if key != self.states[0]:
                         self.numbers[key] = state = len(moves)
                         self.states.append(key)
@@ -150,14 +183,12 @@ class MergeTransducer:
                         self.chains.append(chain)
                         self.tails.append(tail)
                         self.starts.append(starts)
-                    else:
-                        state = 0
                 move = self.extend(state, byte)
             state, emitted = move
             if emitted:
-                out.extend(emitted)
-        out.extend(self.end(state))
-        return out
+                out.append(emitted)
+        out.append(self.end(self.chains[state]))
+        return b"".join(out)
 
 
 class Utf8Stream:
@@ -196,7 +227,7 @@ class Utf8Stream:
 class ByteBpe:
     """Encodes and decodes whole texts; keeps the ids of distinct pieces in a table of bounded size."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, table: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, table: int = 700_000):
         import regex
 
         self.find = regex.compile(pattern).findall
@@ -207,48 +238,31 @@ class ByteBpe:
         self.table: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def split(self, text: str) -> list[str]:
-        """Cut at each space that follows a character that isn't white space: the pattern has no match across it."""
-        parts = text.split(" ")
-        if "" not in parts and not any(map(str.isspace, {p[-1] for p in parts})):
-            return [parts[0], *[" " + p for p in parts[1:]]]
-        out: list[str] = []
-        joined = parts[0]
-        for p in parts[1:]:
-            if joined and not joined[-1].isspace():
-                out.append(joined)
-                joined = " " + p
-            else:
-                joined += " " + p
-        out.append(joined)
-        return out
-
     def learn(self, piece: str) -> bytes:
-        out = []
+        out, parts = [], self.parts
         for part in self.find(piece):
-            if (ids := self.parts.get(part)) is None:
-                ids = np.array(self.transducer.transduce(part.encode("utf-8", "replace")), "<u4").tobytes()
+            ids = parts.get(part)
+            if ids is None:
+                ids = self.transducer.transduce(part.encode("utf-8", "replace"))
                 if len(part) < 64:
-                    self.parts[part] = ids
+                    parts[part] = ids
             out.append(ids)
-        return b"".join(out)
+        ids = b"".join(out)
+        if len(piece) < 256:
+            self.table[piece] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         for name in ("table", "parts"):
             if len(kept := getattr(self, name)) > self.limit:
                 setattr(self, name, dict(islice(kept.items(), self.limit // 2)))
-        table, pieces = self.table, self.split(text)
-        long_ones = {}
-        for piece in pieces:
-            if piece not in table:
-                if len(piece) < 256:
-                    table[piece] = self.learn(piece)
-                else:
-                    long_ones[piece] = self.learn(piece)
-        if long_ones:
-            return b"".join([table[p] if p in table else long_ones[p] for p in pieces])
-        return b"".join(map(table.__getitem__, pieces))
+        pieces = cut_at_spaces(text)
+        found = list(map(self.table.get, pieces))
+        if None in found:
+            get, learn = self.table.get, self.learn
+            found = [ids if ids is not None else get(p) or learn(p) for p, ids in zip(pieces, found, strict=True)]
+        return b"".join(found)
 
     def decode(self, ids: Iterable[int], block: int = 1 << 16) -> Iterator[bytes]:
         """The text's bytes in blocks that end at whole characters."""

@@ -22,7 +22,7 @@ from itertools import islice
 from keelson.llm.common import quiet_collector
 
 #: Pieces that a worker keeps. When the table is full, the older half stays: frequent pieces come early.
-TABLE = 400_000
+TABLE = 1_000_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which can begin a contraction
 ODD_BLANKS = re.compile("[\x1c-\x1f\x85]")  # white space to Python, perhaps not to the library
@@ -37,6 +37,27 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+BLANK_PAIRS = tuple(c + " " for c in " \t\n\x0b\x0c\r")
+RARE_PAIR = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
+
+
+def cut_at_spaces(text: str) -> list[str]:
+    """The text, cut before each space that follows a character that isn't white space."""
+    parts = text.split(" ")
+    if not any(p in text for p in BLANK_PAIRS) and parts[0] and not (RARE_PAIR.search(text)):
+        return [parts[0], *[" " + p for p in parts[1:]]]
+    out: list[str] = []
+    joined = parts[0]
+    for p in parts[1:]:
+        if joined and not joined[-1].isspace():
+            out.append(joined)
+            joined = " " + p
+        else:
+            joined += " " + p
+    out.append(joined)
+    return out
+
+
 class PieceEncoder:
     """encode(texts) gives the ids of each text as bytes (little-endian unsigned 32 bit)."""
 
@@ -57,19 +78,7 @@ class PieceEncoder:
         """The pieces of a text. Those but the first begin with the space that they were cut at, if blanks count."""
         if not self.keeps_blanks:
             return text.split(" ") if ODD_BLANKS.search(text) else text.split()
-        parts = text.split(" ")
-        if "" not in parts and not any(map(str.isspace, {p[-1] for p in parts})):
-            return [parts[0], *[" " + p for p in parts[1:]]]
-        out: list[str] = []
-        joined = parts[0]
-        for p in parts[1:]:
-            if joined and not joined[-1].isspace():
-                out.append(joined)
-                joined = " " + p
-            else:
-                joined += " " + p
-        out.append(joined)
-        return out
+        return cut_at_spaces(text)
 
     def plain_parts(self, piece: str) -> list[str] | None:
         """What the pre-tokenizer makes of a piece, if that is certain here."""
@@ -101,12 +110,13 @@ class PieceEncoder:
         for name in ("table", "parts"):
             if len(kept := getattr(self, name)) > self.limit:
                 setattr(self, name, dict(islice(kept.items(), self.limit // 2)))
-        table = self.table
+        get = self.table.get
         split = [self.split(t) for t in texts]
-        if missing := {p for parts in split for p in parts if p not in table}:
+        found = [list(map(get, parts)) for parts in split]
+        if missing := {p for parts, ids in zip(split, found, strict=True) if None in ids for p, i in zip(parts, ids, strict=True) if i is None}:
             self.learn(missing)
-        get = table.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+            found = [[get(p) if i is None else i for p, i in zip(parts, ids, strict=True)] if None in ids else ids for parts, ids in zip(split, found, strict=True)]
+        return [b"".join(ids) for ids in found]
 
 
 @cache
