@@ -46,6 +46,12 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of results that have been written and are no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The cells of a string or binary column as bytes, null as empty; no decoding takes place."""
     if pa.types.is_string(column.type):
