@@ -32,7 +32,7 @@ from keelson.llm.graph import components
 SEED = 42
 SHINGLE = 3
 #: Members from which a bucket is cut finer; below, and in what is cut finer, members are compared.
-HOT = 4096
+HOT = 1 << 16
 PAIRWISE = 256
 STEP = 1 << 15
 
