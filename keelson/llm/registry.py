@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelson.llm import byte_bpe, exact_dedup, packing, repeats, simhash, token_files, topk, toxicity, warc_zip
+from keelson.llm import byte_bpe, exact_dedup, packing, repeats, simhash, token_files, tool_calls, topk, toxicity, warc_zip
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op2_repeats": repeats.op2_repeats,
         "op3_warc_zip": warc_zip.op3_warc_zip,
+        "op4_tool_calls": tool_calls.op4_tool_calls,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_packing": packing.op6_packing,
         "op7_byte_bpe": byte_bpe.op7_byte_bpe,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op3_warc_zip": warc_zip.OP3_SQL, "op9_topk": topk.OP9_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op3_warc_zip": warc_zip.OP3_SQL, "op4_tool_calls": tool_calls.OP4_SQL, "op9_topk": topk.OP9_SQL}
