@@ -21,12 +21,12 @@ from itertools import islice
 
 from keelson.llm.common import quiet_collector
 
-#: Pieces that a worker keeps. When the table is full, the older half stays: frequent pieces come early.
-TABLE = 1_000_000
+#: Pieces, and parts of pieces, that a worker keeps. When the table is full, the older three quarters stay: frequent pieces come early.
+TABLE = 1_100_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which can begin a contraction
 ODD_BLANKS = re.compile("[\x1c-\x1f\x85]")  # white space to Python, perhaps not to the library
-PLAIN = re.compile(f"[ \n{LETTERS}{MARKS}]+")
+PLAIN = re.compile(f" ?[{LETTERS}{MARKS}]+(?:\n[{LETTERS}{MARKS}]+)*")
 PARTS = re.compile(f" ?[{LETTERS}]+| ?[{MARKS}]+|\n")
 
 
@@ -72,7 +72,6 @@ class PieceEncoder:
         self.keeps_blanks = json.loads(self.tokenizer.to_str())["normalizer"] is None
         self.limit, self.letters = table, byte_letters()
         self.table: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text. Those but the first begin with the space that they were cut at, if blanks count."""
@@ -82,15 +81,23 @@ class PieceEncoder:
 
     def plain_parts(self, piece: str) -> list[str] | None:
         """What the pre-tokenizer makes of a piece, if that is certain here."""
-        if not PLAIN.fullmatch(piece) or piece.endswith(("\n", " ")) or "\n\n" in piece or " " in piece[1:] or piece.startswith((" \n", "\n")):
+        if not self.keeps_blanks:
+            piece = piece.lower() if piece.isascii() or PLAIN.fullmatch(piece) else piece
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isascii() and word.isalpha():
+            return [piece]
+        if not PLAIN.fullmatch(piece):
             return None
-        return PARTS.findall(piece if self.keeps_blanks else piece.lower())
+        return [p for p in PARTS.findall(piece) if self.keeps_blanks or p != "\n"]
 
     def part_ids(self, part: str) -> bytes:
-        ids = self.parts.get(part)
+        ids = self.table.get(part)
         if ids is None:
-            letters = "".join(map(self.letters.__getitem__, part.encode()))
-            ids = self.parts[part] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(letters))
+            if part.isascii():
+                letters = part.replace(" ", self.letters[32]).replace("\n", self.letters[10])
+            else:
+                letters = "".join(map(self.letters.__getitem__, part.encode()))
+            ids = self.table[part] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
         return ids
 
     def learn(self, missing: set[str]) -> None:
@@ -98,6 +105,8 @@ class PieceEncoder:
         for piece in missing:
             if (parts := self.plain_parts(piece)) is None:
                 rest.append(piece)
+            elif parts == [piece]:
+                self.part_ids(parts[0])
             else:
                 self.table[piece] = b"".join(map(self.part_ids, parts))
         if rest:
@@ -107,9 +116,8 @@ class PieceEncoder:
                 self.table[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        for name in ("table", "parts"):
-            if len(kept := getattr(self, name)) > self.limit:
-                setattr(self, name, dict(islice(kept.items(), self.limit // 2)))
+        if len(self.table) > self.limit:
+            self.table = dict(islice(self.table.items(), 3 * self.limit // 4))
         get = self.table.get
         split = [self.split(t) for t in texts]
         found = [list(map(get, parts)) for parts in split]
