@@ -1,9 +1,13 @@
 """All queries of the keyspace operators, by name."""
 
+from __future__ import annotations
+
+from keelson.plans import base, q_hashes, q_keys, q_sets, q_strings, q_zsets  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
