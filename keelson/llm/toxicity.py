@@ -26,6 +26,7 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -152,32 +153,49 @@ def viterbi(observed: str, model: np.ndarray) -> str:
 
 
 class Restorer:
-    """Restores texts under one language model; keeps what it has decoded in a table of bounded size."""
+    """The words of restored texts, and what longer ones begin with, under one language model.
 
-    def __init__(self, model: np.ndarray, table: int = 200_000):
-        self.model, self.limit = model, table
-        self.known: dict[str, str] = {}
+    Words between blanks are looked up in a table of bounded size, decoded only when they are new and noisy; single
+    letters in a row are decoded together. wanted: the features that count; all if it is None.
+    """
 
-    def decode(self, observed: str) -> str:
-        word = self.known.get(observed)
-        if word is None:
-            if len(self.known) >= self.limit:
-                self.known.clear()
-            word = viterbi(observed, self.model)
-            if len(observed) < 64:
-                self.known[observed] = word
-        return word
+    def __init__(self, model: np.ndarray, wanted: dict[str, float] | None = None, table: int = 300_000):
+        self.model, self.wanted, self.limit = model, wanted, table
+        self.known: dict[str, tuple[str, ...]] = {}
 
     def restore(self, text: str) -> str:
         """The text with its noisy strings decoded, each stretch of 64 signs on its own."""
-        if not NOISY.search(text):
-            return text
-        return NOISY.sub(lambda m: " ".join(self.decode(m[0][i : i + 64]) for i in range(0, len(m[0]), 64)), text)
+        return NOISY.sub(lambda m: " ".join(viterbi(m[0][i : i + 64], self.model) for i in range(0, len(m[0]), 64)), text)
+
+    def of(self, word: str) -> tuple[str, ...]:
+        found = set(WORD.findall(self.restore(word)))
+        found |= {w[:n] + "^" for w in found if len(w) > min(STEMS) for n in STEMS if len(w) > n}
+        out = tuple(sorted(found if self.wanted is None else found & self.wanted.keys()))
+        if len(word) < 64:
+            if len(self.known) >= self.limit:
+                self.known = dict(islice(self.known.items(), self.limit // 2))
+            self.known[word] = out
+        return out
 
     def features(self, text: str) -> set[str]:
-        """The distinct words of the restored text, and what longer ones begin with."""
-        words = set(WORD.findall(self.restore(text).lower()))
-        return words.union(*({w[:n] + "^" for w in words if len(w) > n} for n in STEMS))
+        words = text.lower().split()
+        out: set[str] = set()
+        get = self.known.get
+        for w in set(words):
+            found = get(w)
+            if found is None:
+                found = self.of(w)
+                get = self.known.get
+            if found:
+                out.update(found)
+        single = [i for i, w in enumerate(words) if len(w) == 1]
+        begun = 0
+        for k in range(1, len(single) + 1):
+            if k == len(single) or single[k] != single[k - 1] + 1:
+                if k - begun >= 3:
+                    out.update(self.of(" ".join(words[single[begun] : single[k - 1] + 1])))
+                begun = k
+        return out
 
 
 # -- the classifier
@@ -248,15 +266,14 @@ def train(rows: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
 
 def score_rows(model: np.ndarray, weights: dict[str, float], intercept: float | None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(model)
-        vocabulary = weights.keys()
+        restorer = Restorer(model, weights)
         for batch in pieces_of(batches, "text", 4 << 20):
             out = []
             for text in as_text(batch.column("text")):
                 if intercept is None:
                     out.append(0.0)
                     continue
-                z = intercept + sum(sorted(weights[w] for w in vocabulary & restorer.features(text)))
+                z = intercept + sum(sorted(weights[w] for w in restorer.features(text)))
                 out.append(float(1 / (1 + np.exp(-max(-30.0, min(30.0, z))))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
 
