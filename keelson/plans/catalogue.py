@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keelson.plans import base, q_hashes, q_keys, q_sets, q_strings, q_zsets  # noqa: F401
+from keelson.plans import base, q_bits, q_geo, q_hashes, q_json, q_keys, q_lists, q_sets, q_streams, q_strings, q_vectors, q_zsets  # noqa: F401
 
 
 def queries() -> dict:
