@@ -36,7 +36,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete what materialise() wrote, once everything made from it has been written itself; and Spark's own files."""
+    for df in written:
+        discard(df.sparkSession, df.written_at)
+    if written:
+        free_shuffles(written[0].sparkSession)
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -90,6 +100,18 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500):
+    """Arrow batches of fewer rows, for what runs within: rows that hold texts and arrays of them are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def opened(uri: str, mode: str):
     """A file at a Hadoop-style URI, for reading ("r") or for writing ("w"); whole writes appear at once or never."""

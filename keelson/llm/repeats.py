@@ -3,7 +3,7 @@
 Every byte that lies in a string of `span` bytes which also starts anywhere else goes, in all its occurrences. To sort
 the suffixes of a large corpus byte by byte would move each byte dozens of times, so the algorithm runs on phrases:
 
-1. Parse. Texts are cut where the hash of WIDTH bytes is smallest in some window of WINDOW places (winnowing). Whether
+1. Parse. Texts are cut where the hash of WIDTH bytes is smallest in some window of places (winnowing). Whether
    a place is cut depends on LEFT bytes before it and RIGHT bytes from it alone, so equal strings are cut alike but for
    these margins, and no phrase is longer than a window. A phrase's letter is a 64-bit hash of its bytes with both
    margins. Letters that occur once in the corpus can't lie in a repeat; they go, and what is left are segments of
@@ -37,16 +37,32 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import as_bytes, free_shuffles, materialise, pieces_of, table, text_rows
+from keelson.llm.common import as_bytes, free_shuffles, materialise, pieces_of, release, small_batches, table, text_rows
 
 SPAN = 400
+#: Suffixes that a task of the sort takes, unless there would be more tasks than shuffle partitions.
+SORTED = 250_000
 WIDTH = 16
-WINDOW = 64
-LEFT = WINDOW - 1
-RIGHT = WINDOW + WIDTH - 1
+#: The widest window, so that a phrase's bytes fit seven bits.
+WIDEST = 96
+
+
+def window_of(span: int) -> int:
+    """The window for a span: the widest with which every span holds a whole phrase with its margins."""
+    window = min(WIDEST, (span - WIDTH + 3) // 4)
+    if window < WIDTH:
+        raise ValueError("spans under 77 bytes are too short")
+    return window
+
+
+def margins(window: int) -> tuple[int, int]:
+    """(LEFT, RIGHT): the bytes before a place and from it on that decide whether it is cut."""
+    return window - 1, window + WIDTH - 1
+
 
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)  # 2^64 / golden ratio, odd
@@ -124,26 +140,26 @@ class Hashes:
             return mixed((self.sums[stop] - self.sums[start]) * self.up[start] + (stop - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def cuts(text: np.ndarray) -> np.ndarray:
+def cuts(text: np.ndarray, window: int) -> np.ndarray:
     """Where phrases begin, and the end of the text."""
     n = len(text)
     grams = rolling(BYTE[text], WIDTH)
-    if len(grams) < WINDOW:
+    if len(grams) < window:
         return np.array([0, n]) if n else np.array([0])
     with np.errstate(over="ignore"):
         grams = mixed(grams)
-    low = windowed(grams, WINDOW, True)
+    low = windowed(grams, window, True)
     # a place is cut if it is the smallest of any window that holds it
-    pad = np.zeros(WINDOW - 1, np.uint64)
-    chosen = np.nonzero(windowed(np.concatenate((pad, low, pad)), WINDOW, False) == grams)[0]
+    pad = np.zeros(window - 1, np.uint64)
+    chosen = np.nonzero(windowed(np.concatenate((pad, low, pad)), window, False) == grams)[0]
     return np.unique(np.concatenate(([0], chosen, [n])))
 
 
-def letters_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def letters_of(text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(cuts, letters): a letter is a hash of a phrase with its margins, 63 bits, never 0 (which stands for an end)."""
-    at = cuts(text)
+    at, (before, after) = cuts(text, window), margins(window)
     begin, end = at[:-1], at[1:]
-    left, right = np.maximum(begin - LEFT, 0), np.minimum(end + RIGHT, len(text))
+    left, right = np.maximum(begin - before, 0), np.minimum(end + after, len(text))
     with np.errstate(over="ignore"):
         place = mixed((begin - left).astype(np.uint64) * U(1 << 20) + (end - begin).astype(np.uint64))
         letters = mixed(Hashes(text).of(left, right) + place) >> U(1)
@@ -164,14 +180,15 @@ def batch_of(names: str, *columns) -> pa.RecordBatch:
 
 def joined(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
     """Small batches joined to larger ones."""
-    held, n = [], 0
+    held, n, size = [], 0, 0
     for b in batches:
         if b.num_rows:
             held.append(b)
             n += b.num_rows
-        if n >= rows:
+            size += b.nbytes
+        if n >= rows or size >= 8 << 20:
             yield one(held)
-            held, n = [], 0
+            held, n, size = [], 0, 0
     if held:
         yield one(held)
 
@@ -209,7 +226,7 @@ def phrase_rows(span: int) -> Callable:
                 continue
             if len(seen) < 1_000_000:
                 seen.add(key)
-            at, letters = letters_of(np.frombuffer(text, np.uint8))
+            at, letters = letters_of(np.frombuffer(text, np.uint8), window_of(span))
             n = len(letters)
             loc = (np.arange(n) << 7) | np.diff(at) | (ver << 39)
             yield batch_of("letter doc loc", letters.view(np.int64), pa.array([doc] * n, pa.int64()), loc)
@@ -244,57 +261,80 @@ def repeated_only(keys: list[str]) -> Callable:
 # -- 2. sort
 
 
-def ranked(df: DataFrame, keys: list[str], kind: str | None = None) -> DataFrame:
-    """df with less0 and less1: how many rows of kind 0 and of kind 1 have smaller keys (kind 0 if there is none).
+class Ranked:
+    """Rows with less0 and less1: how many rows of kind 0 and of kind 1 have smaller keys (kind 0 if there is none).
 
-    Sorted range partitions, ties broken by `pos`; a task writes how many rows of its own are smaller, and the driver
-    adds the sizes of the partitions before, and for keys that begin in an earlier partition the count at that place.
+    Sorted range partitions, ties broken by `pos`; a task writes how many rows of its own are smaller, and marks its
+    first and last row. The driver adds the sizes of the partitions before, and for keys that begin in an earlier
+    partition the count at that place: a few numbers per partition.
     """
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    salt = F.xxhash64("pos")
-    spread = df.withColumn("salt", salt).repartitionByRange(n, *keys, "salt").sortWithinPartitions(*keys, "salt").drop("salt").withColumn("part", F.spark_partition_id())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, last, at = [0, 0], None, (0, 0)
+    def __init__(self, df: DataFrame, keys: list[str], n: int, kind: str | None = None):
+        spark = df.sparkSession
+        spread = df.withColumn("salt", F.xxhash64("pos")).repartitionByRange(n, *keys, "salt").sortWithinPartitions(*keys, "salt").drop("salt")
+        schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in spread.schema), "less0 long", "less1 long", "edge long"])
+        local = materialise(spread.mapInArrow(counter(keys, kind), schema).withColumn("part", F.spark_partition_id()), "ranks")
+        ones = F.sum(kind) if kind else F.lit(0)
+        sizes = {r["part"]: (r["n"] - r["ones"], r["ones"]) for r in local.groupBy("part").agg(F.count("*").alias("n"), ones.alias("ones")).collect()}  # one per partition
+        edges: dict[int, list] = {}
+        for r in local.where("edge IS NOT NULL").select("part", "edge", "less0", "less1", *keys).collect():  # two per partition
+            edges.setdefault(r["part"], []).append((r["edge"], r["less0"], r["less1"], tuple(r[k] for k in keys)))
+        base, offsets, previous, open_at, groups = [0, 0], [], None, (0, 0), 0
+        for part in sorted(edges):
+            first, last = min(edges[part]), max(edges[part])  # edge is 0 for the first row, the number of keys for the last
+            goes_on = first[3] == previous
+            carried = open_at if goes_on else tuple(base)
+            offsets.append((part, *base, *carried))
+            groups += max(last[0], 1) - goes_on
+            open_at = carried if first[3] == last[3] else (base[0] + last[1], base[1] + last[2])
+            previous, base = last[3], [base[0] + sizes[part][0], base[1] + sizes[part][1]]
+        self.rows, self.groups, self.written = sum(base), groups, local
+        if offsets:
+            steps = F.broadcast(spark.createDataFrame(offsets, "part int, b0 long, b1 long, c0 long, c1 long"))  # one row per partition
+            first = (F.col("less0") == 0) & (F.col("less1") == 0)
+            local = local.join(steps, "part").withColumns({f"less{k}": F.when(first, F.col(f"c{k}")).otherwise(F.col(f"less{k}") + F.col(f"b{k}")) for k in (0, 1)})
+        self.df = local.select(*df.columns, "less0", "less1")
+
+
+def counter(keys: list[str], kind: str | None) -> Callable:
+    """Adds less0, less1 and edge to rows sorted by keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals, last, at, groups, held = [0, 0], None, (0, 0), 0, None
+
+        def marked_(batch: pa.RecordBatch, edge: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*batch.columns, edge], names=[*batch.schema.names, "edge"])
+
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
             cells = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-            changed = np.ones(batch.num_rows, bool)
-            changed[1:] = False
+            changed = np.zeros(n, bool)
             for c in cells:
                 changed[1:] |= c[1:] != c[:-1]
             changed[0] = last is None or tuple(c[0] for c in cells) != last
-            last = tuple(c[-1] for c in cells)
-            ones = batch.column(kind).to_numpy(zero_copy_only=False).astype(np.int64) if kind else np.zeros(batch.num_rows, np.int64)
+            begun, last = last is None, tuple(c[-1] for c in cells)
+            groups += int(changed.sum())
+            ones = batch.column(kind).to_numpy(zero_copy_only=False).astype(np.int64) if kind else np.zeros(n, np.int64)
             before1 = totals[1] + np.cumsum(ones) - ones
             before0 = totals[0] + np.cumsum(1 - ones) - (1 - ones)
-            group = np.cumsum(changed) - 1  # -1: the group goes on from the batch before
-            first = np.nonzero(changed)[0]
+            group, first = np.cumsum(changed) - 1, np.nonzero(changed)[0]  # group -1 goes on from the batch before
             less0, less1 = (np.where(group >= 0, b[first[np.maximum(group, 0)]] if len(first) else 0, a) for b, a in ((before0, at[0]), (before1, at[1])))
-            totals = [int(totals[0] + (1 - ones).sum()), int(totals[1] + ones.sum())]
-            at = (int(less0[-1]), int(less1[-1]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(less0), pa.array(less1)], names=[*batch.schema.names, "less0", "less1"])
-
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in spread.schema), "less0 long", "less1 long"])
-    local = materialise(spread.mapInArrow(count, schema), "ranks")
-    key = F.struct(*keys)
-    ones = F.sum(kind) if kind else F.lit(0)
-    ends = local.groupBy("part").agg(F.min(key).alias("first"), F.max(key).alias("last"), F.max("less0").alias("at0"), F.max("less1").alias("at1"), F.count("*").alias("n"), ones.alias("ones"))
-    base, offsets, previous, open_at = [0, 0], [], None, (0, 0)
-    for e in sorted(ends.collect(), key=lambda r: r["part"]):  # one row per partition
-        carried = open_at if previous is not None and e["first"] == previous else tuple(base)
-        offsets.append((e["part"], base[0], base[1], carried[0], carried[1]))
-        alone = e["first"] == e["last"]
-        open_at = carried if alone else (base[0] + e["at0"], base[1] + e["at1"])
-        previous, base = e["last"], [base[0] + e["n"] - e["ones"], base[1] + e["ones"]]
-    if not offsets:
-        return local.drop("part")
-    steps = F.broadcast(spark.createDataFrame(offsets, "part int, b0 long, b1 long, c0 long, c1 long"))  # one row per partition
-    whole = local.join(steps, "part")
-    first = (F.col("less0") == 0) & (F.col("less1") == 0)
-    return whole.withColumn("less0", F.when(first, F.col("c0")).otherwise(F.col("less0") + F.col("b0"))).withColumn("less1", F.when(first, F.col("c1")).otherwise(F.col("less1") + F.col("b1"))).drop("part", "b0", "b1", "c0", "c1")
+            totals, at = [totals[0] + int((1 - ones).sum()), totals[1] + int(ones.sum())], (int(less0[-1]), int(less1[-1]))
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(less0), pa.array(less1)], names=[*batch.schema.names, "less0", "less1"])
+            if held is not None:
+                yield marked_(held, pa.nulls(1, pa.int64()))
+            if begun:
+                yield marked_(out.slice(0, 1), pa.array([0], pa.int64()))
+                out = out.slice(1)
+            held = out.slice(out.num_rows - 1) if out.num_rows else None
+            if out.num_rows > 1:
+                yield marked_(out.slice(0, out.num_rows - 1), pa.nulls(out.num_rows - 1, pa.int64()))
+        if held is not None:
+            yield marked_(held, pa.array([groups], pa.int64()))
+
+    return run
 
 
 BLOCK = 4095  # positions of a block, a multiple of three
@@ -302,147 +342,179 @@ BLOCK = 4095  # positions of a block, a multiple of three
 ALIGN, GAP = 3**9, 3**8
 
 
-def in_blocks(df: DataFrame, ahead: int = 2) -> DataFrame:
+def in_blocks(df: DataFrame, n: int, ahead: int = 2) -> DataFrame:
     """df dealt out by blocks of pos, sorted; the first rows of a block also come last in the block before."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     block = F.floor(F.col("pos") / F.lit(BLOCK)).cast("long")
     also = F.when(F.col("pos") % BLOCK < ahead, F.array(block, block - 1)).otherwise(F.array(block))
     return df.withColumn("block", F.explode(also)).repartition(n, "block").sortWithinPartitions("block", "pos")
 
 
-def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Whole blocks."""
+def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches that don't split a block."""
     held: list[pa.RecordBatch] = []
-    number = None
     for batch in batches:
         if not batch.num_rows:
             continue
         b = batch.column("block").to_numpy(zero_copy_only=False)
-        edges = np.concatenate(([0], np.nonzero(b[1:] != b[:-1])[0] + 1, [len(b)])).tolist()
-        for i, j in zip(edges[:-1], edges[1:], strict=True):
-            if held and b[i] != number:
-                yield number, one(held)
-                held = []
-            number = int(b[i])
-            held.append(batch.slice(i, j - i))
+        if held and b[0] != held[-1].column("block")[-1].as_py():
+            yield one(held)
+            held = []
+        cut = int(np.argmax(b == b[-1]))
+        if cut:
+            yield one([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
     if held:
-        yield number, one(held)
+        yield one(held)
+
 
+def slots(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pos, key, own): a key that is pos within its block, apart from all other blocks', and which rows are a block's own."""
+    pos, block = batch.column("pos").to_numpy(zero_copy_only=False), batch.column("block").to_numpy(zero_copy_only=False)
+    number = np.concatenate(([0], np.cumsum(block[1:] != block[:-1])))
+    within = pos - block * BLOCK
+    return pos, number * (BLOCK + 16) + within, within < BLOCK
 
-def at_places(pos: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The value at each wanted position, 0 where there is none; pos is sorted."""
-    i = np.minimum(np.searchsorted(pos, wanted), len(pos) - 1)
-    return np.where(pos[i] == wanted, values[i], 0)
 
+def at_places(key: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The value at each wanted key, 0 where there is none; key is sorted."""
+    if not len(key):
+        return np.zeros(len(wanted), np.int64)
+    i = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+    return np.where(key[i] == wanted, values[i], 0)
 
-def triples(df: DataFrame) -> DataFrame:
+
+def triples(df: DataFrame, n: int) -> DataFrame:
     """(pos, val, bytes) to (pos, a, b, c, bytes): the letters at pos and the two after, and the bytes of all three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in by_block(batches):
-            pos, val, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "val", "bytes"))
-            own = pos[pos // BLOCK == number]
-            b, c = (at_places(pos, val, own + k) for k in (1, 2))
-            total = sum(at_places(pos, size, own + k) for k in (0, 1, 2))
+        for batch in whole_blocks(batches):
+            pos, key, own = slots(batch)
+            val, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("val", "bytes"))
+            b, c = (at_places(key, val, key[own] + k) for k in (1, 2))
+            total = sum(at_places(key, size, key[own] + k) for k in (0, 1, 2))
             # beyond a segment's end nothing is left to compare
-            yield batch_of("pos a b c bytes", own, val[: len(own)], b, c, np.where(c == 0, ENDLESS, total))
+            yield batch_of("pos a b c bytes", pos[own], val[own], b, c, np.where(c == 0, ENDLESS, total))
 
-    return in_blocks(df).mapInArrow(lambda it: joined(run(it)), "pos long, a long, b long, c long, bytes long")
+    return in_blocks(df, n).mapInArrow(lambda it: joined(run(it)), "pos long, a long, b long, c long, bytes long")
 
 
 ENDLESS = 1 << 40
 
 
-def suffix_ranks(rows: DataFrame, limit: int, top: int) -> DataFrame:
-    """(pos, rank) for rows (pos, a, b, c, bytes): ranks of the suffixes, exact in their first `limit` bytes. pos < top."""
-    sample = ranked(rows.where("pos % 3 <> 0").select("pos", "a", "b", "c", "bytes"), ["a", "b", "c"]).select("pos", (F.col("less0") + 1).alias("name"), "bytes")
-    sample = materialise(sample, "names")
-    seen = sample.agg(F.count("*").alias("n"), F.min("bytes").alias("least"), F.countDistinct("name").alias("names")).first()
-    if seen["n"] and seen["names"] < seen["n"] and seen["least"] < limit:
+def suffix_ranks(rows: DataFrame, limit: int, top: int, n: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(pos, rank) for rows (pos, a, b, c, bytes): ranks of the suffixes, exact in their first `limit` bytes. pos < top.
+
+    Also the written tables that the result is read from, to be released when it has been written.
+    """
+    sorted_ = Ranked(rows.where("pos % 3 <> 0").select("pos", "a", "b", "c", "bytes"), ["a", "b", "c"], n)
+    sample, spent = sorted_.df.select("pos", (F.col("less0") + 1).alias("rank"), "bytes"), [sorted_.written]
+    if sorted_.groups < sorted_.rows and sample.agg(F.min("bytes")).first()[0] < limit:
         offset = -(-top // 3) + GAP
         offset += -offset % ALIGN
         third = F.floor(F.col("pos") / 3).cast("long")
-        string = sample.select((third + F.when(F.col("pos") % 3 == 2, F.lit(offset)).otherwise(F.lit(0))).alias("pos"), F.col("name").alias("val"), "bytes")
-        below = suffix_ranks(materialise(triples(string), "triples"), limit, 2 * offset + GAP)
+        string = materialise(triples(sample.select((third + F.when(F.col("pos") % 3 == 2, F.lit(offset)).otherwise(F.lit(0))).alias("pos"), F.col("rank").alias("val"), "bytes"), n), "triples")
+        release(*spent)
+        below, spent = suffix_ranks(string, limit, 2 * offset + GAP, -(-2 * n // 3))
+        spent.append(string)
         second = F.col("pos") >= offset
-        sample = below.select(F.when(second, (F.col("pos") - offset) * 3 + 2).otherwise(F.col("pos") * 3 + 1).alias("pos"), F.col("rank").alias("name"))
+        sample = below.select(F.when(second, (F.col("pos") - offset) * 3 + 2).otherwise(F.col("pos") * 3 + 1).alias("pos"), "rank")
 
     # merge: letters of all places beside the ranks of the samples after them
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, batch in by_block(batches):
-            pos, a, b, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("pos", "a", "b", "rank"))
-            letter, named = a != 0, rank > 0
-            own = pos[letter & (pos // BLOCK == number)]
-            a, b = (at_places(pos[letter], x[letter], own) for x in (a, b))
-            r = [at_places(pos[named], rank[named], own + k) if named.any() else np.zeros(len(own), np.int64) for k in (0, 1, 2)]
-            yield batch_of("pos a b r0 r1 r2", own, a, b, *r)
+        for batch in whole_blocks(batches):
+            pos, key, own = slots(batch)
+            a, b, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "rank"))
+            named, own = rank > 0, own & (a != 0)
+            r = [at_places(key[named], rank[named], key[own] + k) for k in (0, 1, 2)]
+            yield batch_of("pos a b r0 r1 r2", pos[own], a[own], b[own], *r)
 
     zero = F.lit(0).cast("long")
-    union = rows.select("pos", "a", "b", zero.alias("rank")).union(sample.select("pos", zero, zero, F.col("name")))
-    table_ = materialise(in_blocks(union, 3).mapInArrow(lambda it: joined(beside(it)), "pos long, a long, b long, r0 long, r1 long, r2 long"), "merge")
-    mod = F.col("pos") % 3
-    first = ranked(table_.where("pos % 3 < 2").select("pos", "a", "r1", "r0", F.when(mod == 1, 1).otherwise(0).cast("int").alias("kind")), ["a", "r1"], "kind")
-    second = ranked(table_.where("pos % 3 <> 1").select("pos", "a", "b", "r2", "r0", F.when(mod == 2, 1).otherwise(0).cast("int").alias("kind")), ["a", "b", "r2"], "kind")
+    union = rows.select("pos", "a", "b", zero.alias("rank")).union(sample.select("pos", zero, zero, "rank"))
+    table_ = materialise(in_blocks(union, n, 3).mapInArrow(lambda it: joined(beside(it)), "pos long, a long, b long, r0 long, r1 long, r2 long"), "merge")
+    release(*spent)
+    kind = lambda c: F.when(F.col("pos") % 3 == c, 1).otherwise(0).cast("int").alias("kind")
     # a place 0 is above smaller ones of all three kinds; a sample above smaller samples (its rank) and smaller places 0
-    zeros = first.where("kind = 0").select("pos", (F.col("less0") + F.col("less1")).alias("n")).union(second.where("kind = 0").select("pos", F.col("less1").alias("n")))
-    samples = first.where("kind = 1").select("pos", (F.col("r0") - 1 + F.col("less0")).alias("rank")).union(second.where("kind = 1").select("pos", (F.col("r0") - 1 + F.col("less0")).alias("rank")))
-    merged = zeros.groupBy("pos").agg(F.sum("n").alias("rank")).union(samples)
-    return materialise(merged.select("pos", (F.col("rank") + 1).alias("rank")), "suffix-ranks")
+    by_one = Ranked(table_.where("pos % 3 < 2").select("pos", "a", "r1", "b", "r2", "r0", kind(1)), ["a", "r1"], n, "kind")
+    first = by_one.df
+    zeros = first.where("kind = 0").select("pos", "a", "b", "r2", (F.col("less0") + F.col("less1")).alias("r0"), "kind")
+    by_two = Ranked(zeros.union(table_.where("pos % 3 = 2").select("pos", "a", "b", "r2", "r0", kind(2))), ["a", "b", "r2"], n, "kind")
+    release(table_)
+    second = by_two.df
+    ones = first.where("kind = 1").select("pos", (F.col("r0") + F.col("less0")).alias("rank"))
+    rest = second.select("pos", F.when(F.col("kind") == 1, F.col("r0") + F.col("less0")).otherwise(F.col("r0") + F.col("less1") + 1).alias("rank"))
+    return ones.union(rest), [by_one.written, by_two.written]
 
 
 # -- 3. matches
 
 
-def segment_rows(limit: int) -> Callable:
-    """Rows (doc, loc, letter) sorted by doc and loc to suffixes of segments: (pos, a, b, c, bytes, doc, loc, ahead).
+SEGMENT = "seg binary, doc long, loc long, letters binary, sizes binary"
 
-    A segment is a run of repeated letters at places in a row of one text. `ahead` holds the letters of the next
-    `limit` bytes.
+
+def segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, loc, letter) sorted by doc and loc to segments: runs of repeated letters at places in a row of a text.
+
+    seg is a 128-bit hash of the letters; doc and loc are those of the first phrase.
     """
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def solve(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        loc = batch.column("loc").to_numpy(zero_copy_only=False)
+        if (again := loc[1:] == loc[:-1]).any():  # rows repeated in other tasks
+            batch = batch.filter(pa.array(np.concatenate(([True], ~again))))
+        loc, letter = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("loc", "letter"))
+        place, size = loc >> 7, (loc & 127).astype(np.uint8)
+        edges = np.concatenate(([0], np.nonzero(place[1:] != place[:-1] + 1)[0] + 1, [len(loc)]))
+        letters = [letter[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        sizes = [size[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        seg = [hashlib.blake2b(x, digest_size=16).digest() for x in letters]
+        yield batch_of("seg doc loc letters sizes", pa.array(seg, pa.binary()), batch.column("doc").take(pa.array(edges[:-1])), loc[edges[:-1]], pa.array(letters, pa.binary()), pa.array(sizes, pa.binary()))
 
-        base = TaskContext.get().partitionId() * ALIGN << 32
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ver = batch.column("loc").to_numpy(zero_copy_only=False) >> 39
+        doc = batch.column("doc").fill_null(0).to_numpy(zero_copy_only=False)
+        none = batch.column("doc").is_null().to_numpy(zero_copy_only=False)
+        if held and last != (doc[0], none[0], ver[0]):
+            yield from solve(one(held))
+            held = []
+        last = (doc[-1], none[-1], ver[-1])
+        # whole texts are solved; the last one may go on
+        cut = np.nonzero((doc != last[0]) | (none != last[1]) | (ver != last[2]))[0]
+        n = int(cut[-1]) + 1 if len(cut) else 0
+        if n:
+            yield from solve(one([*held, batch.slice(0, n)]))
+            held = []
+        held.append(batch.slice(n))
+    if held:
+        yield from solve(one(held))
 
-        def solve(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            nonlocal base
-            loc, letter = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("loc", "letter"))
-            place, size = loc >> 7, loc & 127
-            edges = np.concatenate(([0], np.nonzero(place[1:] != place[:-1] + 1)[0] + 1, [len(loc)]))
-            for i, j in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                n = j - i
-                ends = np.concatenate(([0], np.cumsum(size[i:j])))
-                a = np.concatenate((letter[i:j], np.zeros(2, np.int64)))
+
+def suffix_rows(limit: int) -> Callable:
+    """Distinct segments (seg, letters, sizes) to their suffixes: (pos, a, b, c, bytes, seg, at, ahead).
+
+    `at` is the place in the segment, `ahead` holds the letters of the next `limit` bytes.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() * ALIGN << 32
+        for batch in batches:
+            for seg, letters, sizes in zip(*(batch.column(c).to_pylist() for c in ("seg", "letters", "sizes")), strict=True):
+                letter, size = np.frombuffer(letters, np.int64), np.frombuffer(sizes, np.uint8).astype(np.int64)
+                n = len(letter)
+                ends = np.concatenate(([0], np.cumsum(size)))
+                a = np.concatenate((letter, np.zeros(2, np.int64)))
                 stop = np.minimum(np.searchsorted(ends, ends[:-1] + limit), n)
                 total = np.where(a[2:] == 0, ENDLESS, ends[np.minimum(np.arange(n) + 3, n)] - ends[:-1])
-                ahead = [a[k : stop[k]].tobytes() for k in range(n)]
-                yield batch_of("pos a b c bytes doc loc ahead", base + np.arange(n), a[:n], a[1 : n + 1], a[2 : n + 2], total, batch.column("doc").slice(i, n), loc[i:j], pa.array(ahead, pa.binary()))
+                for i in range(0, n, 2_000):  # phrases of periodic texts are short, and many are ahead of each
+                    j = min(n, i + 2_000)
+                    ahead = [letters[8 * k : 8 * e] for k, e in enumerate(stop[i:j].tolist(), i)]
+                    yield batch_of("pos a b c bytes seg at ahead", base + np.arange(i, j), a[i:j], a[i + 1 : j + 1], a[i + 2 : j + 2], total[i:j], pa.array([seg] * (j - i), pa.binary()), np.arange(i, j, dtype=np.int32), pa.array(ahead, pa.binary()))
                 base += n + 3 * GAP
                 base += -base % ALIGN
 
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            ver = batch.column("loc").to_numpy(zero_copy_only=False) >> 39
-            doc = batch.column("doc").fill_null(0).to_numpy(zero_copy_only=False)
-            none = batch.column("doc").is_null().to_numpy(zero_copy_only=False)
-            now = (doc[0], none[0], ver[0])
-            if held and last != now:
-                yield from solve(one(held))
-                held = []
-            last = (doc[-1], none[-1], ver[-1])
-            # whole texts are solved; the last one may go on
-            cut = np.nonzero((doc != last[0]) | (none != last[1]) | (ver != last[2]))[0]
-            n = int(cut[-1]) + 1 if len(cut) else 0
-            if n:
-                yield from solve(one([*held, batch.slice(0, n)]))
-                held = []
-            held.append(batch.slice(n))
-        if held:
-            yield from solve(one(held))
-
     return lambda batches: joined(each(batches), 20_000)
 
 
@@ -460,9 +532,9 @@ def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     First and last rows keep their letters in `edge`.
     """
-    names = "doc loc pos letter m prev edge"
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    previous, m_before, first, held = None, 0, True, None  # held: doc, loc, pos, letter of the row before
+    names = "seg at pos m prev edge"
+    types = (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    previous, m_before, first, held = None, 0, True, None  # held: seg, at, pos of the row before
     rows: list[tuple] = []
 
     def out() -> pa.RecordBatch:
@@ -471,12 +543,12 @@ def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return batch_of(names, *(pa.array(c, t) for c, t in zip(columns, types, strict=True)))
 
     for batch in batches:
-        for doc, loc, pos, letter, ahead in zip(*(batch.column(c).to_pylist() for c in ("doc", "loc", "pos", "a", "ahead")), strict=True):
+        for seg, at, pos, ahead in zip(*(batch.column(c).to_pylist() for c in ("seg", "at", "pos", "ahead")), strict=True):
             if held is not None:
                 m = common(previous, ahead)
                 rows.append((*held, max(m_before, m), m_before, previous if first else None))
                 first, m_before = False, m
-            held, previous = (doc, loc, pos, letter), ahead
+            held, previous = (seg, at, pos), ahead
             if len(rows) >= 20_000:
                 yield out()
     if held is not None:
@@ -485,46 +557,57 @@ def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def matches(docs: DataFrame, twins: DataFrame, span: int) -> DataFrame:
-    """(doc, loc, m, prev, letter) of the phrases at which a match of m letters begins; twins is copies(docs)."""
+    """(doc, loc, seg, letters, m, prev) of segments: per phrase how many letters match elsewhere; twins is copies(docs).
+
+    loc is that of the first phrase. Segments of the same letters are sorted once: each of them matches another to its
+    end, and the first of them (by doc and loc) leads the others.
+    """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limit = span + WINDOW
+    limit = span + window_of(span)
     letters = docs.mapInArrow(phrase_rows(span), "letter long, doc long, loc long").repartition(n, "letter").sortWithinPartitions("letter")
     repeated = materialise(letters.mapInArrow(lambda it: joined(repeated_only(["letter"])(it)), "letter long, doc long, loc long"), "letters")
     free_shuffles(spark)
     later = twins.where("NOT kept").select(F.col("doc").alias("d"), F.col("ver").alias("v"))
     alone = repeated.join(later, F.col("doc").eqNullSafe(F.col("d")) & (F.shiftright("loc", 39).cast("int") == F.col("v")), "left_anti")
     ordered = alone.repartition(n, "doc", F.shiftright("loc", 39)).sortWithinPartitions("doc", "loc")
-    schema = "pos long, a long, b long, c long, bytes long, doc long, loc long, ahead binary"
-    suffixes = materialise(ordered.mapInArrow(segment_rows(limit), schema), "suffixes")
-    free_shuffles(spark)
-    top = (n + 1) * ALIGN << 32
-    ranks = suffix_ranks(suffixes.select("pos", "a", "b", "c", "bytes"), limit, top)
-    free_shuffles(spark)
-    in_order = suffixes.select("pos", "doc", "loc", "a", "ahead").join(ranks, "pos").withColumn("salt", F.xxhash64("pos"))
-    in_order = in_order.repartitionByRange(n, "rank", "salt").sortWithinPartitions("rank", "salt").select("doc", "loc", "pos", "a", "ahead")
-    found = materialise(in_order.mapInArrow(adjacent, "doc long, loc long, pos long, letter long, m int, prev int, edge binary").withColumn("part", F.spark_partition_id()), "matches")
+    segments = materialise(ordered.mapInArrow(lambda it: joined(segment_rows(it), 5_000), SEGMENT), "segments")
+    release(repeated)
+    kinds = segments.groupBy("seg").agg(F.count("*").alias("n"), F.max(F.xxhash64("doc", "loc")).alias("leader"))  # fixed width: hashed, combined map-side
+    firsts = segments.join(kinds, "seg").where(F.xxhash64("doc", "loc") == F.col("leader")).select("seg", "letters", "sizes").repartition(n, "seg").sortWithinPartitions("seg")
+    schema = "pos long, a long, b long, c long, bytes long, seg binary, at int, ahead binary"
+    suffixes = materialise(firsts.mapInArrow(suffix_rows(limit), schema), "suffixes")
     free_shuffles(spark)
+    unwritten, spent = suffix_ranks(suffixes.select("pos", "a", "b", "c", "bytes"), limit, (n + 1) * ALIGN << 32, min(n, -(-suffixes.count() // SORTED) or 1))
+    ranks = materialise(unwritten, "suffix-ranks")
+    release(*spent)
+    in_order = suffixes.select("pos", "seg", "at", "ahead").join(ranks, "pos").withColumn("salt", F.xxhash64("pos"))
+    in_order = in_order.repartitionByRange(n, "rank", "salt").sortWithinPartitions("rank", "salt").select("seg", "at", "pos", "ahead")
+    found = materialise(in_order.mapInArrow(adjacent, "seg binary, at int, pos long, m int, prev int, edge binary").withColumn("part", F.spark_partition_id()), "matches")
+    release(suffixes)
     # neighbours across partitions: the last row of one and the first of the next
     ends: dict[int, list] = {}
     for r in found.where("edge IS NOT NULL").select("part", "pos", "edge").collect():  # two for each partition at most
         ends.setdefault(r["part"], []).append((r["pos"], bytes(r["edge"])))
-    order = ranks.where(F.col("pos").isin([p for e in ends.values() for p, _ in e])).collect() if ends else []
-    at = {r["pos"]: r["rank"] for r in order}
-    salted = {r["pos"]: r["s"] for r in spark.createDataFrame([(p,) for p in at], "pos long").select("pos", F.xxhash64("pos").alias("s")).collect()} if at else {}
-    more: dict[int, int] = {}
-    before = None
-    for part in sorted(ends):
-        rows = sorted(ends[part], key=lambda e: (at[e[0]], salted[e[0]]))
-        if before is not None:
-            m = common(before[1], rows[0][1])
-            for pos in (before[0], rows[0][0]):
-                more[pos] = max(more.get(pos, 0), m)
-        before = rows[-1]
-    if more:
-        extra = F.broadcast(spark.createDataFrame(list(more.items()), "pos long, more int"))  # two for each partition
-        found = found.join(extra, "pos", "left").withColumn("m", F.greatest("m", F.coalesce("more", F.lit(0))))
-    return found.where("m > 0").select("doc", "loc", "m", "prev", "letter")
+    if ends:
+        places = F.broadcast(spark.createDataFrame([(p,) for e in ends.values() for p, _ in e], "pos long").distinct())
+        at = {r["pos"]: (r["rank"], r["salt"]) for r in ranks.join(places, "pos").select("pos", "rank", F.xxhash64("pos").alias("salt")).collect()}
+        more: dict[int, int] = {}
+        before = None
+        for part in sorted(ends):
+            rows = sorted(ends[part], key=lambda e: at[e[0]])
+            if before is not None:
+                m = common(before[1], rows[0][1])
+                for pos in (before[0], rows[0][0]):
+                    more[pos] = max(more.get(pos, 0), m)
+            before = rows[-1]
+        if more:
+            extra = F.broadcast(spark.createDataFrame(list(more.items()), "pos long, more int"))  # two for each partition
+            found = found.join(extra, "pos", "left").withColumn("m", F.greatest("m", F.coalesce("more", F.lit(0))))
+    per = found.groupBy("seg").agg(F.collect_list(F.struct("at", "m", "prev")).alias("ms"))  # one segment's phrases
+    both = segments.select("seg", "doc", "loc", "letters").join(kinds, "seg").join(per, "seg")
+    led = F.xxhash64("doc", "loc") == F.col("leader")
+    return both.select("doc", "loc", "letters", "ms", (F.col("n") > 1).alias("many"), led.alias("leads"))
 
 
 def copies(docs: DataFrame, span: int) -> DataFrame:
@@ -544,17 +627,18 @@ class Text:
     def __init__(self, row: dict, span: int):
         self.span, self.bytes = span, row["text"]
         self.text = np.frombuffer(self.bytes, np.uint8)
-        self.at = cuts(self.text)
+        self.at = cuts(self.text, window_of(span))
+        self.left, self.right = left, right = margins(window_of(span))
         self.m, self.prev, self.letter = (np.zeros(len(self.at), np.int64) for _ in range(3))
-        self.place = np.frombuffer(row["places"], np.int64)
+        place = np.frombuffer(b"".join(row["places"]), np.int64)
         for name in ("m", "prev", "letter"):
-            getattr(self, name)[self.place] = np.frombuffer(row[name], np.int64)
+            getattr(self, name)[place] = np.frombuffer(b"".join(row[name]), np.int64)
         self.p = np.arange(len(self.text) - span + 1)
         #: the last phrase that begins at p + LEFT at the latest, and the first that begins there at the earliest
-        self.a = np.minimum(np.searchsorted(self.at, self.p + LEFT, "right") - 1, len(self.at) - 2)
-        self.first = np.minimum(np.searchsorted(self.at, self.p + LEFT, "left"), len(self.at) - 1)
+        self.a = np.minimum(np.searchsorted(self.at, self.p + left, "right") - 1, len(self.at) - 2)
+        self.first = np.minimum(np.searchsorted(self.at, self.p + left, "left"), len(self.at) - 1)
         self.certain = self.covered(self.m)
-        last = np.searchsorted(self.at, self.p + span - RIGHT, "right") - 1
+        last = np.searchsorted(self.at, self.p + span - right, "right") - 1
         inside = last - self.first
         # possible: all phrases that lie with their margins within p .. p + span match in a row
         self.open = ((inside <= 0) | (self.m[self.first] >= inside)) & ~self.certain
@@ -562,8 +646,8 @@ class Text:
     def covered(self, m: np.ndarray) -> np.ndarray:
         """Whether the m letters from `a` on, with their margins, cover p .. p + span."""
         n = m[self.a]
-        begin = np.maximum(self.at[self.a] - LEFT, 0)
-        end = np.minimum(self.at[np.minimum(self.a + n, len(self.at) - 1)] + RIGHT, len(self.text))
+        begin = np.maximum(self.at[self.a] - self.left, 0)
+        end = np.minimum(self.at[np.minimum(self.a + n, len(self.at) - 1)] + self.right, len(self.text))
         return (n > 0) & (begin <= self.p) & (end >= self.p + self.span)
 
     def hashes(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -619,6 +703,13 @@ def open_letters(span: int) -> Callable:
     return run
 
 
+def letter_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(letter, doc, ver, place) of candidates' letters."""
+    for row in rows_of(batches):
+        place, letter = (np.frombuffer(b"".join(row[c]), np.int64) for c in ("places", "letter"))
+        yield batch_of("letter doc ver place", letter, pa.array([row["doc"]] * len(place), pa.int64()), np.full(len(place), row["ver"], np.int32), place)
+
+
 def leader_rows(span: int) -> Callable:
     """The hashes of certain places whose first letter is one of an open place: an open place may equal one of those.
 
@@ -652,15 +743,16 @@ def marked(docs: DataFrame, span: int = SPAN) -> DataFrame:
     ver, place = F.shiftright("loc", 39).cast("int"), F.col("loc").bitwiseAND((1 << 39) - 1)
     same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("ver") == F.col("v"))
     twins = materialise(copies(docs, span).select("doc", "ver", "kept"), "copies")
-    found = matches(docs, twins, span).select("doc", ver.alias("ver"), F.shiftright(place, 7).alias("place"), "m", "prev", "letter")
-    rows = found.groupBy("doc", "ver").agg(F.collect_list(F.struct("place", "m", "prev", "letter")).alias("at"))  # one text's phrases
-    rows = rows.mapInArrow(packed, f"doc long, ver int, {PACKED}")
+    parts = matches(docs, twins, span).mapInArrow(packed, f"doc long, ver int, {PACKED}")
+    rows = parts.groupBy("doc", "ver").agg(*[F.collect_list(c).alias(c) for c in PACKED_NAMES])  # one text's segments
     texts = docs.mapInArrow(versions(span), "d long, v int, text binary")
-    candidates = texts.join(rows, same).mapInArrow(undecided(span), f"doc long, ver int, text binary, {PACKED}")
-    candidates = materialise(candidates.dropDuplicates(["doc", "ver"]), "candidates")
+    candidates = texts.join(rows, same).mapInArrow(undecided(span), f"doc long, ver int, text binary, {LISTS}")
+    with small_batches(spark):
+        candidates = materialise(candidates.dropDuplicates(["doc", "ver"]), "candidates")
     free_shuffles(spark)
     letters = candidates.mapInArrow(open_letters(span), "letter long").distinct()
-    asked = found.join(letters, "letter", "left_semi").groupBy("doc", "ver").agg(F.collect_list("place").alias("asked")).toDF("d", "v", "asked")
+    held = candidates.select("doc", "ver", "places", "letter").mapInArrow(letter_places, "letter long, doc long, ver int, place long")
+    asked = held.join(letters, "letter", "left_semi").groupBy("doc", "ver").agg(F.collect_list("place").alias("asked")).toDF("d", "v", "asked")
     leaders = candidates.join(asked, same).mapInArrow(leader_rows(span), HASHED)
     all_ = candidates.mapInArrow(open_rows(span), HASHED).union(leaders).repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2")
     starts = all_.mapInArrow(lambda it: joined(repeated_only(["h1", "h2"])(it)), HASHED).select("doc", ver.alias("ver"), place.alias("p"))
@@ -668,7 +760,8 @@ def marked(docs: DataFrame, span: int = SPAN) -> DataFrame:
     both = candidates.join(decided.toDF("d", "v", "p"), same, "left").select("doc", "ver", "text", *PACKED_NAMES, "p")
     blank = [F.lit(None).cast(t) for t in ("binary", "long", "long", "string")]
     settled = both.mapInArrow(settle(span), MARKS).join(twins.select(F.col("doc").alias("d"), F.col("ver").alias("v")), same, "left_anti")
-    return settled.union(twins.select("doc", "ver", *blank).distinct())
+    with small_batches(spark):
+        return materialise(settled.union(twins.select("doc", "ver", *blank).distinct()), "marks")
 
 
 def undecided(span: int) -> Callable:
@@ -700,16 +793,31 @@ PACKED_NAMES = ["places", "m", "prev", "letter"]
 PACKED = ", ".join(f"{c} binary" for c in PACKED_NAMES)
 
 
+PACKED_NAMES = ["places", "m", "prev", "letter"]
+PACKED = ", ".join(f"{c} binary" for c in PACKED_NAMES)
+LISTS = ", ".join(f"{c} array<binary>" for c in PACKED_NAMES)
+
+
 def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrays of (place, m, prev, letter) to strings of int64."""
+    """Segments (doc, loc, letters, ms, many, leads) to (doc, ver) and strings of int64: places, m, prev, letters."""
     for batch in batches:
         if not batch.num_rows:
             continue
         out: list[list[bytes]] = [[] for _ in PACKED_NAMES]
-        for cell in batch.column("at"):
-            for cells, field in zip(out, ("place", "m", "prev", "letter"), strict=True):
-                cells.append(cell.values.field(field).to_numpy(zero_copy_only=False).astype(np.int64).tobytes())
-        yield batch_of(" ".join(["doc", "ver", *PACKED_NAMES]), batch.column("doc"), batch.column("ver"), *(pa.array(c, pa.binary()) for c in out))
+        locs = batch.column("loc").to_numpy(zero_copy_only=False)
+        columns = (batch.column(c).to_pylist() for c in ("letters", "many", "leads"))
+        for loc, cell, letters, many, leads in zip(locs.tolist(), batch.column("ms"), *columns, strict=True):
+            at, m, prev = (cell.values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("at", "m", "prev"))
+            order = np.argsort(at)
+            n = len(at)
+            left = n - np.arange(n)
+            place = ((loc & ((1 << 39) - 1)) >> 7) + np.arange(n)
+            m = left if many else m[order]
+            prev = prev[order] if leads else left  # others share all with the leader
+            for cells, x in zip(out, (place, m, prev), strict=False):
+                cells.append(x.astype(np.int64).tobytes())
+            out[3].append(letters)
+        yield batch_of(" ".join(["doc", "ver", *PACKED_NAMES]), batch.column("doc"), (locs >> 39).astype(np.int32), *(pa.array(c, pa.binary()) for c in out))
 
 
 def settle(span: int) -> Callable:
@@ -766,7 +874,7 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows = text_rows(docs, id_col, text_col)
-    marks = materialise(marked(rows, span), "marks").drop("starts")
+    marks = marked(rows, span).drop("starts")
     light = rows.mapInArrow(measured, "doc_id long, v int, n_bytes long, sha string")
     all_ = light.join(marks, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("v") == F.col("ver")), "left")
     # marked rows without counts are copies, and lose everything
@@ -777,12 +885,12 @@ def repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col:
 
 
 def cutter(span: int, names: list[str], text_col: str) -> Callable:
-    """Rows with `starts` and `hit` to rows without them, their text cut; characters stay whole."""
+    """Rows with `__starts` and `__hit` to rows without them, their text cut; characters stay whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, hit, starts in zip(as_bytes(batch.column(text_col)), batch.column("hit").to_pylist(), batch.column("starts").to_pylist(), strict=True):
+            for text, hit, starts in zip(as_bytes(batch.column(text_col)), batch.column("__hit").to_pylist(), batch.column("__starts").to_pylist(), strict=True):
                 if hit:
                     runs = []
                     for a, b in removed_runs(text, starts, span):
@@ -801,11 +909,11 @@ def cutter(span: int, names: list[str], text_col: str) -> Callable:
 def cut_texts(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with all repeats cut out of the texts. A null text becomes empty; other columns stay as they are."""
     rows = text_rows(docs, id_col, text_col)
-    marks = materialise(marked(rows, span).select("doc", "ver", "starts"), "marks")
+    marks = marked(rows, span).select("doc", "ver", "starts")
     ver = F.conv(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 6), 16, 10).cast("int")
     keyed = docs.withColumn("__ver", ver)
-    both = keyed.join(marks, F.col(id_col).cast("long").eqNullSafe(F.col("doc")) & (F.col("__ver") == F.col("ver")), "left")
-    out = both.select(*docs.columns, F.col("ver").isNotNull().alias("hit"), "starts")
+    both = keyed.join(marks.toDF("__doc", "__v", "__starts"), F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__ver") == F.col("__v")), "left")
+    out = both.select(*docs.columns, F.col("__v").isNotNull().alias("__hit"), "__starts")
     return out.mapInArrow(cutter(span, docs.columns, text_col), docs.schema)
 
 
