@@ -344,7 +344,7 @@ ALIGN, GAP = 3**9, 3**8
 
 def in_blocks(df: DataFrame, n: int, ahead: int = 2) -> DataFrame:
     """df dealt out by blocks of pos, sorted; the first rows of a block also come last in the block before."""
-    block = F.floor(F.col("pos") / F.lit(BLOCK)).cast("long")
+    block = F.expr(f"pos div {BLOCK}")  # whole numbers: positions don't fit a double
     also = F.when(F.col("pos") % BLOCK < ahead, F.array(block, block - 1)).otherwise(F.array(block))
     return df.withColumn("block", F.explode(also)).repartition(n, "block").sortWithinPartitions("block", "pos")
 
@@ -412,7 +412,7 @@ def suffix_ranks(rows: DataFrame, limit: int, top: int, n: int) -> tuple[DataFra
     if sorted_.groups < sorted_.rows and sample.agg(F.min("bytes")).first()[0] < limit:
         offset = -(-top // 3) + GAP
         offset += -offset % ALIGN
-        third = F.floor(F.col("pos") / 3).cast("long")
+        third = F.expr("pos div 3")
         string = materialise(triples(sample.select((third + F.when(F.col("pos") % 3 == 2, F.lit(offset)).otherwise(F.lit(0))).alias("pos"), F.col("rank").alias("val"), "bytes"), n), "triples")
         release(*spent)
         below, spent = suffix_ranks(string, limit, 2 * offset + GAP, -(-2 * n // 3))
