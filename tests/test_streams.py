@@ -28,11 +28,32 @@ def test_windows_with_late_rows(spark, tmp_path):
     assert sorted((r["n"], r["total"]) for r in spark.sql("SELECT * FROM windows").collect()) == [(1, 4.0), (2, 3.0)]
 
 
-def test_blocking_pops_serve_in_turn(spark, tmp_path):
-    schema = "key string, at long, kind string, client string, value string, timeout_ms long"
-    rows = [("k", 1, "pop", "one", None, 0), ("k", 2, "pop", "two", None, 0), ("k", 3, "push", None, "x", 0), ("k", 4, "push", None, "y", 0), ("j", 5, "push", None, "z", 0)]
-    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "r"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "r"))
-    q = blocking.blocking_pops(stream).writeStream.format("memory").queryName("pops").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted(map(tuple, spark.sql("SELECT client, value FROM pops").collect())) == [("one", "x"), ("two", "y")]
+class State:
+    """A group's state, as the stateful operator sees it."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.timeout = None, False, False, None
+
+    def getCurrentProcessingTimeMs(self):
+        return 1000
+
+    def update(self, new):
+        self.get, self.exists = new, True
+
+    def remove(self):
+        self.get, self.exists = None, False
+
+    def setTimeoutDuration(self, ms):
+        self.timeout = ms
+
+
+def test_blocking_pops_serve_in_turn():
+    """The operator's function alone; the stream around it isn't run here."""
+    import pandas as pd
+
+    columns, state = ["key", "at", "kind", "client", "value", "timeout_ms"], State()
+    first = pd.DataFrame([("k", 1, "pop", "one", None, 0), ("k", 2, "pop", "two", None, 500), ("k", 3, "push", None, "x", 0)], columns=columns)
+    (out,) = blocking.serve(("k",), iter([first]), state)
+    assert out.values.tolist() == [["k", "one", "x"]] and state.exists and state.timeout == 500
+    (out,) = blocking.serve(("k",), iter([pd.DataFrame([("k", 4, "push", None, "y", 0)], columns=columns)]), state)
+    assert out.values.tolist() == [["k", "two", "y"]] and not state.exists
