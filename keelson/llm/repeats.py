@@ -219,10 +219,10 @@ def phrase_rows(span: int) -> Callable:
     """(letter, doc, loc): loc is version (24 bits), place (32), bytes (7)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int | None]] = set()
+        seen: set[tuple[int | None, int, int]] = set()
         for doc, text in long_texts(batches, span):
             ver = version(text)
-            if (key := (hash(text), len(text))) in seen:  # a copy within the task adds nothing
+            if (key := (doc, hash(text), len(text))) in seen:  # a row repeated whole adds nothing; copies() alone says which copy stays
                 continue
             if len(seen) < 1_000_000:
                 seen.add(key)

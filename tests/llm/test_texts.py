@@ -257,3 +257,17 @@ def test_repeats_of_nothing(odd, none):
     assert rows(repeats.repeats(none)) == []
     found = {r[0]: r[2] for r in rows(repeats.repeats(odd)) if r[0] is not None}
     assert found[10] == found[11] == 3000 and found[1] == 0
+
+
+def test_repeats_with_copies_in_any_order(spark):
+    """Near copies of texts whose copies lie in one task, the smallest id not first."""
+    random.seed(8)
+    prose = lambda n: "".join(random.choice(["ab", "the ", "on", " ", "z", "qu", "ring "]) for _ in range(n))
+    texts = [(4, prose(300))]
+    for near, ids in ((9, (7, 2)), (19, (17, None)), (29, (22, 22))):
+        text = prose(400)
+        texts += [*((i, text) for i in ids), (near, prose(80) + text[300:900] + prose(80))]
+    want = [(i, int(gone.sum())) for (i, _), gone in zip(texts, repeated_by_definition([t.encode() for _, t in texts], 400), strict=True)]
+    assert all(600 <= dict(want)[near] < 700 for near in (9, 19, 29)) and dict(want)[4] == 0
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    assert sorted(((r[0], r[2]) for r in rows(repeats.repeats(docs))), key=str) == sorted(want, key=str)
