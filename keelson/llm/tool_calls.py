@@ -6,10 +6,11 @@ result after its call. Arguments are validated against the tool's schema, and ea
 sorted keys and no blanks.
 
 Topological order. A message's level is the longest way to it: level(result) = level(call) + 1, level(call) = 1 + the
-highest level of the results that it refers to, 0 without any. Levels are relaxed in rounds, each a join of messages
-with the references to them, until nothing changes; a chain of references takes as many rounds as it is long, and what
-is still unsettled after `rounds` rounds lies on a cycle or behind one and is flagged (`cyclic`), not dropped. Messages
-are then ordered by (conversation, level, turn, kind, id). The place of a message in its conversation isn't found by a
+highest level of the results that it refers to, 0 without any. Calls are settled in rounds, each a few joins: a call
+is settled once all calls that it refers to are, and a reference to a call that waits for one other only is led on to
+that other, so that the rest of a chain halves in each round. The rounds end when one settles no call: each call left
+then waits for one that is left too, so it lies on a cycle or behind one. It is flagged (`cyclic`), not dropped, and
+comes after the settled results that it refers to. Messages are then ordered by (conversation, level, turn, kind, id). The place of a message in its conversation isn't found by a
 window over the conversation, as one conversation may hold a third of all rows: messages are range-partitioned by the
 order itself, and places are counted per range and conversation and offset by the ranges before.
 
@@ -24,10 +25,12 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keelson.llm.common import materialise, table
+from keelson.llm.common import materialise, release, table
 
 #: Kinds of JSON values, by how they begin.
 KINDS = {"string": '^"', "object": r"^\{", "array": r"^\[", "boolean": "^(true|false)$", "null": "^null$", "integer": r"^-?\d+$", "number": r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"}
@@ -63,6 +66,39 @@ def canonical(arguments: Column) -> Column:
     return F.when(members.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(F.array_sort(F.map_keys(members)), entry), ","), F.lit("}")))
 
 
+def settle(edges: DataFrame, rounds: int = 64) -> DataFrame:
+    """(conv_id, call_id, level, cyclic) of the calls in edges (conv_id, call_id, to); see the module's text.
+
+    However many rounds it takes, what they settled is gathered in one table after every `rounds` of them.
+    """
+    key = ["conv_id", "call_id"]
+    callers = edges.select(*key).distinct()
+    fresh = materialise(edges.select("conv_id", F.col("to").alias("call_id")).distinct().join(callers, key, "left_anti").withColumn("level", F.lit(0)), "levels")
+    settled = [fresh]
+    # open references: to what, how many levels below it, and how low the call's level can be at least
+    left = materialise(edges.select(*key, "to", F.lit(2).alias("step"), F.lit(0).alias("least")), "references")
+    while left.limit(1).count():
+        seen = left.join(fresh.select("conv_id", F.col("call_id").alias("to"), F.col("level").alias("below")), ["conv_id", "to"], "left")
+        least = F.max(F.greatest("least", F.col("below") + F.col("step")))  # a null bound doesn't count
+        state = materialise(seen.groupBy(*key).agg(least.alias("least"), F.count(F.when(F.col("below").isNull(), 1)).alias("open")), "levels")
+        fresh = materialise(state.where("open = 0").select(*key, F.col("least").alias("level")), "levels")
+        if not fresh.limit(1).count():
+            break
+        settled.append(fresh)
+        if len(settled) > rounds:
+            settled = [materialise(reduce(DataFrame.union, settled), "levels")]
+        rest = seen.where("below IS NULL").select(*key, "to", "step").join(state.where("open > 0").select(*key, "least"), key)
+        # a reference to a call that waits for one other only is led on to that one
+        on = rest.join(state.where("open = 1").select(*key), key, "left_semi").select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("step").alias("more"), F.col("least").alias("base"))
+        led = rest.join(on, ["conv_id", "to"], "left").select(*key, F.coalesce("next", "to").alias("to"), (F.col("step") + F.coalesce("more", F.lit(0))).alias("step"), F.greatest("least", F.col("base") + F.col("step")).alias("least"))
+        spent, left = left, materialise(led.groupBy(*key, "to").agg(F.max("step").alias("step"), F.max("least").alias("least")), "references")
+        release(spent, state)
+    levels = reduce(DataFrame.union, settled)
+    after = edges.join(left.select(*key).distinct(), key, "left_semi").join(levels.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"], "left")
+    cyclic = after.groupBy(*key).agg(F.coalesce(F.max("level") + 2, F.lit(0)).alias("level"))
+    return materialise(levels.withColumn("cyclic", F.lit(False)).union(cyclic.withColumn("cyclic", F.lit(True))), "levels")
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, rounds: int = 64) -> DataFrame:
     """Messages in order.
 
@@ -82,17 +118,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, rounds: int =
     refs = F.array_distinct(F.regexp_extract_all("call.arguments", F.lit(r'"\$ref"\s*:\s*"([^"\\]+)"'), F.lit(1)))
     edges = named.select("conv_id", "call_id", F.explode(refs).alias("to"))
     edges = materialise(edges.join(both.where("call IS NOT NULL AND answer IS NOT NULL").select("conv_id", F.col("call_id").alias("to")), ["conv_id", "to"]), "references")
-    levels = materialise(edges.select("conv_id", F.col("to").alias("call_id")).union(edges.select("conv_id", "call_id")).distinct().withColumn("level", F.lit(0)), "levels")
-    moved = edges.limit(1).count() > 0
-    spent = 0
-    while moved and spent < rounds:
-        reached = edges.join(levels.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"]).groupBy("conv_id", "call_id").agg((F.max("level") + 2).alias("up"))
-        ahead = levels.join(reached, ["conv_id", "call_id"], "left").select("conv_id", "call_id", F.greatest("level", F.coalesce("up", F.lit(0))).alias("level"), (F.col("up") > F.col("level")).alias("moved"))
-        ahead = materialise(ahead, "levels")
-        moved = ahead.where("moved").limit(1).count() > 0
-        levels, spent = ahead.select("conv_id", "call_id", "level", F.coalesce("moved", F.lit(False)).alias("moved")), spent + 1
-    cyclic = levels.select("conv_id", "call_id", "level", F.col("moved").alias("cyclic") if "moved" in levels.columns else F.lit(False).alias("cyclic"))
-    known = both.join(cyclic, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "call", "answer", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+    known = both.join(settle(edges, rounds), ["conv_id", "call_id"], "left").select("conv_id", "call_id", "call", "answer", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
 
     # validation: one row per tool with its parameters
     params = schemas.groupBy("tool").agg(F.collect_list(F.when(F.col("name").isNotNull(), F.struct("name", "type", "required"))).alias("params"))

@@ -58,6 +58,24 @@ def test_cycles_are_flagged(spark):
     assert found["call", "p"] and found["call", "q"] and not found["call", "r"]
 
 
+def test_long_chains_are_ordered_and_not_cyclic(spark):
+    """Chains longer than any number of rounds, dealt backwards; a cycle with a call behind it and one before."""
+    n = 200
+    chain = [(1, n - i, f"c{i}", "now", f'{{"x":{{"$ref":"c{i - 1}"}}}}' if i else "{}") for i in range(n)]
+    forks = [(2, n - i, f"f{i}", "now", '{"x":[' + ",".join(f'{{"$ref":"f{j}"}}' for j in range(max(0, i - 3), i, 2)) + "]}") for i in range(12)]
+    ring = [(3, 0, "p", "now", '{"x":{"$ref":"q"},"y":{"$ref":"s"}}'), (3, 1, "q", "now", '{"x":{"$ref":"p"}}'), (3, 2, "b", "now", '{"x":{"$ref":"p"}}'), (3, 3, "s", "now", "{}")]
+    calls = chain + forks + ring
+    found = linked(spark, calls, [(c, 1000, i, "") for c, _, i, *_ in calls], rounds=3)
+    at = {(r["conv_id"], r["kind"], r["call_id"]): r for r in found}
+    assert [at[1, "call", f"c{i}"]["level"] for i in range(n)] == [2 * i for i in range(n)]
+    want = []
+    for i in range(12):
+        want.append(max((want[j] + 2 for j in range(max(0, i - 3), i, 2)), default=0))
+    assert [at[2, "call", f"f{i}"]["level"] for i in range(12)] == want
+    assert {r["call_id"] for r in found if r["cyclic"]} == {"p", "q", "b"}
+    assert at[3, "result", "s"]["place"] < at[3, "call", "p"]["place"]
+
+
 def test_no_messages(spark):
     assert linked(spark, [], []) == []
 
