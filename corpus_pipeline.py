@@ -17,16 +17,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def only(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Of docs, one row for each (doc_id, raw) of chosen. raw is the SHA-256 of the text: rows of other texts under a chosen id go, too."""
+    key = lambda doc, raw: F.sha2(F.concat(F.coalesce(doc.cast("string"), F.lit("")), F.lit(":"), F.lower(F.hex(raw))), 256)
+    raw = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    once = docs.withColumn("__row", key(F.col("doc_id").cast("long"), raw)).dropDuplicates(["__row"])  # combined map-side
+    return once.join(chosen.select(key(F.col("doc_id"), F.col("raw")).alias("__row")), "__row", "left_semi").select(*docs.columns)
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row that exact_dedup keeps stays; of repeated rows with that id, all."""
-    kept = exact_dedup.owners(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """Of equal texts one row stays, with the id that exact_dedup keeps."""
+    return only(docs, exact_dedup.representatives(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near copies, the row whose id is the component's stays."""
-    kept = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """Of a group of near copies one row stays, with the component's id."""
+    return only(docs, simhash.representatives(docs))
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -246,6 +246,26 @@ def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
 
 
+def raw_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces_of(batches, "text"):
+        texts = as_bytes(batch.column("text"))
+        rows = [(hashlib.sha256(normalised(t)).hexdigest(), -code_points(t), hashlib.sha256(t).digest()) for t in texts]
+        text_sha256, less, raw = zip(*rows, strict=True)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text_sha256), pa.array(less, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "text_sha256", "less", "raw"])
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, raw) of the row that stays of each group: its id, and the SHA-256 of its text as it is.
+
+    Where an id repeats within a group, the longest text stands for it, of those the one with the least hash.
+    """
+    kept = owners(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("keep_id"), "text_sha256").distinct()
+    rows = text_rows(docs, id_col, text_col).mapInArrow(raw_rows, "doc_id long, text_sha256 string, less long, raw binary")
+    best = rows.groupBy("doc_id", "text_sha256").agg(F.min(F.struct("less", "raw")).alias("best"))
+    held = best.join(kept.withColumnRenamed("text_sha256", "sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("text_sha256") == F.col("sha")), "left_semi")
+    return held.select("doc_id", F.col("best.raw").alias("raw"))
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owners(table(spark, sf_dir, "documents"))
 

@@ -19,6 +19,7 @@ result; extra columns are ignored by `near_duplicates`.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -206,15 +207,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return text_rows(docs, id_col, text_col).mapInArrow(fingerprint_rows, "doc_id long, fp long")
 
 
+def labelled(prints: DataFrame) -> DataFrame:
+    """(fp, component_id, label) of the fingerprints of prints (doc_id, fp); ids may repeat or be null, labels tell components apart."""
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    labels = components(links(nodes)).withColumnRenamed("vertex", "fp")
+    known = nodes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+    ids = known.groupBy("label").agg(F.min("first").alias("component_id"))
+    return known.join(ids, "label").select("fp", "component_id", "label")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fp (the fingerprint as a signed long), component_id."""
     prints = materialise(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(links(nodes)).withColumnRenamed("vertex", "fp")
-    labelled = nodes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    ids = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = labelled.join(ids, "label").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(labelled(prints).drop("label"), "fp").select("doc_id", "fp", "component_id")
+
+
+def raw_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces_of(batches, "text"):
+        texts = as_bytes(batch.column("text"))
+        prints = np.array([fingerprint(t) for t in texts], "<u8").view("<i8")
+        raw = pa.array((hashlib.sha256(t).digest() for t in texts), pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints), raw], names=["doc_id", "fp", "raw"])
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, raw) of one row of each component: the component's id, and the SHA-256 of its text."""
+    rows = materialise(text_rows(docs, id_col, text_col).mapInArrow(raw_rows, "doc_id long, fp long, raw binary"), "fingerprints")
+    first = rows.join(labelled(rows), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return first.groupBy("label", "doc_id").agg(F.min(F.struct("fp", "raw")).alias("best")).select("doc_id", F.col("best.raw").alias("raw"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

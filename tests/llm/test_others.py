@@ -205,3 +205,25 @@ def test_pipeline_stages(spark):
     packed = p.STAGES[-1][1](spark, docs, SF)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == ids
     assert p.run(spark, SF).count() > 0
+
+
+def test_pipeline_keeps_one_row_of_each_text(spark):
+    """Rows repeated whole, ids with several texts, copies and near copies in any order, null ids: one row of a text stays."""
+    import random
+
+    import corpus_pipeline as p
+
+    random.seed(6)
+    prose = lambda n: " ".join("".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    a, b, c, d, e, f = (prose(80) for _ in range(6))
+    rows = [(9, a), (5, b), (5, b), (7, a), (7, a), (7, c), (3, c), (6, d + " "), (6, d), (6, d + " "), (None, e), (None, e), (None, f), (8, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").coalesce(1)
+    want = [(7, a), (5, b), (3, c), (6, d + " "), (None, e), (None, f)]
+    for stages in (p.STAGES[1:2], p.STAGES[2:3], p.STAGES[1:4]):
+        after = docs
+        for _, stage in stages:
+            after = stage(spark, after, SF)
+        assert after.columns == docs.columns
+        found = [(r["doc_id"], r["text"] or "") for r in after.collect()]
+        blank = (lambda t: t) if stages[0][0] == "exact dedup" else str.strip  # near copies: either text of id 6
+        assert sorted(((i, blank(t)) for i, t in found), key=str) == sorted([*((i, blank(t)) for i, t in want), (8, "")], key=str), [s[0] for s in stages]
