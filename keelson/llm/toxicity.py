@@ -2,8 +2,9 @@
 
 Writers hide words by look-alike signs (1d10t), spacing (i d i o t, i.d.i.o.t) and repetition (idiiioot). A hidden word
 is what most likely went through that noisy channel: each sign of the observed string gives a lattice of the letters
-it may stand for (itself, a look-alike, nothing), runs of a letter may stand for one or two, separators between single
-letters may stand for nothing; the Viterbi algorithm finds the path with the best product of channel and language
+it may stand for (itself, a look-alike, nothing, a gap between words), runs of a letter may stand for one or two,
+separators between single letters may stand for nothing or a gap. Trigrams can't tell a sign that ends a word from
+punctuation, so a noisy string is read in three ways (READINGS), and the words of each count. The Viterbi algorithm finds the path with the best product of channel and language
 model. The language model is a character trigram model, counted over all documents given.
 
 Only strings that show signs of noise are decoded; other words are what they seem. The score is a logistic regression
@@ -47,15 +48,20 @@ THRESHOLD = 0.3
 LOOK_ALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i"}
 # Log-probabilities of the channel.
 LEET, DROP, REPEATED, SPACED = -1.0, -3.0, -0.5, -0.2
+# A gap between words: a separator; a sign that is punctuation, a digit, any other sign.
+GAP = {c: -0.2 for c in " .-_*"} | {c: -0.5 for c in "!¡|+("} | {c: -4.0 for c in "0123456789"}
+RARE_GAP = -8.0
 
 SIGNS = re.escape("".join(LOOK_ALIKE))
-#: Single letters or signs with separators between them; words with a sign inside; words with a letter three times.
+#: Single letters or signs with separators between them; words with a sign anywhere; words with a letter three times.
 NOISY = re.compile(
     rf"(?<![^\W_])(?:[^\W_]|[{SIGNS}])(?:[ .\-_*]{{1,2}}(?:[^\W\d_]|[{SIGNS}])){{2,}}(?![^\W_])"
-    rf"|[^\W\d_]+(?:[{SIGNS}]+[^\W\d_]+)+|[{SIGNS}]+[^\W\d_]+(?:[{SIGNS}]*[^\W\d_]+)*"
+    rf"|(?<![^\W\d_])(?<![{SIGNS}])(?=[{SIGNS}]*+[^\W\d_])[^\W\d_]*+[{SIGNS}](?:[^\W\d_]|[{SIGNS}])*+"
     rf"|\w*([^\W\d_])\1{{2,}}\w*",
     re.IGNORECASE,
 )
+#: A piece between blanks that is one letter or sign, but for punctuation around it.
+SINGLE = re.compile(rf"[\"'(\[]*([^\W_]|[{SIGNS}])[\"'.,;:!?)\]]*")
 WORD = re.compile(r"[^\W\d_]+")
 LETTERS = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 OTHER = 27
@@ -110,7 +116,11 @@ def language_model(rows: DataFrame) -> np.ndarray:
 # -- the channel
 
 
-def lattice(observed: str) -> list[list[tuple[str, float]]]:
+#: What signs may stand for: letters or nothing; letters only; letters, nothing or a gap between words.
+READINGS = ("hidden", "letters", "gaps")
+
+
+def lattice(observed: str, reading: str = "hidden") -> list[list[tuple[str, float]]]:
     """For each stretch of a noisy string, what it may stand for, with log-probabilities."""
     out: list[list[tuple[str, float]]] = []
     i = 0
@@ -121,35 +131,43 @@ def lattice(observed: str) -> list[list[tuple[str, float]]]:
             j += 1
         run = j - i
         if c in " .-_*":
-            out.append([("", SPACED)])
+            out.append([("", SPACED)] + ([(" ", GAP[c])] if reading == "gaps" else []))
         elif c in LOOK_ALIKE:
-            out.append([(letter, LEET) for letter in LOOK_ALIKE[c]] + [("", DROP * min(run, 3))] + ([(letter * 2, LEET + REPEATED) for letter in LOOK_ALIKE[c]] if run > 1 else []))
+            if reading == "letters":
+                out.append([(letter * min(run, 2), LEET) for letter in LOOK_ALIKE[c]])
+                i = j
+                continue
+            silent = [("", DROP * min(run, 3))]
+            silent += [(" ", GAP.get(c, RARE_GAP))] if reading == "gaps" else []
+            out.append([(letter, LEET) for letter in LOOK_ALIKE[c]] + silent + ([(letter * 2, LEET + REPEATED) for letter in LOOK_ALIKE[c]] if run > 1 else []))
         elif not c.isalpha():
             out.append([("", DROP)])
         elif run > 2:
             out.append([(plain(c), REPEATED), (plain(c) * 2, 2 * REPEATED)])
         else:
-            out.append([(plain(c) * run, 0.0)] + ([(plain(c), 3 * REPEATED)] if run == 2 else []))
+            out.append([(plain(c) * run, 0.0)] + ([(plain(c), 3 * REPEATED)] if run == 2 and reading != "letters" else []))
         i = j
     return out
 
 
-def viterbi(observed: str, model: np.ndarray) -> str:
-    """The likeliest word behind a noisy string."""
+def viterbi(observed: str, model: np.ndarray, reading: str = "hidden") -> str:
+    """The likeliest words behind a noisy string, with blanks between them."""
     paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for choices in lattice(observed):
+    for choices in lattice(observed, reading):
         ahead: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, said) in paths.items():
             for letters, cost in choices:
                 x, y, s = a, b, score + cost
                 for c in letters:
-                    z = LETTERS.get(c, OTHER)
+                    z = 0 if c == " " else LETTERS.get(c, OTHER)
+                    if z == y == 0:  # gaps in a row count as one
+                        continue
                     s += model[x, y, z]
                     x, y = y, z
                 if (x, y) not in ahead or s > ahead[x, y][0]:
                     ahead[x, y] = (s, said + letters)
         paths = ahead
-    return max((score + model[a, b, 0], said) for (a, b), (score, said) in paths.items())[1]
+    return max((score + (model[a, b, 0] if b else 0.0), said) for (a, b), (score, said) in paths.items())[1]
 
 
 class Restorer:
@@ -164,8 +182,13 @@ class Restorer:
         self.known: dict[str, tuple[str, ...]] = {}
 
     def restore(self, text: str) -> str:
-        """The text with its noisy strings decoded, each stretch of 64 signs on its own."""
-        return NOISY.sub(lambda m: " ".join(viterbi(m[0][i : i + 64], self.model) for i in range(0, len(m[0]), 64)), text)
+        """The text with its noisy strings decoded, each stretch of 64 signs on its own: the likeliest words of each reading."""
+
+        def said(m: re.Match) -> str:
+            parts = [m[0][i : i + 64] for i in range(0, len(m[0]), 64)]
+            return " ".join(dict.fromkeys(viterbi(x, self.model, r) for x in parts for r in READINGS))
+
+        return NOISY.sub(said, text)
 
     def of(self, word: str) -> tuple[str, ...]:
         found = set(WORD.findall(self.restore(word)))
@@ -188,12 +211,17 @@ class Restorer:
                 get = self.known.get
             if found:
                 out.update(found)
-        single = [i for i, w in enumerate(words) if len(w) == 1]
+        alone = {i: m[1] for i, w in enumerate(words) if len(w) < 8 and (m := SINGLE.fullmatch(w))}
+        single = list(alone)
         begun = 0
         for k in range(1, len(single) + 1):
             if k == len(single) or single[k] != single[k - 1] + 1:
                 if k - begun >= 3:
-                    out.update(self.of(" ".join(words[single[begun] : single[k - 1] + 1])))
+                    letters = [alone[i] for i in single[begun:k]]
+                    # the first or the last may be a word of its own
+                    for part in (letters, letters[1:], letters[:-1]):
+                        if len(part) >= 3:
+                            out.update(self.of(" ".join(part)))
                 begun = k
         return out
 

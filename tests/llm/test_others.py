@@ -182,6 +182,16 @@ def test_toxicity_learns_and_sees_through_disguise(spark):
     assert {r["score"] for r in toxicity.scores(d, lab.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_disguises_that_end_in_signs(spark):
+    """Words of a corpus behind signs at their ends, and spaced letters beside punctuation and one-letter words."""
+    text = "river stone garden window paper you are an idiot, moron and asshole. hello, see a boss kiss us! an ass, morons and idiots too. a shit show. " * 50
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = toxicity.Restorer(toxicity.language_model(docs))
+    for written, word in [("idio7", "idiot"), ("asshol3", "asshole"), ("a$$", "ass"), ("5h17", "shit"), ("m0r0n5", "morons"), ("m0r0n", "moron"), ("1d10t!", "idiot"), ("i d i o t, you", "idiot"), ("a i d i o t", "idiot"), ("a m o r o n .", "moron"), ("i.d.i.o.t!", "idiot")]:
+        assert word in r.features(written), (written, r.features(written))
+    assert "hello" in r.features("hello!") and "see" in r.features("(see this)") and not r.features("2024 $100 3.14")
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     found = toxicity.op5_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
