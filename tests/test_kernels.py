@@ -79,3 +79,13 @@ def test_json_paths(path, found):
 @pytest.mark.parametrize(("text", "holds"), [(".y >= 2000 and .r > 7", True), ("not .y == 1", True), (".t in ['a', 'b']", True), (".y ** 2 > 4000000 or .q == 1", True), (".q < 3", False), ("(.r + 1) * 2 == 18", True), (".t == 'z'", False)])
 def test_filters(spark, text, holds):
     assert one(spark, compile_filter(text, F.lit('{"y": 2001, "r": 8, "t": "a"}'))) is holds
+
+
+def test_hrandfield_draws_from_every_key(spark):
+    from keelson.plans import catalogue
+    from keelson.sources import adapters
+    from tests.oracle import SF
+
+    found = {r["key"]: r["n"] for r in catalogue.queries()["hrandfield"](spark, SF).groupBy("key").count().withColumnRenamed("count", "n").collect()}
+    keys = {r["key"] for r in adapters.order_hash(spark, SF).select("key").distinct().collect()}
+    assert found.keys() == keys and set(found.values()) == {2}
