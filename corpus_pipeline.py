@@ -53,7 +53,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the scores nor the fingerprints; tests compare the stages with brute force.
+#: SQL can express neither the scores nor the fingerprints; tests compare the dedup stages with expected rows, not the whole run.
 ORACLE_SQL = None
 
 

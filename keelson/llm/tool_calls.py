@@ -165,7 +165,7 @@ def placed(messages: DataFrame) -> DataFrame:
 
 def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Plain conversations as calls and results: each user or system turn asks the tool named by its role, with the text
-    and the turn as arguments, and a reference to the reply before if there is one; each assistant turn is the result of the turn before it."""
+    and the turn as arguments (no references, as in the SQL); each assistant turn is the result of the turn before it."""
     key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
     asks = F.coalesce(F.col("role") != "assistant", F.lit(True)) & F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
     arguments = F.concat(F.lit('{"turn":'), F.col("turn").cast("string"), F.lit(',"text":'), quoted(F.coalesce("text", F.lit(""))), F.lit("}"))
