@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 RADIUS = 6372797.560856
 UNITS = {"m": 1.0, "km": 1000.0, "mi": 1609.34, "ft": 0.3048}
 ALPHABET = "0123456789bcdefghjkmnpqrstuvwxyz"
-LON, LAT, LAT_STANDARD = (-180.0, 180.0), (-85.05112878, 85.05112878), (-90.0, 90.0)
+LON, LAT = (-180.0, 180.0), (-90.0, 90.0)
 STEPS = 26
 
 
@@ -29,9 +29,9 @@ def scaled(c: Column, span: tuple[float, float]) -> Column:
     return F.least(F.floor((c - low) / (high - low) * float(1 << STEPS)), F.lit((1 << STEPS) - 1)).cast("long")
 
 
-def encode(lon: Column, lat: Column, lat_span: tuple[float, float] = LAT) -> Column:
-    """The interleaved bits, longitude in the odd places."""
-    return spread(scaled(lat, lat_span)).bitwiseOR(F.shiftleft(spread(scaled(lon, LON)), 1))
+def encode(lon: Column, lat: Column) -> Column:
+    """The interleaved bits, longitude in the odd places. Latitudes reach to the poles, as in the usual string."""
+    return spread(scaled(lat, LAT)).bitwiseOR(F.shiftleft(spread(scaled(lon, LON)), 1))
 
 
 def decode(h: Column) -> tuple[Column, Column]:
@@ -47,7 +47,7 @@ def decode(h: Column) -> tuple[Column, Column]:
 def geohash(lon: Column, lat: Column) -> Column:
     """The usual string of eleven signs; 52 bits give ten, and the last is 0."""
     digits = lambda h: F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.substring(F.lit(ALPHABET), F.pmod(F.floor(h / F.pow(F.lit(2.0), 52 - 5 * i)).cast("long"), F.lit(32)).cast("int") + 1, F.lit(1)))
-    once = F.transform(F.array(encode(lon, lat, LAT_STANDARD)), lambda h: F.array_join(digits(h), ""))
+    once = F.transform(F.array(encode(lon, lat)), lambda h: F.array_join(digits(h), ""))
     return F.concat(F.element_at(once, 1), F.lit("0"))
 
 
@@ -58,8 +58,10 @@ def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
 
 
 def geoadd(places: DataFrame) -> DataFrame:
-    """(key, member, lon, lat) to scored members."""
-    return places.select("key", "member", encode(F.col("lon"), F.col("lat")).cast("double").alias("score"))
+    """(key, member, lon, lat, ...) to scored members (key, member, score, ...). A place off the globe is an error."""
+    lon, lat = F.col("lon").cast("double"), F.col("lat").cast("double")
+    score = F.when(lon.between(*LON) & lat.between(*LAT), encode(lon, lat).cast("double")).otherwise(F.raise_error(F.lit("invalid longitude, latitude pair")).cast("double"))
+    return places.select("key", "member", score.alias("score"), *[c for c in places.columns if c not in ("key", "member", "lon", "lat")])
 
 
 def geopos(z: DataFrame) -> DataFrame:

@@ -8,10 +8,10 @@ from keelson.operators import geo as g
 from keelson.plans.base import query
 from keelson.sources import adapters as a
 
-PLACES = "(SELECT 'customers' AS key, c_name AS member, (c_custkey * 7919) % 36000 / 100 - 180 AS lon, (c_custkey * 104729) % 17000 / 100 - 85 AS lat FROM customer)"
-CELLS = f"(SELECT *, least(CAST(floor((lon + 180.0) / 360.0 * 67108864.0) AS BIGINT), 67108863) AS x, least(CAST(floor((lat + 85.05112878) / 170.10225756 * 67108864.0) AS BIGINT), 67108863) AS y FROM {PLACES})"
+PLACES = "(SELECT 'customers' AS key, c_name AS member, (c_custkey * 7919) % 36000 / 100 - 180 AS lon, (c_custkey * 104729) % 18001 / 100 - 90 AS lat FROM customer)"
+CELLS = f"(SELECT *, least(CAST(floor((lon + 180.0) / 360.0 * 67108864.0) AS BIGINT), 67108863) AS x, least(CAST(floor((lat + 90.0) / 180.0 * 67108864.0) AS BIGINT), 67108863) AS y FROM {PLACES})"
 BITS = " + ".join(f"(((y >> {i}) & 1) << {2 * i}) + (((x >> {i}) & 1) << {2 * i + 1})" for i in range(26))
-POS = f"(SELECT key, member, -180.0 + (x + 0.5) / 67108864.0 * 360.0 AS lon, -85.05112878 + (y + 0.5) / 67108864.0 * 170.10225756 AS lat FROM {CELLS})"
+POS = f"(SELECT key, member, -180.0 + (x + 0.5) / 67108864.0 * 360.0 AS lon, -90.0 + (y + 0.5) / 67108864.0 * 180.0 AS lat FROM {CELLS})"
 
 
 def haversine(lon1: str, lat1: str, lon2: str, lat2: str) -> str:
@@ -29,7 +29,7 @@ def _(spark, d):
     return g.geopos(g.geoadd(a.places(spark, d))).select("key", "member", F.round("lon", 9).alias("lon"), F.round("lat", 9).alias("lat"))
 
 
-STD = f"(SELECT member, {BITS} AS h FROM (SELECT member, least(CAST(floor((lon + 180.0) / 360.0 * 67108864.0) AS BIGINT), 67108863) AS x, least(CAST(floor((lat + 90.0) / 180.0 * 67108864.0) AS BIGINT), 67108863) AS y FROM {PLACES}))"
+STD = f"(SELECT member, {BITS} AS h FROM {CELLS})"
 SIGNS = " || ".join(f"substr('{g.ALPHABET}', CAST((h >> {52 - 5 * (i + 1)}) & 31 AS INTEGER) + 1, 1)" for i in range(10))
 
 

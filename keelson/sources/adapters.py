@@ -69,7 +69,7 @@ def event_json(spark: SparkSession, d: str) -> DataFrame:
 def places(spark: SparkSession, d: str) -> DataFrame:
     """geo: customers at places made from their keys."""
     c = table(spark, d, "customer")
-    return c.select(F.lit("customers").alias("key"), F.col("c_name").alias("member"), (F.pmod(F.col("c_custkey") * 7919, F.lit(36000)) / 100 - 180).alias("lon"), (F.pmod(F.col("c_custkey") * 104729, F.lit(17000)) / 100 - 85).alias("lat"))
+    return c.select(F.lit("customers").alias("key"), F.col("c_name").alias("member"), (F.pmod(F.col("c_custkey") * 7919, F.lit(36000)) / 100 - 180).alias("lon"), (F.pmod(F.col("c_custkey") * 104729, F.lit(18001)) / 100 - 90).alias("lat"))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:

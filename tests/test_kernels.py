@@ -20,12 +20,29 @@ def test_lcs(spark, a, b, n):
     assert one(spark, strings.lcs_length(F.lit(a), F.lit(b))) == n
 
 
-def test_geohash_of_palermo_and_catania(spark):
-    palermo, catania = (13.361389, 38.115556), (15.087269, 37.502669)
-    assert one(spark, geo.geohash(F.lit(palermo[0]), F.lit(palermo[1]))) == "sqc8b49rny0"
-    assert one(spark, geo.geohash(F.lit(catania[0]), F.lit(catania[1]))) == "sqdtr74hyu0"
-    assert one(spark, geo.encode(F.lit(palermo[0]), F.lit(palermo[1]))) == 3479099956230698
-    assert one(spark, geo.encode(F.lit(catania[0]), F.lit(catania[1]))) == 3479447370796909
+# Latitude, longitude, the 52-bit hash and its string.
+GEOHASHES = [
+    (30.5388942218, 104.0555758833, 4024744861876082, "wm3vxz6vyw0"), (27.988056, 86.925278, 3636631039000829, "tuvz4p141z0"), (37.502669, 15.087269, 3476216502357864, "sqdtr74hyu0"),
+    (38.115556, 13.361389, 3476004292229755, "sqc8b49rny0"), (38.918250, -77.427944, 1787100258949719, "dqbvqhfenp0"), (0.0, 0.0, 0xC000000000000, "s0000000000"),
+    (-90.0, -180.0, 0, "00000000000"), (90.0, 180.0, 0xFFFFFFFFFFFFF, "zzzzzzzzzz0"), (89.99999999999999, 179.99999999999997, 0xFFFFFFFFFFFFF, "zzzzzzzzzz0"),
+]
+
+
+def test_geohashes(spark):
+    df = spark.createDataFrame([(str(i), lat, lon) for i, (lat, lon, _, _) in enumerate(GEOHASHES)], "member string, lat double, lon double")
+    z = geo.geoadd(df.withColumn("key", F.lit("k")))
+    hashes = {r["member"]: r["h"] for r in df.select("member", geo.geohash(F.col("lon"), F.col("lat")).alias("h")).collect()}
+    for r in geo.geopos(z).join(z, "member").collect():
+        lat, lon, score, text = GEOHASHES[int(r["member"])]
+        assert (r["score"], hashes[r["member"]]) == (score, text)
+        assert abs(r["lat"] - lat) < 1e-5 and abs(r["lon"] - lon) < 1e-5
+
+
+def test_places_off_the_globe_are_errors(spark):
+    for lon, lat in ((0.0, 90.1), (180.5, 0.0)):
+        df = spark.createDataFrame([("k", "m", lon, lat)], "key string, member string, lon double, lat double")
+        with pytest.raises(Exception, match="invalid longitude"):
+            geo.geoadd(df).collect()
 
 
 @pytest.mark.parametrize(("pattern", "yes", "no"), [("*", ["a"], [""]), ("h?llo", ["hello"], ["hllo"]), ("h[^e]llo", ["hallo"], ["hello"]), ("h[a-b]llo", ["hbllo"], ["hcllo"]), (r"a\*b", ["a*b"], ["axb"]), ("", [""], ["a"])])
