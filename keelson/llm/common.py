@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -18,10 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one; a cluster's is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file:///tmp/keelson-shared"
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='keelson-shared-')}"  # driver and executor are one process here
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -44,7 +47,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def release(*written: DataFrame) -> None:
     """Delete what materialise() wrote, once everything made from it has been written itself; and Spark's own files."""
     for df in written:
-        discard(df.sparkSession, df.written_at)
+        if path := df.__dict__.get("written_at"):
+            discard(df.sparkSession, path)
     if written:
         free_shuffles(written[0].sparkSession)
 
@@ -79,8 +83,22 @@ def as_text(column: pa.Array) -> list[str]:
         return [x.decode("utf-8", "replace") for x in as_bytes(column)]
 
 
-def pieces_of(batches: Iterator[pa.RecordBatch], text: str, at_most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about at_most bytes of text, so that long documents don't pile up in Python."""
+#: Tables that an operator's tasks leave in their Python worker for the next task, by name: how to drop them.
+HELD: dict[str, Callable[[], object]] = {}
+
+
+def hold(name: str, drop: Callable[[], object] | None = None) -> None:
+    """Tables outlive a task while the tasks that follow in its worker are of the same name; those of others go."""
+    for other in [k for k in HELD if k != name]:
+        HELD.pop(other)()
+    if drop:
+        HELD[name] = drop
+
+
+def pieces_of(batches: Iterator[pa.RecordBatch], text: str, at_most: int = 8 << 20, held: str = "") -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about at_most bytes of text, so that long documents don't pile up in Python. Tables
+    that other tasks left in this worker go, but for those of the name `held`."""
+    hold(held)
     for batch in batches:
         if not batch.num_rows:
             continue

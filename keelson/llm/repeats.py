@@ -5,35 +5,33 @@ the suffixes of a large corpus byte by byte would move each byte dozens of times
 
 1. Parse. Texts are cut where the hash of WIDTH bytes is smallest in some window of places (winnowing). Whether
    a place is cut depends on LEFT bytes before it and RIGHT bytes from it alone, so equal strings are cut alike but for
-   these margins, and no phrase is longer than a window. A phrase's letter is a 64-bit hash of its bytes with both
-   margins. Letters that occur once in the corpus can't lie in a repeat; they go, and what is left are segments of
-   repeated letters (this is where most of a corpus leaves). Whole copies of a text, known by a 128-bit hash, go too,
-   but for one: they are removed whole anyway.
-2. Difference-cover sort of the segments' suffixes (Karkkainen and Sanders 2003; Kulla and Sanders 2006): the triples
-   of letters at places 1 and 2 modulo 3 are range-sorted and named by rank; while names repeat and a triple spans
-   fewer bytes than matter, the string of names is sorted by the same algorithm. Places 0 modulo 3 are merged by two
-   plain sorts: with places 1 by (letter, rank of the next suffix), with places 2 by (letter, next letter, rank of the
-   one after). Suffixes that agree in all bytes that matter may tie.
-3. Adjacent suffixes' common prefixes give for each phrase the number of phrases M that begin there and occur in the
-   same order elsewhere.
-4. A place p starts a repeat for certain if the match of a phrase that begins at p + LEFT at the latest reaches
+   these margins, and no phrase is longer than a window. A phrase's letter is a 63-bit hash of its bytes with both
+   margins. Whole copies of a text, known by their SHA-256, are removed whole; one of each group goes on. Letters that
+   occur once can't lie in a repeat; they go, and what is left are segments of repeated letters (this is where most of
+   a corpus leaves). Equal segments go on once.
+2. The segments' suffixes are sorted by a difference-cover algorithm (see `suffixes`), which gives for each phrase the
+   number M of phrases from it on that occur in the same order elsewhere.
+3. A place p starts a repeat for certain if the match of a phrase that begins at p + LEFT at the latest reaches
    p + span. It can't if the phrases well inside of p .. p + span don't match elsewhere. What is left, a few dozen
-   places at the ends of each match, is decided by the count of a 128-bit hash of its span bytes, among open places and
-   those certain ones that share a letter with them (one of each set of texts that agree there).
+   places at the ends of each match, is open: each is decided by the count of a 128-bit hash of its span bytes, among
+   open places and those certain ones whose first letter inside is one of an open place's (one of each set of texts
+   that agree there).
 
-Ranks come from the sizes of range partitions: the driver sees a few numbers for each partition. Sort keys end in a
-salt, and a tie that runs over several partitions is settled there, so no letter, however frequent, fills a partition.
-Of what is shuffled, only the rows of step 4's join hold texts, once.
+Several spans can be judged in one go; the shortest sets the window. Numbers travel in packets (see `packets`): a
+letter that occurs again within a task's texts is known to repeat, so a task sends each letter once to be counted, and
+no letter, however frequent, fills a partition. Texts are read twice, and of the second time only those with open or
+certain places are shuffled (their hashes are broadcast while they are WANTED at most; beyond that all texts are).
 
 Defined cases: a null or empty text has no bytes; texts shorter than `span` lose nothing; rows of one id and text are
-copies of each other, each returned; a null doc_id is kept; an empty table gives an empty result; extra columns are
-kept by `cut_texts` and ignored by `repeats`.
+copies of each other, each returned; a null doc_id is kept; an empty table gives an empty result; extra columns, of any
+name, are kept by `cut_texts` and ignored by `repeats`.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,13 +40,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keelson.llm.common import as_bytes, free_shuffles, materialise, pieces_of, release, small_batches, table, text_rows
+from keelson.llm.packets import PACKET, batches_of, dealt, got, home_of, mapped, numbers, put, rows_of, spread_by
+from keelson.llm.suffixes import matches
 
 SPAN = 400
-#: Suffixes that a task of the sort takes, unless there would be more tasks than shuffle partitions.
-SORTED = 250_000
+#: Passages: what repeats in PASSAGE bytes and holds over PASSAGE_WORDS whole words. Of 51 words of English prose in a
+#: row, 1 in 200 stretches is shorter than 200 bytes.
+PASSAGE, PASSAGE_WORDS = 200, 50
 WIDTH = 16
 #: The widest window, so that a phrase's bytes fit seven bits.
 WIDEST = 96
+#: Bytes of texts that are parsed side by side, and of a long text at a time.
+BLOCK, STRETCH = 1 << 16, 1 << 18
+#: Bytes of texts for which a partition is set up, up to the session's number of shuffle partitions.
+PARTITION = 24 << 20
+#: Letters or places that a task gathers before it deals them out.
+GATHERED = 1 << 20
+#: Texts whose hashes are broadcast, eight bytes each.
+WANTED = 8_000_000
 
 
 def window_of(span: int) -> int:
@@ -64,8 +73,11 @@ def margins(window: int) -> tuple[int, int]:
     return window - 1, window + WIDTH - 1
 
 
-U = np.uint64
+# -- hashes
+
+U, U4 = np.uint64, np.uint32
 ODD = U(0x9E3779B97F4A7C15)  # 2^64 / golden ratio, odd
+INVERSE = U(pow(int(ODD), -1, 1 << 64))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -75,49 +87,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def rolling(letters: np.ndarray, length: int, base: U = ODD) -> np.ndarray:
-    """The polynomial hash of each `length` letters in a row, by doubling; empty if there are fewer."""
-    if len(letters) < length:
-        return np.empty(0, np.uint64)
-    out, covered, power, width = None, 0, letters, 1
-    factor = base
-    with np.errstate(over="ignore"):
-        while length:
-            if length & 1:
-                if out is None:
-                    out, covered = power, width
-                else:
-                    m = min(len(out), len(power) - covered)
-                    out = out[:m] * factor + power[covered : covered + m]
-                    covered += width
-            length >>= 1
-            if length:
-                power = power[: len(power) - width] * factor + power[width:]
-                factor, width = factor * factor, width * 2
-    return out
-
-
-def windowed(values: np.ndarray, width: int, least: bool) -> np.ndarray:
-    """The least or greatest of each `width` values in a row."""
-    best = np.minimum if least else np.maximum
-    done = 1
-    while done < width:
-        step = min(done, width - done)
-        values = best(values[:-step], values[step:])
-        done += step
-    return values
-
-
-BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * ODD)
-SECOND = mixed(np.arange(1001, 1257, dtype=np.uint64) * ODD)
-INVERSE = U(pow(int(ODD), -1, 1 << 64))
+with np.errstate(over="ignore"):
+    BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * ODD)
+    SECOND = mixed(np.arange(1001, 1257, dtype=np.uint64) * ODD)
+SHORT = (BYTE >> U(32)).astype(np.uint32)
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 POWERS: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """ODD to the power of place and of minus place, for n places; kept for longer texts to come."""
     if len(POWERS.get("up", ())) < n:
-        size = max(1 << 16, 1 << n.bit_length())
+        size = max(1 << 17, 1 << n.bit_length())
         with np.errstate(over="ignore"):
             for name, factor in (("up", ODD), ("down", INVERSE)):
                 cells = np.full(size, factor)
@@ -133,789 +114,749 @@ class Hashes:
         self.up, down = powers(len(text) + 1)
         self.sums = np.zeros(len(text) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(values[text] * down[: len(text)], out=self.sums[1:])
+            np.cumsum(np.take(values, text) * down[: len(text)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             return mixed((self.sums[stop] - self.sums[start]) * self.up[start] + (stop - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def cuts(text: np.ndarray, window: int) -> np.ndarray:
-    """Where phrases begin, and the end of the text."""
-    n = len(text)
-    grams = rolling(BYTE[text], WIDTH)
-    if len(grams) < window:
-        return np.array([0, n]) if n else np.array([0])
-    with np.errstate(over="ignore"):
-        grams = mixed(grams)
-    low = windowed(grams, window, True)
-    # a place is cut if it is the smallest of any window that holds it
-    pad = np.zeros(window - 1, np.uint64)
-    chosen = np.nonzero(windowed(np.concatenate((pad, low, pad)), window, False) == grams)[0]
-    return np.unique(np.concatenate(([0], chosen, [n])))
-
-
-def letters_of(text: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cuts, letters): a letter is a hash of a phrase with its margins, 63 bits, never 0 (which stands for an end)."""
-    at, (before, after) = cuts(text, window), margins(window)
-    begin, end = at[:-1], at[1:]
-    left, right = np.maximum(begin - before, 0), np.minimum(end + after, len(text))
-    with np.errstate(over="ignore"):
-        place = mixed((begin - left).astype(np.uint64) * U(1 << 20) + (end - begin).astype(np.uint64))
-        letters = mixed(Hashes(text).of(left, right) + place) >> U(1)
-    return at, np.maximum(letters, U(1))
+def stretches(starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of ranges, in order, that lie within a few STRETCHes."""
+    if not len(starts):
+        return
+    bounds = np.searchsorted(starts, np.arange(int(starts[0]), int(starts[-1]) + 1, 2 * STRETCH))
+    for i, j in zip(bounds, [*bounds[1:], len(starts)], strict=True):
+        if i < j:
+            yield int(i), int(j)
 
 
 # -- 1. parse
 
 
-def version(text: bytes) -> int:
-    """24 bits of a text's SHA-256, which tell apart rows that share an id."""
-    return int.from_bytes(hashlib.sha256(text).digest()[:3], "big")
-
-
-def batch_of(names: str, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array | pa.ChunkedArray) else pa.array(c) for c in columns], names=names.split())
+def windowed(values: np.ndarray, width: int, least: bool) -> np.ndarray:
+    """The least or greatest of each `width` values in a row."""
+    best = np.minimum if least else np.maximum
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        values = best(values[:-step], values[step:])
+        done += step
+    return values
 
 
-def joined(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
-    """Small batches joined to larger ones."""
-    held, n, size = [], 0, 0
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            n += b.num_rows
-            size += b.nbytes
-        if n >= rows or size >= 8 << 20:
-            yield one(held)
-            held, n, size = [], 0, 0
-    if held:
-        yield one(held)
+def grams(block: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of each WIDTH bytes in a row, never 0."""
+    h, width, factor = np.take(SHORT, block), 1, 0x9E3779B1
+    while width < WIDTH:  # a polynomial, by doubling
+        ahead = h[width:]
+        h = h[: len(ahead)] * U4(factor)
+        h += ahead
+        width, factor = 2 * width, factor * factor & 0xFFFFFFFF
+    h ^= h >> U4(15)
+    h *= U4(0x2C1B3C6D)
+    h ^= h >> U4(12)
+    h *= U4(0x297A2D39)
+    return h | U4(1)
+
+
+def cut_within(block: np.ndarray, edges: np.ndarray, window: int) -> np.ndarray:
+    """The places that are cut, of texts that lie side by side: those that are the least of any window of their text."""
+    if len(block) < WIDTH + window - 1:
+        return np.empty(0, np.int64)
+    h = grams(block)
+    low = windowed(h, window, True)
+    for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):  # windows that reach into the next text don't count
+        low[max(start, stop - WIDTH - window + 2) : stop] = 0
+    pad = np.zeros(window - 1, np.uint32)
+    return np.nonzero(windowed(np.concatenate((pad, low, pad)), window, False) == h)[0]
+
+
+def cuts(block: np.ndarray, edges: np.ndarray, window: int) -> np.ndarray:
+    """Where phrases begin, of texts side by side, and where the last text ends."""
+    if len(edges) > 2 or len(block) <= 2 * STRETCH:
+        chosen = cut_within(block, edges, window)
+    else:  # one long text
+        (left, right), n, found = margins(window), len(block), []
+        for at in range(0, n, STRETCH):
+            begin, end = max(0, at - left), min(n, at + STRETCH + right)
+            here = cut_within(block[begin:end], np.array([0, end - begin]), window) + begin
+            found.append(here[(here >= at) & (here < at + STRETCH)])
+        chosen = np.concatenate(found)
+    return np.union1d(chosen, edges)
+
+
+def letters_of(block: np.ndarray, edges: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of each phrase, its letter, where each text's phrases begin): a letter is a hash of a phrase with its
+    margins, 63 bits, never 0 (which stands for an end)."""
+    at, (before, after) = cuts(block, edges, window), margins(window)
+    bounds = np.searchsorted(at, edges)
+    begin, end, owner = at[:-1], at[1:], np.repeat(np.arange(len(edges) - 1), np.diff(bounds))
+    left, right = np.maximum(begin - before, edges[owner]), np.minimum(end + after, edges[owner + 1])
+    parts = []
+    for i, j in stretches(begin, end):
+        first, last = int(left[i]), int(right[i:j].max())
+        parts.append(Hashes(block[first:last]).of(left[i:j] - first, right[i:j] - first))
+    with np.errstate(over="ignore"):
+        place = mixed((begin - left).astype(np.uint64) * U(1 << 20) + (end - begin).astype(np.uint64))
+        letters = mixed(np.concatenate(parts) + place) >> U(1)
+    return (end - begin).astype(np.uint8), np.maximum(letters, U(1)).astype(np.int64), bounds
 
 
-def one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
-    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+PARSED = "rid long, doc long, n_bytes long, n_words long, sha binary, sizes binary, letters binary"
 
 
-def long_texts(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[tuple[int | None, bytes]]:
-    for batch in pieces_of(batches, "text"):
-        for doc, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-            if len(text) >= span:
-                yield doc, text
+def parsed(least: int, window: int) -> Callable:
+    """Rows with a number of their own, their text's SHA-256, and the phrases of texts of `least` bytes and more.
 
+    A text met before in the same task has no phrases: of copies only one goes on, and the first of a task's could.
+    """
 
-def copy_rows(span: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in PARSED.split(", ")]
+        rid, seen = TaskContext.get().partitionId() << 33, set()
         for batch in pieces_of(batches, "text"):
-            rows = [(doc, version(t), hashlib.blake2b(t, digest_size=16).digest()) for doc, t in long_texts(iter([batch]), span)]
-            if rows:
-                doc, ver, ident = zip(*rows, strict=True)
-                yield batch_of("doc ver ident", pa.array(doc, pa.int64()), pa.array(ver, pa.int32()), pa.array(ident, pa.binary()))
+            texts = as_bytes(batch.column("text"))
+            sha = [hashlib.sha256(t).digest() for t in texts]
+            n = len(texts)
+            words, sizes, letters = [None] * n, [None] * n, [None] * n
+            held: list[int] = []
+            size = 0
+
+            def solve() -> None:
+                nonlocal size
+                block = np.frombuffer(b"".join(texts[i] for i in held), np.uint8)  # noqa: B023
+                edges = np.cumsum([0, *(len(texts[i]) for i in held)])  # noqa: B023
+                phrase, letter, bounds = letters_of(block, edges, window)
+                dark = ~np.take(BLANK, block)
+                begun = dark.copy()
+                begun[1:] &= ~dark[:-1]
+                begun[edges[:-1]] = dark[edges[:-1]]
+                counts = np.add.reduceat(begun, edges[:-1], dtype=np.int64).tolist()
+                p, q = phrase.tobytes(), letter.tobytes()
+                for k, i in enumerate(held):
+                    a, b = int(bounds[k]), int(bounds[k + 1])
+                    words[i], sizes[i], letters[i] = counts[k], p[a:b], q[8 * a : 8 * b]  # noqa: B023
+                held.clear()
+                size = 0
+
+            for i, t in enumerate(texts):
+                if len(t) < least or sha[i] in seen:
+                    continue
+                if len(seen) < 200_000:
+                    seen.add(sha[i])
+                if held and len(t) > BLOCK:
+                    solve()
+                held.append(i)
+                size += len(t)
+                if size >= BLOCK:
+                    solve()
+            if held:
+                solve()
+            cells = [np.arange(rid, rid + n), batch.column("doc_id"), pa.array(map(len, texts), pa.int64()), pa.array(words, pa.int64()), *(pa.array(x, pa.binary()) for x in (sha, sizes, letters))]
+            rid += n
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cells], names=names)
 
     return run
 
 
-def phrase_rows(span: int) -> Callable:
-    """(letter, doc, loc): loc is version (24 bits), place (32), bytes (7)."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int | None, int, int]] = set()
-        for doc, text in long_texts(batches, span):
-            ver = version(text)
-            if (key := (doc, hash(text), len(text))) in seen:  # a row repeated whole adds nothing; copies() alone says which copy stays
-                continue
-            if len(seen) < 1_000_000:
-                seen.add(key)
-            at, letters = letters_of(np.frombuffer(text, np.uint8), window_of(span))
-            n = len(letters)
-            loc = (np.arange(n) << 7) | np.diff(at) | (ver << 39)
-            yield batch_of("letter doc loc", letters.view(np.int64), pa.array([doc] * n, pa.int64()), loc)
-
-    return lambda batches: joined(each(batches))
-
-
-def repeated_only(keys: list[str]) -> Callable:
-    """Of rows sorted by keys, those that share theirs with another row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row, whose next isn't known yet
-        linked = False  # whether it equals the row before it
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            batch = batch if held is None else one([held, batch])
-            n = batch.num_rows
-            same = np.ones(n - 1, bool)
-            for k in keys:
-                c = batch.column(k).to_numpy(zero_copy_only=False)
-                same &= c[1:] == c[:-1]
-            keep = np.concatenate(([linked], same)) | np.concatenate((same, [False]))
-            yield batch.slice(0, n - 1).filter(pa.array(keep[:-1]))
-            held, linked = batch.slice(n - 1), bool(keep[-1])
-        if held is not None and linked:
-            yield held
+LETTER, SURE, REPEATED, LATER, SEGMENT, TEXT, PLACES, LEADER, ASKED, WANTED_PLACES, HASHED, DECIDED = range(12)
+
+
+def runs_among(sorted_: np.ndarray) -> np.ndarray:
+    """Where each run of equal numbers begins."""
+    return np.nonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))[0] if len(sorted_) else np.empty(0, np.int64)
+
+
+def owners_cell(ids: np.ndarray, *more: np.ndarray) -> bytes:
+    """Owners of entries, equal ones next to each other, as one cell: each owner, how many entries it has, and more of it."""
+    starts = runs_among(ids)
+    return put(ids[starts], np.diff(np.append(starts, len(ids))), *(x[starts] for x in more))
+
+
+def owners_of(cell) -> list[np.ndarray]:
+    """The owner of each entry, and more of it."""
+    ids, n, *more = got(cell)
+    return [np.repeat(x, n) for x in (ids, *more)]
+
+
+def deal_letters(n: int) -> Callable:
+    """Texts (rid, sha, sizes, letters) to packets of letters, by the letters' range: each letter once, those met again apart."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held: list[tuple] = []
+        spread = TaskContext.get().partitionId() % n
+
+        def out() -> Iterator[tuple]:
+            counts = np.array([len(r[2]) for r in held])
+            owner = np.repeat(np.array([r[0] for r in held], np.int64), counts)
+            known = np.repeat(np.frombuffer(b"".join(bytes(r[1])[:8] for r in held), np.int64), counts)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            letter = np.concatenate([numbers(r[3]) for r in held])
+            loc = place << 8 | np.concatenate([numbers(r[2], np.uint8) for r in held]).astype(np.int64) << 1
+            held.clear()
+            order = np.argsort(letter)
+            starts = runs_among(letter[order])
+            size = np.diff(np.append(starts, len(order)))
+            again = np.ones(len(order), bool)
+            again[order[starts]] = False
+            loc[order[starts[size > 1]]] |= 1
+            part = np.where(again, n, spread_by(letter, n)).astype(np.uint16 if n < 1 << 16 else np.int64)
+            order = np.argsort(part, kind="stable")
+            bounds = np.searchsorted(part[order], np.arange(n + 2)).tolist()
+            for k, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                if i < j:
+                    at = order[i:j]
+                    yield (k if k < n else spread), 0, (LETTER if k < n else SURE), 0, j - i, letter[at].tobytes(), owners_cell(owner[at], known[at]), loc[at].tobytes()
+
+        size = 0
+        for row in rows:
+            held.append(row)
+            size += len(row[2])
+            if size >= GATHERED:
+                yield from out()
+                size = 0
+        if held:
+            yield from out()
 
     return run
 
 
-# -- 2. sort
+def deal_by_owner(owner: np.ndarray, n: int, kind: int, part: int, *columns: np.ndarray) -> Iterator[tuple]:
+    """Entries (owner and one or two columns) to packets for their owners' homes."""
+    home = home_of(owner, n)
+    order = np.argsort(home, kind="stable")
+    bounds = np.searchsorted(home[order], np.arange(n + 1)).tolist()
+    for k, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        if i < j:
+            at = order[i:j]
+            cells = [c[at].tobytes() for c in columns]
+            yield k, 0, kind, part, j - i, owner[at].tobytes(), cells[0], cells[1] if len(cells) > 1 else None
 
 
-class Ranked:
-    """Rows with less0 and less1: how many rows of kind 0 and of kind 1 have smaller keys (kind 0 if there is none).
+def repeated_letters(n: int) -> Callable:
+    """The entries (owner, loc, letter) of letters that occur more than once, for their owners' homes.
 
-    Sorted range partitions, ties broken by `pos`; a task writes how many rows of its own are smaller, and marks its
-    first and last row. The driver adds the sizes of the partitions before, and for keys that begin in an earlier
-    partition the count at that place: a few numbers per partition.
+    Copies of a text (the same begin of its hash, the same place) count as one, which the least of them stands for.
     """
 
-    def __init__(self, df: DataFrame, keys: list[str], n: int, kind: str | None = None):
-        spark = df.sparkSession
-        spread = df.withColumn("salt", F.xxhash64("pos")).repartitionByRange(n, *keys, "salt").sortWithinPartitions(*keys, "salt").drop("salt")
-        schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in spread.schema), "less0 long", "less1 long", "edge long"])
-        local = materialise(spread.mapInArrow(counter(keys, kind), schema).withColumn("part", F.spark_partition_id()), "ranks")
-        ones = F.sum(kind) if kind else F.lit(0)
-        sizes = {r["part"]: (r["n"] - r["ones"], r["ones"]) for r in local.groupBy("part").agg(F.count("*").alias("n"), ones.alias("ones")).collect()}  # one per partition
-        edges: dict[int, list] = {}
-        for r in local.where("edge IS NOT NULL").select("part", "edge", "less0", "less1", *keys).collect():  # two per partition
-            edges.setdefault(r["part"], []).append((r["edge"], r["less0"], r["less1"], tuple(r[k] for k in keys)))
-        base, offsets, previous, open_at, groups = [0, 0], [], None, (0, 0), 0
-        for part in sorted(edges):
-            first, last = min(edges[part]), max(edges[part])  # edge is 0 for the first row, the number of keys for the last
-            goes_on = first[3] == previous
-            carried = open_at if goes_on else tuple(base)
-            offsets.append((part, *base, *carried))
-            groups += max(last[0], 1) - goes_on
-            open_at = carried if first[3] == last[3] else (base[0] + last[1], base[1] + last[2])
-            previous, base = last[3], [base[0] + sizes[part][0], base[1] + sizes[part][1]]
-        self.rows, self.groups, self.written = sum(base), groups, local
-        if offsets:
-            steps = F.broadcast(spark.createDataFrame(offsets, "part int, b0 long, b1 long, c0 long, c1 long"))  # one row per partition
-            first = (F.col("less0") == 0) & (F.col("less1") == 0)
-            local = local.join(steps, "part").withColumns({f"less{k}": F.when(first, F.col(f"c{k}")).otherwise(F.col(f"less{k}") + F.col(f"b{k}")) for k in (0, 1)})
-        self.df = local.select(*df.columns, "less0", "less1")
-
-
-def counter(keys: list[str], kind: str | None) -> Callable:
-    """Adds less0, less1 and edge to rows sorted by keys."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals, last, at, groups, held = [0, 0], None, (0, 0), 0, None
-
-        def marked_(batch: pa.RecordBatch, edge: pa.Array) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*batch.columns, edge], names=[*batch.schema.names, "edge"])
-
-        for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            cells = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-            changed = np.zeros(n, bool)
-            for c in cells:
-                changed[1:] |= c[1:] != c[:-1]
-            changed[0] = last is None or tuple(c[0] for c in cells) != last
-            begun, last = last is None, tuple(c[-1] for c in cells)
-            groups += int(changed.sum())
-            ones = batch.column(kind).to_numpy(zero_copy_only=False).astype(np.int64) if kind else np.zeros(n, np.int64)
-            before1 = totals[1] + np.cumsum(ones) - ones
-            before0 = totals[0] + np.cumsum(1 - ones) - (1 - ones)
-            group, first = np.cumsum(changed) - 1, np.nonzero(changed)[0]  # group -1 goes on from the batch before
-            less0, less1 = (np.where(group >= 0, b[first[np.maximum(group, 0)]] if len(first) else 0, a) for b, a in ((before0, at[0]), (before1, at[1])))
-            totals, at = [totals[0] + int((1 - ones).sum()), totals[1] + int(ones.sum())], (int(less0[-1]), int(less1[-1]))
-            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(less0), pa.array(less1)], names=[*batch.schema.names, "less0", "less1"])
-            if held is not None:
-                yield marked_(held, pa.nulls(1, pa.int64()))
-            if begun:
-                yield marked_(out.slice(0, 1), pa.array([0], pa.int64()))
-                out = out.slice(1)
-            held = out.slice(out.num_rows - 1) if out.num_rows else None
-            if out.num_rows > 1:
-                yield marked_(out.slice(0, out.num_rows - 1), pa.nulls(out.num_rows - 1, pa.int64()))
-        if held is not None:
-            yield marked_(held, pa.array([groups], pa.int64()))
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        found, cells = [], []
+        for row in rows:
+            own, known = owners_of(row[6])
+            if row[2] == SURE:
+                found.append((own, numbers(row[7]) >> 1, numbers(row[5])))
+            else:
+                cells.append((numbers(row[5]), own, known, numbers(row[7])))
+        if cells:
+            letter, owner, known, loc = (np.concatenate(c) for c in zip(*cells, strict=True))
+            order = np.argsort(letter)
+            starts = runs_among(letter[order])
+            size = np.diff(np.append(starts, len(order)))
+            sure = np.add.reduceat(loc[order] & 1, starts) > 0
+            at = order[np.repeat((size > 1) | sure, size)]
+            letter, owner, known, loc = letter[at], owner[at], known[at], loc[at]
+            order = np.lexsort((owner, loc >> 1, known, letter))
+            letter, owner, known, loc = letter[order], owner[order], known[order], loc[order]
+            new = np.concatenate(([True], (letter[1:] != letter[:-1]) | (known[1:] != known[:-1]) | (loc[1:] >> 1 != loc[:-1] >> 1)))[: len(order)]
+            sure = np.logical_or.reduceat(loc & 1 > 0, np.nonzero(new)[0]) if len(order) else new
+            letter, owner, loc = letter[new], owner[new], loc[new] >> 1
+            starts = runs_among(letter)
+            size = np.diff(np.append(starts, len(letter)))
+            keep = np.repeat((size > 1) | (np.logical_or.reduceat(sure, starts) if len(starts) else size > 1), size)
+            found.append((owner[keep], loc[keep], letter[keep]))
+        if found:
+            owner, loc, letter = (np.concatenate(c) for c in zip(*found, strict=True))
+            yield from deal_by_owner(owner, n, REPEATED, 0, loc, letter)
 
     return run
 
 
-BLOCK = 4095  # positions of a block, a multiple of three
-#: Segments begin at multiples of ALIGN and lie GAP apart at least, so that this holds for thirds of them as well.
-ALIGN, GAP = 3**9, 3**8
-
-
-def in_blocks(df: DataFrame, n: int, ahead: int = 2) -> DataFrame:
-    """df dealt out by blocks of pos, sorted; the first rows of a block also come last in the block before."""
-    block = F.expr(f"pos div {BLOCK}")  # whole numbers: positions don't fit a double
-    also = F.when(F.col("pos") % BLOCK < ahead, F.array(block, block - 1)).otherwise(F.array(block))
-    return df.withColumn("block", F.explode(also)).repartition(n, "block").sortWithinPartitions("block", "pos")
-
-
-def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows again, in batches that don't split a block."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        b = batch.column("block").to_numpy(zero_copy_only=False)
-        if held and b[0] != held[-1].column("block")[-1].as_py():
-            yield one(held)
-            held = []
-        cut = int(np.argmax(b == b[-1]))
-        if cut:
-            yield one([*held, batch.slice(0, cut)])
-            held = []
-        held.append(batch.slice(cut))
-    if held:
-        yield one(held)
+SEGMENTS = "seg binary, rid long, place int, least long, letters binary, sizes binary"
 
 
-def slots(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pos, key, own): a key that is pos within its block, apart from all other blocks', and which rows are a block's own."""
-    pos, block = batch.column("pos").to_numpy(zero_copy_only=False), batch.column("block").to_numpy(zero_copy_only=False)
-    number = np.concatenate(([0], np.cumsum(block[1:] != block[:-1])))
-    within = pos - block * BLOCK
-    return pos, number * (BLOCK + 16) + within, within < BLOCK
-
-
-def at_places(key: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """The value at each wanted key, 0 where there is none; key is sorted."""
-    if not len(key):
-        return np.zeros(len(wanted), np.int64)
-    i = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-    return np.where(key[i] == wanted, values[i], 0)
-
+def segment_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Runs of repeated letters at places in a row of a text, but for later copies; seg is a 128-bit hash of the letters."""
+    found, later = [], []
+    for row in rows:
+        if row[2] == LATER:
+            later.append(row[1])
+        else:
+            found.append((numbers(row[5]), numbers(row[6]), numbers(row[7])))
+    if not found:
+        return
+    owner, loc, letter = (np.concatenate(c) for c in zip(*found, strict=True))
+    stays = ~np.isin(owner, np.array(later, np.int64))
+    owner, loc, letter = owner[stays], loc[stays], letter[stays]
+    if not len(owner):
+        return
+    order = np.lexsort((loc, owner))
+    owner, place, size, letter = owner[order], loc[order] >> 7, (loc[order] & 127).astype(np.uint8), letter[order]
+    edges = np.nonzero((owner[1:] != owner[:-1]) | (place[1:] != place[:-1] + 1))[0] + 1
+    starts, stops = [0, *edges.tolist()], [*edges.tolist(), len(owner)]
+    least = np.minimum.reduceat(letter, starts).tolist()
+    letters, sizes = letter.tobytes(), size.tobytes()
+    for k, (i, j) in enumerate(zip(starts, stops, strict=True)):
+        own = letters[8 * i : 8 * j]
+        yield hashlib.blake2b(own, digest_size=16).digest(), int(owner[i]), int(place[i]), least[k], own, sizes[i:j]
+
+
+# -- 3. places
+
+
+def to_places(spans: list[int], window: int, n: int) -> Callable:
+    """Texts and their segments to the places that start repeats for certain, those that are open, and by letter the
+    leaders (certain places of one of each set of texts that agree) and what open places ask for."""
+    left, right = margins(window)
+
+    def solve(texts: list[tuple], segments: list[list[tuple]]) -> Iterator[tuple]:
+        counts = np.array([len(t[6]) for t in texts])
+        first = np.cumsum(counts + 1) - counts - 1  # of each text, in arrays with an entry for each cut and the end
+        sizes = np.zeros(int((counts + 1).sum()), np.int64)
+        for t, at in zip(texts, first.tolist(), strict=True):
+            sizes[at + 1 : at + 1 + len(t[6])] = numbers(t[6], np.uint8)
+        at = np.cumsum(sizes)
+        owner = np.repeat(np.arange(len(texts)), counts + 1)
+        at -= at[first][owner]
+        n_bytes, last = np.array([t[4] for t in texts])[owner], (first + counts)[owner]
+        m, prev, letter = (np.zeros(len(at), np.int64) for _ in range(3))
+        for own, base in zip(segments, first.tolist(), strict=True):
+            for row in own:
+                here = slice(base + row[3], base + row[3] + len(row[5]) // 8)
+                rest = len(row[5]) // 8 - np.arange(len(row[5]) // 8)
+                letter[here] = numbers(row[5])
+                m[here] = rest if row[4] & 2 else numbers(row[6])
+                prev[here] = numbers(row[7]) if row[4] & 1 else rest  # others share all with the leader
+        i = np.nonzero(m)[0]
+        ends = np.zeros(len(at), np.int64)  # how far the match from a cut on reaches
+        ends[i] = np.minimum(at[i + m[i]] + right, n_bytes[i])
+        copied = np.array([t[3] for t in texts], bool)
+        certain, open_ = [], []
+        for tag, span in enumerate(spans):
+            low, high = np.maximum(at[i] - left, 0), np.minimum(at[i + 1] - left - 1, ends[i] - span)
+            ok = high >= low
+            certain.append((owner[i[ok]], low[ok], high[ok]))
+            # leaders: not those that the suffix before shares
+            shared = np.where(prev[i] > 0, np.minimum(at[i + prev[i]] + right, n_bytes[i]) - span + 1, 0)
+            low = np.maximum(low, shared)
+            point, rest = at[i] - left, np.maximum(low, at[i] - left + 1)
+            alone = (point >= low) & (point <= high)
+            more = rest <= high
+            pieces = [np.concatenate(x) for x in zip((i[alone], letter[i[alone]], point[alone], point[alone]), (i[more], letter[i[more] + 1], rest[more], high[more]), strict=True)]
+            yield from deal_leaders(tag, np.array([t[1] for t in texts])[owner[pieces[0]]], *pieces[1:])
+            # open: the phrases well inside match
+            f = i[at[i] > 0]
+            beyond = f + m[f] + 1
+            high = np.minimum(at[f] - left, n_bytes[f] - span)
+            high = np.where(beyond <= last[f], np.minimum(high, at[np.minimum(beyond, last[f])] - span + right - 1), high)
+            low = np.maximum(at[f - 1] - left + 1, 0)
+            low = np.where(m[f - 1] > 0, np.maximum(low, ends[f - 1] - span + 1), low)
+            high = high - ((high == at[f] - left) & (ends[f] - span >= high))
+            ok = high >= low
+            f, low, high = f[ok], low[ok], high[ok]
+            open_.append((owner[f], low, high))
+            asked = np.unique(letter[f[~copied[owner[f]]]])
+            part = spread_by(asked, n)
+            bounds = np.searchsorted(part, np.arange(n + 1)).tolist()
+            for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                if a < b:
+                    yield k, 0, ASKED, tag, b - a, asked[a:b].tobytes(), None, None
+        bounds = [np.searchsorted(x[0], np.arange(len(texts) + 1)).tolist() for x in (*certain, *open_)]
+        for k, t in enumerate(texts):
+            if any(b[k] < b[k + 1] for b in bounds):
+                cells = [x[c][b[k] : b[k + 1]] for x, b in zip((*certain, *open_), bounds, strict=True) for c in (1, 2)]
+                yield t[0], t[1], PLACES, t[3], t[4], bytes(t[5]), put(*cells), None
+
+    def deal_leaders(tag: int, rid: np.ndarray, letter: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple]:
+        part = spread_by(letter, n)
+        order = np.argsort(part, kind="stable")
+        bounds = np.searchsorted(part[order], np.arange(n + 1)).tolist()
+        for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if a < b:
+                at = order[a:b]
+                yield k, 0, LEADER, tag, b - a, letter[at].tobytes(), rid[at].tobytes(), put(low[at], high[at])
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        texts: dict[int, tuple] = {}
+        segments: dict[int, list[tuple]] = {}
+        for row in rows:
+            if row[2] == TEXT:
+                texts[row[1]] = row
+            else:
+                segments.setdefault(row[1], []).append(row)
+        held: list[int] = []
+        size = 0
+        for key in sorted(segments):
+            held.append(key)
+            size += len(texts[key][6])
+            if size >= GATHERED // 4:
+                yield from solve([texts[k] for k in held], [segments[k] for k in held])
+                held, size = [], 0
+        if held:
+            yield from solve([texts[k] for k in held], [segments[k] for k in held])
 
-def triples(df: DataFrame, n: int) -> DataFrame:
-    """(pos, val, bytes) to (pos, a, b, c, bytes): the letters at pos and the two after, and the bytes of all three."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_blocks(batches):
-            pos, key, own = slots(batch)
-            val, size = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("val", "bytes"))
-            b, c = (at_places(key, val, key[own] + k) for k in (1, 2))
-            total = sum(at_places(key, size, key[own] + k) for k in (0, 1, 2))
-            # beyond a segment's end nothing is left to compare
-            yield batch_of("pos a b c bytes", pos[own], val[own], b, c, np.where(c == 0, ENDLESS, total))
 
-    return in_blocks(df, n).mapInArrow(lambda it: joined(run(it)), "pos long, a long, b long, c long, bytes long")
+def wanted_leaders(n: int) -> Callable:
+    """Of the leaders those whose letter an open place asks for, for their texts' homes."""
 
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        asked: dict[int, list] = {}
+        leaders: dict[int, list] = {}
+        for row in rows:
+            if row[2] == ASKED:
+                asked.setdefault(row[3], []).append(numbers(row[5]))
+            else:
+                leaders.setdefault(row[3], []).append((numbers(row[5]), numbers(row[6]), *got(row[7])))
+        for tag in asked.keys() & leaders.keys():
+            letter, rid, low, high = (np.concatenate(c) for c in zip(*leaders[tag], strict=True))
+            keep = np.isin(letter, np.unique(np.concatenate(asked[tag])))
+            yield from deal_by_owner(rid[keep], n, WANTED_PLACES, tag, low[keep], high[keep])
 
-ENDLESS = 1 << 40
+    return run
 
 
-def suffix_ranks(rows: DataFrame, limit: int, top: int, n: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(pos, rank) for rows (pos, a, b, c, bytes): ranks of the suffixes, exact in their first `limit` bytes. pos < top.
+CANDIDATES = "sha binary, rid long, copied int, certain binary, hashed binary"
+
+
+def by_owner(rows: list[tuple[np.ndarray, ...]]) -> dict[int, list[np.ndarray]]:
+    """Entries (owner, columns) as each owner's columns."""
+    if not rows:
+        return {}
+    columns = [np.concatenate(c) for c in zip(*rows, strict=True)]
+    order = np.argsort(columns[0], kind="stable")
+    columns = [c[order] for c in columns]
+    starts = runs_among(columns[0])
+    stops = np.append(starts[1:], len(order)).tolist()
+    return {k: [c[a:b] for c in columns[1:]] for k, a, b in zip(columns[0][starts].tolist(), starts.tolist(), stops, strict=True)}
+
+
+def candidates_of(tags: int) -> Callable:
+    """Texts with certain places, and those whose hashes count: open ones and the leaders that are wanted."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        texts, wanted = [], [[] for _ in range(tags)]
+        for row in rows:
+            if row[2] == PLACES:
+                texts.append(row)
+            else:
+                wanted[row[3]].append((numbers(row[5]), numbers(row[6]), numbers(row[7])))
+        found = [by_owner(w) for w in wanted]
+        for row in texts:
+            cells = got(row[6])
+            certain, open_ = cells[: 2 * tags], cells[2 * tags :]
+            if row[3]:  # a text with copies goes whole
+                certain = [c[:0] for c in certain]
+            hashed = []
+            for tag in range(tags):
+                own = found[tag].get(row[1], [np.empty(0, np.int64)] * 2)
+                hashed += [np.concatenate((o, w)) for o, w in zip(open_[2 * tag : 2 * tag + 2], own, strict=True)]
+            if any(map(len, certain)) or any(map(len, hashed)):
+                yield bytes(row[5]), row[1], row[3], put(*certain), put(*hashed)
 
-    Also the written tables that the result is read from, to be released when it has been written.
-    """
-    sorted_ = Ranked(rows.where("pos % 3 <> 0").select("pos", "a", "b", "c", "bytes"), ["a", "b", "c"], n)
-    sample, spent = sorted_.df.select("pos", (F.col("less0") + 1).alias("rank"), "bytes"), [sorted_.written]
-    if sorted_.groups < sorted_.rows and sample.agg(F.min("bytes")).first()[0] < limit:
-        offset = -(-top // 3) + GAP
-        offset += -offset % ALIGN
-        third = F.expr("pos div 3")
-        string = materialise(triples(sample.select((third + F.when(F.col("pos") % 3 == 2, F.lit(offset)).otherwise(F.lit(0))).alias("pos"), F.col("rank").alias("val"), "bytes"), n), "triples")
-        release(*spent)
-        below, spent = suffix_ranks(string, limit, 2 * offset + GAP, -(-2 * n // 3))
-        spent.append(string)
-        second = F.col("pos") >= offset
-        sample = below.select(F.when(second, (F.col("pos") - offset) * 3 + 2).otherwise(F.col("pos") * 3 + 1).alias("pos"), "rank")
-
-    # merge: letters of all places beside the ranks of the samples after them
-    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in whole_blocks(batches):
-            pos, key, own = slots(batch)
-            a, b, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "rank"))
-            named, own = rank > 0, own & (a != 0)
-            r = [at_places(key[named], rank[named], key[own] + k) for k in (0, 1, 2)]
-            yield batch_of("pos a b r0 r1 r2", pos[own], a[own], b[own], *r)
-
-    zero = F.lit(0).cast("long")
-    union = rows.select("pos", "a", "b", zero.alias("rank")).union(sample.select("pos", zero, zero, "rank"))
-    table_ = materialise(in_blocks(union, n, 3).mapInArrow(lambda it: joined(beside(it)), "pos long, a long, b long, r0 long, r1 long, r2 long"), "merge")
-    release(*spent)
-    kind = lambda c: F.when(F.col("pos") % 3 == c, 1).otherwise(0).cast("int").alias("kind")
-    # a place 0 is above smaller ones of all three kinds; a sample above smaller samples (its rank) and smaller places 0
-    by_one = Ranked(table_.where("pos % 3 < 2").select("pos", "a", "r1", "b", "r2", "r0", kind(1)), ["a", "r1"], n, "kind")
-    first = by_one.df
-    zeros = first.where("kind = 0").select("pos", "a", "b", "r2", (F.col("less0") + F.col("less1")).alias("r0"), "kind")
-    by_two = Ranked(zeros.union(table_.where("pos % 3 = 2").select("pos", "a", "b", "r2", "r0", kind(2))), ["a", "b", "r2"], n, "kind")
-    release(table_)
-    second = by_two.df
-    ones = first.where("kind = 1").select("pos", (F.col("r0") + F.col("less0")).alias("rank"))
-    rest = second.select("pos", F.when(F.col("kind") == 1, F.col("r0") + F.col("less0")).otherwise(F.col("r0") + F.col("less1") + 1).alias("rank"))
-    return ones.union(rest), [by_one.written, by_two.written]
-
-
-# -- 3. matches
-
-
-SEGMENT = "seg binary, doc long, loc long, letters binary, sizes binary"
-
-
-def segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc, loc, letter) sorted by doc and loc to segments: runs of repeated letters at places in a row of a text.
-
-    seg is a 128-bit hash of the letters; doc and loc are those of the first phrase.
-    """
+    return run
 
-    def solve(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        loc = batch.column("loc").to_numpy(zero_copy_only=False)
-        if (again := loc[1:] == loc[:-1]).any():  # rows repeated in other tasks
-            batch = batch.filter(pa.array(np.concatenate(([True], ~again))))
-        loc, letter = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("loc", "letter"))
-        place, size = loc >> 7, (loc & 127).astype(np.uint8)
-        edges = np.concatenate(([0], np.nonzero(place[1:] != place[:-1] + 1)[0] + 1, [len(loc)]))
-        letters = [letter[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
-        sizes = [size[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
-        seg = [hashlib.blake2b(x, digest_size=16).digest() for x in letters]
-        yield batch_of("seg doc loc letters sizes", pa.array(seg, pa.binary()), batch.column("doc").take(pa.array(edges[:-1])), loc[edges[:-1]], pa.array(letters, pa.binary()), pa.array(sizes, pa.binary()))
-
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ver = batch.column("loc").to_numpy(zero_copy_only=False) >> 39
-        doc = batch.column("doc").fill_null(0).to_numpy(zero_copy_only=False)
-        none = batch.column("doc").is_null().to_numpy(zero_copy_only=False)
-        if held and last != (doc[0], none[0], ver[0]):
-            yield from solve(one(held))
-            held = []
-        last = (doc[-1], none[-1], ver[-1])
-        # whole texts are solved; the last one may go on
-        cut = np.nonzero((doc != last[0]) | (none != last[1]) | (ver != last[2]))[0]
-        n = int(cut[-1]) + 1 if len(cut) else 0
-        if n:
-            yield from solve(one([*held, batch.slice(0, n)]))
-            held = []
-        held.append(batch.slice(n))
-    if held:
-        yield from solve(one(held))
-
-
-def suffix_rows(limit: int) -> Callable:
-    """Distinct segments (seg, letters, sizes) to their suffixes: (pos, a, b, c, bytes, seg, at, ahead).
-
-    `at` is the place in the segment, `ahead` holds the letters of the next `limit` bytes.
-    """
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = TaskContext.get().partitionId() * ALIGN << 32
-        for batch in batches:
-            for seg, letters, sizes in zip(*(batch.column(c).to_pylist() for c in ("seg", "letters", "sizes")), strict=True):
-                letter, size = np.frombuffer(letters, np.int64), np.frombuffer(sizes, np.uint8).astype(np.int64)
-                n = len(letter)
-                ends = np.concatenate(([0], np.cumsum(size)))
-                a = np.concatenate((letter, np.zeros(2, np.int64)))
-                stop = np.minimum(np.searchsorted(ends, ends[:-1] + limit), n)
-                total = np.where(a[2:] == 0, ENDLESS, ends[np.minimum(np.arange(n) + 3, n)] - ends[:-1])
-                for i in range(0, n, 2_000):  # phrases of periodic texts are short, and many are ahead of each
-                    j = min(n, i + 2_000)
-                    ahead = [letters[8 * k : 8 * e] for k, e in enumerate(stop[i:j].tolist(), i)]
-                    yield batch_of("pos a b c bytes seg at ahead", base + np.arange(i, j), a[i:j], a[i + 1 : j + 1], a[i + 2 : j + 2], total[i:j], pa.array([seg] * (j - i), pa.binary()), np.arange(i, j, dtype=np.int32), pa.array(ahead, pa.binary()))
-                base += n + 3 * GAP
-                base += -base % ALIGN
-
-    return lambda batches: joined(each(batches), 20_000)
-
-
-def common(a: bytes, b: bytes) -> int:
-    """How many letters two rows of letters share from the first."""
-    n = min(len(a), len(b)) // 8
-    if a[: 8 * n] == b[: 8 * n]:
-        return n
-    x, y = np.frombuffer(a[: 8 * n], np.int64), np.frombuffer(b[: 8 * n], np.int64)
-    return int(np.argmax(x != y))
-
-
-def adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in suffix order with m, the letters shared with either neighbour, and prev, those shared with the one before.
-
-    First and last rows keep their letters in `edge`.
-    """
-    names = "seg at pos m prev edge"
-    types = (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    previous, m_before, first, held = None, 0, True, None  # held: seg, at, pos of the row before
-    rows: list[tuple] = []
-
-    def out() -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True))
-        rows.clear()
-        return batch_of(names, *(pa.array(c, t) for c, t in zip(columns, types, strict=True)))
-
-    for batch in batches:
-        for seg, at, pos, ahead in zip(*(batch.column(c).to_pylist() for c in ("seg", "at", "pos", "ahead")), strict=True):
-            if held is not None:
-                m = common(previous, ahead)
-                rows.append((*held, max(m_before, m), m_before, previous if first else None))
-                first, m_before = False, m
-            held, previous = (seg, at, pos), ahead
-            if len(rows) >= 20_000:
-                yield out()
-    if held is not None:
-        rows.append((*held, m_before, m_before, previous))
-        yield out()
-
-
-def matches(docs: DataFrame, twins: DataFrame, span: int) -> DataFrame:
-    """(doc, loc, seg, letters, m, prev) of segments: per phrase how many letters match elsewhere; twins is copies(docs).
-
-    loc is that of the first phrase. Segments of the same letters are sorted once: each of them matches another to its
-    end, and the first of them (by doc and loc) leads the others.
-    """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    limit = span + window_of(span)
-    letters = docs.mapInArrow(phrase_rows(span), "letter long, doc long, loc long").repartition(n, "letter").sortWithinPartitions("letter")
-    repeated = materialise(letters.mapInArrow(lambda it: joined(repeated_only(["letter"])(it)), "letter long, doc long, loc long"), "letters")
-    free_shuffles(spark)
-    later = twins.where("NOT kept").select(F.col("doc").alias("d"), F.col("ver").alias("v"))
-    alone = repeated.join(later, F.col("doc").eqNullSafe(F.col("d")) & (F.shiftright("loc", 39).cast("int") == F.col("v")), "left_anti")
-    ordered = alone.repartition(n, "doc", F.shiftright("loc", 39)).sortWithinPartitions("doc", "loc")
-    segments = materialise(ordered.mapInArrow(lambda it: joined(segment_rows(it), 5_000), SEGMENT), "segments")
-    release(repeated)
-    kinds = segments.groupBy("seg").agg(F.count("*").alias("n"), F.max(F.xxhash64("doc", "loc")).alias("leader"))  # fixed width: hashed, combined map-side
-    firsts = segments.join(kinds, "seg").where(F.xxhash64("doc", "loc") == F.col("leader")).select("seg", "letters", "sizes").repartition(n, "seg").sortWithinPartitions("seg")
-    schema = "pos long, a long, b long, c long, bytes long, seg binary, at int, ahead binary"
-    suffixes = materialise(firsts.mapInArrow(suffix_rows(limit), schema), "suffixes")
-    free_shuffles(spark)
-    unwritten, spent = suffix_ranks(suffixes.select("pos", "a", "b", "c", "bytes"), limit, (n + 1) * ALIGN << 32, min(n, -(-suffixes.count() // SORTED) or 1))
-    ranks = materialise(unwritten, "suffix-ranks")
-    release(*spent)
-    in_order = suffixes.select("pos", "seg", "at", "ahead").join(ranks, "pos").withColumn("salt", F.xxhash64("pos"))
-    in_order = in_order.repartitionByRange(n, "rank", "salt").sortWithinPartitions("rank", "salt").select("seg", "at", "pos", "ahead")
-    found = materialise(in_order.mapInArrow(adjacent, "seg binary, at int, pos long, m int, prev int, edge binary").withColumn("part", F.spark_partition_id()), "matches")
-    release(suffixes)
-    # neighbours across partitions: the last row of one and the first of the next
-    ends: dict[int, list] = {}
-    for r in found.where("edge IS NOT NULL").select("part", "pos", "edge").collect():  # two for each partition at most
-        ends.setdefault(r["part"], []).append((r["pos"], bytes(r["edge"])))
-    if ends:
-        places = F.broadcast(spark.createDataFrame([(p,) for e in ends.values() for p, _ in e], "pos long").distinct())
-        at = {r["pos"]: (r["rank"], r["salt"]) for r in ranks.join(places, "pos").select("pos", "rank", F.xxhash64("pos").alias("salt")).collect()}
-        more: dict[int, int] = {}
-        before = None
-        for part in sorted(ends):
-            rows = sorted(ends[part], key=lambda e: at[e[0]])
-            if before is not None:
-                m = common(before[1], rows[0][1])
-                for pos in (before[0], rows[0][0]):
-                    more[pos] = max(more.get(pos, 0), m)
-            before = rows[-1]
-        if more:
-            extra = F.broadcast(spark.createDataFrame(list(more.items()), "pos long, more int"))  # two for each partition
-            found = found.join(extra, "pos", "left").withColumn("m", F.greatest("m", F.coalesce("more", F.lit(0))))
-    per = found.groupBy("seg").agg(F.collect_list(F.struct("at", "m", "prev")).alias("ms"))  # one segment's phrases
-    both = segments.select("seg", "doc", "loc", "letters").join(kinds, "seg").join(per, "seg")
-    led = F.xxhash64("doc", "loc") == F.col("leader")
-    return both.select("doc", "loc", "letters", "ms", (F.col("n") > 1).alias("many"), led.alias("leads"))
-
-
-def copies(docs: DataFrame, span: int) -> DataFrame:
-    """(doc, ver, ident, kept) of each distinct row whose text of `span` bytes or more has copies; one row is kept."""
-    rows = docs.mapInArrow(copy_rows(span), "doc long, ver int, ident binary")
-    counted = rows.groupBy("ident").agg(F.count("*").alias("n"), F.min(F.struct("doc", "ver")).alias("first")).where("n > 1")
-    all_ = rows.distinct().join(counted, "ident")
-    return all_.select("doc", "ver", "ident", (F.struct("doc", "ver").eqNullSafe(F.col("first"))).alias("kept"))
-
-
-# -- 4. places
-
-
-class Text:
-    """A text with its cuts and, per cut, the match that begins there; judges each place of the text."""
-
-    def __init__(self, row: dict, span: int):
-        self.span, self.bytes = span, row["text"]
-        self.text = np.frombuffer(self.bytes, np.uint8)
-        self.at = cuts(self.text, window_of(span))
-        self.left, self.right = left, right = margins(window_of(span))
-        self.m, self.prev, self.letter = (np.zeros(len(self.at), np.int64) for _ in range(3))
-        place = np.frombuffer(b"".join(row["places"]), np.int64)
-        for name in ("m", "prev", "letter"):
-            getattr(self, name)[place] = np.frombuffer(b"".join(row[name]), np.int64)
-        self.p = np.arange(len(self.text) - span + 1)
-        #: the last phrase that begins at p + LEFT at the latest, and the first that begins there at the earliest
-        self.a = np.minimum(np.searchsorted(self.at, self.p + left, "right") - 1, len(self.at) - 2)
-        self.first = np.minimum(np.searchsorted(self.at, self.p + left, "left"), len(self.at) - 1)
-        self.certain = self.covered(self.m)
-        last = np.searchsorted(self.at, self.p + span - right, "right") - 1
-        inside = last - self.first
-        # possible: all phrases that lie with their margins within p .. p + span match in a row
-        self.open = ((inside <= 0) | (self.m[self.first] >= inside)) & ~self.certain
-
-    def covered(self, m: np.ndarray) -> np.ndarray:
-        """Whether the m letters from `a` on, with their margins, cover p .. p + span."""
-        n = m[self.a]
-        begin = np.maximum(self.at[self.a] - self.left, 0)
-        end = np.minimum(self.at[np.minimum(self.a + n, len(self.at) - 1)] + self.right, len(self.text))
-        return (n > 0) & (begin <= self.p) & (end >= self.p + self.span)
-
-    def hashes(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(Hashes(self.text, v).of(places, places + self.span).view(np.int64) for v in (BYTE, SECOND))
-
-
-def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            yield batch.slice(i, 1).to_pylist()[0]
-
-
-def runs_of(flags: np.ndarray) -> np.ndarray:
-    """Starts and ends of runs of true, in turn."""
-    return np.nonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))[0]
-
-
-HASHED = "h1 long, h2 long, doc long, loc long"
-
-
-def hashed(text: Text, row: dict, places: np.ndarray) -> pa.RecordBatch:
-    """(h1, h2, doc, loc) for places of a text: two hashes of the span, version and place."""
-    return batch_of("h1 h2 doc loc", *text.hashes(places), pa.array([row["doc"]] * len(places), pa.int64()), places | row["ver"] << 39)
-
-
-def open_rows(span: int) -> Callable:
-    """The hashes of the open places of candidates."""
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            text = Text(row, span)
-            places = text.p[text.open]
-            if len(places):
-                yield hashed(text, row, places)
-
-    return lambda batches: joined(each(batches))
-
-
-def open_letters(span: int) -> Callable:
-    """The first letters well inside of the spans of open places."""
+def texts_read(wanted) -> Callable:
+    """(sha, text) of the texts whose hash is wanted (all, if it is None), each once for a task that meets it again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[int] = set()
-        for row in rows_of(batches):
-            text = Text(row, span)
-            found.update(text.letter[text.first[text.open]].tolist())
-            if len(found) > 200_000:
-                yield batch_of("letter", pa.array(found, pa.int64()))
-                found = set()
-        if found:
-            yield batch_of("letter", pa.array(found, pa.int64()))
+        seen: set[bytes] = set()
+        for batch in pieces_of(batches, "text"):
+            texts = as_bytes(batch.column("text"))
+            sha = [hashlib.sha256(t).digest() for t in texts]
+            if wanted is not None:
+                asked = wanted.value
+                own = np.frombuffer(b"".join(sha), np.int64)[::4]
+                hit = asked[np.minimum(np.searchsorted(asked, own), len(asked) - 1)] == own if len(asked) else np.zeros(len(own), bool)
+                sha, texts = zip(*[(s, t) for s, t, h in zip(sha, texts, hit.tolist(), strict=True) if h], strict=True) if hit.any() else ((), ())
+            rows = []
+            for s, t in zip(sha, texts, strict=True):
+                if s not in seen:
+                    rows.append((s, t))
+                    if len(seen) < 200_000:
+                        seen.add(s)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*rows, strict=True)], names=["sha", "text"])
 
     return run
 
 
-def letter_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(letter, doc, ver, place) of candidates' letters."""
-    for row in rows_of(batches):
-        place, letter = (np.frombuffer(b"".join(row[c]), np.int64) for c in ("places", "letter"))
-        yield batch_of("letter doc ver place", letter, pa.array([row["doc"]] * len(place), pa.int64()), np.full(len(place), row["ver"], np.int32), place)
-
-
-def leader_rows(span: int) -> Callable:
-    """The hashes of certain places whose first letter is one of an open place: an open place may equal one of those.
-
-    Texts whose suffixes share all letters of a span have it in common; only the first of them in suffix order, which
-    shares fewer with the one before, sends it.
-    """
+def place_hashes(text: np.ndarray, runs: list[np.ndarray], spans: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the span, places, and two hashes of the span from each of them) for low .. high of each span."""
+    short = [Hashes(text, values) for values in (BYTE, SECOND)] if len(text) <= 2 * STRETCH else None
+    for tag, span in enumerate(spans):
+        low, high = runs[2 * tag], runs[2 * tag + 1]
+        if short is None:
+            order = np.argsort(low, kind="stable")
+            low, high = low[order], high[order]
+        for i, j in [(0, len(low))] if short and len(low) else stretches(low, high):
+            n = high[i:j] - low[i:j] + 1
+            places = np.repeat(low[i:j] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            if short:
+                yield tag, places, *(h.of(places, places + span).view(np.int64) for h in short)
+            else:
+                first, stop = int(low[i]), int(high[i:j].max()) + span
+                yield tag, places, *(Hashes(text[first:stop], values).of(places - first, places - first + span).view(np.int64) for values in (BYTE, SECOND))
+
+
+def deal_hashes(spans: list[int], n: int) -> Callable:
+    """Candidates with their texts to packets of hashes, by the hash, and of the texts that stay."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        held: list[list] = [[] for _ in spans]
+        size = 0
+
+        def out() -> Iterator[tuple]:
+            for tag, cells in enumerate(held):
+                if cells:
+                    owner, place, one, two = (np.concatenate(c) for c in zip(*cells, strict=True))
+                    cells.clear()
+                    part = ((one.view(np.uint64) >> U(32)).astype(np.int64) * n) >> 32
+                    order = np.argsort(part.astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")
+                    bounds = np.searchsorted(part[order], np.arange(n + 1)).tolist()
+                    for k, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                        if i < j:
+                            at = order[i:j]
+                            yield k, 0, HASHED, tag, j - i, np.concatenate((one[at], two[at])).tobytes(), owners_cell(owner[at]), place[at].tobytes()
+
+        for sha, text, rid, copied, certain, hashed in rows:
+            data, runs = np.frombuffer(text, np.uint8), got(hashed)
+            for tag, place, one, two in place_hashes(data, runs, spans):
+                held[tag].append((np.full(len(place), rid), place, one, two))
+                size += len(place)
+            if not copied:
+                yield rid % n, rid, TEXT, 0, len(text), bytes(text), bytes(certain), bytes(sha)
+            if size >= GATHERED:
+                yield from out()
+                size = 0
+        yield from out()
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            text = Text(row, span)
-            wanted = np.zeros(len(text.at), bool)
-            wanted[np.array(row["asked"], np.int64)] = True
-            places = text.p[text.certain & wanted[text.first] & ~text.covered(text.prev)]
-            if len(places):
-                yield hashed(text, row, places)
+    return run
 
-    return lambda batches: joined(each(batches))
 
+def decided(n: int) -> Callable:
+    """The places whose hashes occur at another place, too, for their texts' homes."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        by_tag: dict[int, list] = {}
+        for row in rows:
+            both = numbers(row[5])
+            by_tag.setdefault(row[3], []).append((both[: row[4]], both[row[4] :], *owners_of(row[6]), numbers(row[7])))
+        for tag, cells in by_tag.items():
+            one, two, owner, place = (np.concatenate(c) for c in zip(*cells, strict=True))
+            order = np.argsort(one)
+            starts = runs_among(one[order])
+            size = np.diff(np.append(starts, len(order)))
+            at = order[np.repeat(size > 1, size)]
+            one, two, owner, place = one[at], two[at], owner[at], place[at]
+            order = np.lexsort((place, owner, two, one))
+            one, two, owner, place = one[order], two[order], owner[order], place[order]
+            new = np.concatenate(([True], (one[1:] != one[:-1]) | (two[1:] != two[:-1])))[: len(one)]
+            fresh = np.concatenate(([True], new[1:] | (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])))[: len(one)]  # a text read twice counts once
+            one, two, owner, place, new = one[fresh], two[fresh], owner[fresh], place[fresh], new[fresh]
+            starts = np.nonzero(new)[0]
+            size = np.diff(np.append(starts, len(new)))
+            keep = np.repeat(size > 1, size)
+            yield from deal_by_owner(owner[keep], n, DECIDED, tag, place[keep])
 
-MARKS = "doc long, ver int, starts binary, n_removed long, n_spans long, kept_sha256 string"
+    return run
 
 
-def marked(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """(doc, ver, starts, n_removed, n_spans, kept_sha256) of each distinct row (doc_id, text) that loses bytes.
+def removed_runs(low: np.ndarray, high: np.ndarray, span: int) -> list[tuple[int, int]]:
+    """The maximal runs of bytes covered by spans that start at low .. high."""
+    order = np.argsort(low, kind="stable")
+    begin, end = low[order], np.maximum.accumulate(high[order] + span)
+    new = np.concatenate(([True], begin[1:] > end[:-1]))[: len(begin)]
+    starts = np.nonzero(new)[0]
+    stops = np.append(starts[1:], len(begin)) - 1
+    return list(zip(begin[starts].tolist(), end[stops].tolist(), strict=True)) if len(begin) else []
 
-    starts holds where repeats start, as runs (pairs of int64, in bytes). It and what follows are null for rows whose
-    text has a copy in another row: all of their bytes go.
-    """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ver, place = F.shiftright("loc", 39).cast("int"), F.col("loc").bitwiseAND((1 << 39) - 1)
-    same = F.col("doc").eqNullSafe(F.col("d")) & (F.col("ver") == F.col("v"))
-    twins = materialise(copies(docs, span).select("doc", "ver", "kept"), "copies")
-    parts = matches(docs, twins, span).mapInArrow(packed, f"doc long, ver int, {PACKED}")
-    rows = parts.groupBy("doc", "ver").agg(*[F.collect_list(c).alias(c) for c in PACKED_NAMES])  # one text's segments
-    texts = docs.mapInArrow(versions(span), "d long, v int, text binary")
-    candidates = texts.join(rows, same).mapInArrow(undecided(span), f"doc long, ver int, text binary, {LISTS}")
-    with small_batches(spark):
-        candidates = materialise(candidates.dropDuplicates(["doc", "ver"]), "candidates")
-    free_shuffles(spark)
-    letters = candidates.mapInArrow(open_letters(span), "letter long").distinct()
-    held = candidates.select("doc", "ver", "places", "letter").mapInArrow(letter_places, "letter long, doc long, ver int, place long")
-    asked = held.join(letters, "letter", "left_semi").groupBy("doc", "ver").agg(F.collect_list("place").alias("asked")).toDF("d", "v", "asked")
-    leaders = candidates.join(asked, same).mapInArrow(leader_rows(span), HASHED)
-    all_ = candidates.mapInArrow(open_rows(span), HASHED).union(leaders).repartition(n, "h1", "h2").sortWithinPartitions("h1", "h2")
-    starts = all_.mapInArrow(lambda it: joined(repeated_only(["h1", "h2"])(it)), HASHED).select("doc", ver.alias("ver"), place.alias("p"))
-    decided = starts.groupBy("doc", "ver").agg(F.collect_list("p").alias("p"))  # one text's places
-    both = candidates.join(decided.toDF("d", "v", "p"), same, "left").select("doc", "ver", "text", *PACKED_NAMES, "p")
-    blank = [F.lit(None).cast(t) for t in ("binary", "long", "long", "string")]
-    settled = both.mapInArrow(settle(span), MARKS).join(twins.select(F.col("doc").alias("d"), F.col("ver").alias("v")), same, "left_anti")
-    with small_batches(spark):
-        return materialise(settled.union(twins.select("doc", "ver", *blank).distinct()), "marks")
 
+def whole_words(text: bytes, begin: int, end: int) -> int:
+    """The words that lie within a run."""
+    words = len(text[begin:end].split())
+    dark = lambda i: 0 <= i < len(text) and not BLANK[text[i]]
+    cut = (dark(begin - 1) and dark(begin)) + (dark(end - 1) and dark(end))
+    return max(0, words - int(cut))
 
-def undecided(span: int) -> Callable:
-    """Texts with a place that does or may start a repeat."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                text = Text(batch.slice(i, 1).to_pylist()[0], span)
-                keep.append(bool(text.certain.any() or text.open.any()))
-            yield batch.select(["doc", "ver", "text", *PACKED_NAMES]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def kept_bytes(text: bytes, runs: list[tuple[int, int]]) -> bytes:
+    out, at = [], 0
+    for a, b in runs:
+        out.append(text[at:a])
+        at = b
+    return b"".join([*out, text[at:]])
 
 
-def versions(span: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces_of(batches, "text"):
-            rows = [(doc, version(t), t) for doc, t in long_texts(iter([batch]), span)]
-            if rows:
-                d, v, t = zip(*rows, strict=True)
-                yield batch_of("d v text", pa.array(d, pa.int64()), pa.array(v, pa.int32()), pa.array(t, pa.binary()))
+def settled(spans: list[int], judge: Callable) -> Callable:
+    """Texts with their certain and decided places to judge(rid, sha, text, removed runs of each span)."""
+
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        texts, found = [], [[] for _ in spans]
+        for row in rows:
+            if row[2] == TEXT:
+                texts.append(row)
+            else:
+                found[row[3]].append((numbers(row[5]), numbers(row[6])))
+        places = [by_owner(f) for f in found]
+        for row in texts:
+            cells, runs = got(row[6]), []
+            for tag, span in enumerate(spans):
+                own = places[tag].get(row[1], [np.empty(0, np.int64)])[0]
+                runs.append(removed_runs(np.concatenate((cells[2 * tag], own)), np.concatenate((cells[2 * tag + 1], own)), span))
+            if any(runs):
+                yield judge(row[1], bytes(row[7]), bytes(row[5]), runs)
 
     return run
 
 
-PACKED_NAMES = ["places", "m", "prev", "letter"]
-PACKED = ", ".join(f"{c} binary" for c in PACKED_NAMES)
-
-
-PACKED_NAMES = ["places", "m", "prev", "letter"]
-PACKED = ", ".join(f"{c} binary" for c in PACKED_NAMES)
-LISTS = ", ".join(f"{c} array<binary>" for c in PACKED_NAMES)
-
+def hashes_of(rows: DataFrame, at_most: int) -> np.ndarray | None:
+    """The first eight bytes of all sha, sorted; none if there are more than at_most."""
+    if rows.count() > at_most:
+        return None
 
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments (doc, loc, letters, ms, many, leads) to (doc, ver) and strings of int64: places, m, prev, letters."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        out: list[list[bytes]] = [[] for _ in PACKED_NAMES]
-        locs = batch.column("loc").to_numpy(zero_copy_only=False)
-        columns = (batch.column(c).to_pylist() for c in ("letters", "many", "leads"))
-        for loc, cell, letters, many, leads in zip(locs.tolist(), batch.column("ms"), *columns, strict=True):
-            at, m, prev = (cell.values.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("at", "m", "prev"))
-            order = np.argsort(at)
-            n = len(at)
-            left = n - np.arange(n)
-            place = ((loc & ((1 << 39) - 1)) >> 7) + np.arange(n)
-            m = left if many else m[order]
-            prev = prev[order] if leads else left  # others share all with the leader
-            for cells, x in zip(out, (place, m, prev), strict=False):
-                cells.append(x.astype(np.int64).tobytes())
-            out[3].append(letters)
-        yield batch_of(" ".join(["doc", "ver", *PACKED_NAMES]), batch.column("doc"), (locs >> 39).astype(np.int32), *(pa.array(c, pa.binary()) for c in out))
-
-
-def settle(span: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                text, starts = row["text"], Text(row, span).certain
-                if row["p"]:
-                    starts[np.array(row["p"])] = True
-                if starts.any():
-                    runs = runs_of(starts).astype(np.int64).tobytes()
-                    gone = removed_runs(text, runs, span)
-                    kept = kept_bytes(text, gone)
-                    out.append((row["doc"], row["ver"], runs, len(text) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()))
-            if out:
-                types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.string())
-                yield batch_of("doc ver starts n_removed n_spans kept_sha256", *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(x[:8] for x in batch.column("sha").to_pylist())])], names=["x"])
+
+    found = rows.select("sha").mapInArrow(run, "x binary").collect()  # eight bytes for each of at_most texts
+    return np.sort(np.frombuffer(b"".join(bytes(r["x"]) for r in found), np.int64))
+
+
+def marked(rows: DataFrame, spans: list[int], judge: Callable, schema: str, types: list[pa.DataType]) -> tuple[DataFrame, DataFrame]:
+    """(all rows, marks): rows are (rid, doc, n_bytes, n_words, sha, copies), marks what judge says of each distinct text
+    that loses bytes; texts with copies (copies > 1) go whole and have none."""
+    spark = rows.sparkSession
+    window = window_of(min(spans))
+    parsed_ = materialise(rows.mapInArrow(parsed(min(spans), window), PARSED), "parsed")
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, -(-(parsed_.agg(F.sum("n_bytes")).first()[0] or 0) // PARTITION)))
+    groups = parsed_.where(F.col("n_bytes") >= min(spans)).groupBy("sha").agg(F.count("*").alias("copies"), F.min("rid").alias("first"), F.max("n_words").alias("words")).where("copies > 1")
+    groups = materialise(groups, "copies")  # a side of its own: the other can then be split where one text has most rows
+    light = parsed_.select("rid", "doc", "n_bytes", "n_words", "sha").join(groups, "sha", "left")
+    light = materialise(light.select("rid", "doc", "n_bytes", F.coalesce("words", "n_words").alias("n_words"), "sha", F.coalesce("copies", F.lit(1)).alias("copies"), (F.col("first").isNotNull() & (F.col("rid") != F.col("first"))).alias("later")), "texts")
+    release(groups)
+    home = F.expr(f"CAST(pmod(rid, {n}) AS INT)").alias("home")
+    nothing = [F.lit(None).cast("binary").alias(c) for c in "abc"]
+    later = light.where("later").select(home, F.col("rid").alias("id"), F.lit(LATER).alias("kind"), F.lit(0).alias("part"), F.lit(0).cast("long").alias("n"), *nothing)
+    letters = mapped_from(parsed_.where("letters IS NOT NULL").select("rid", "sha", "sizes", "letters"), deal_letters(n))
+    entries = mapped(dealt(letters, n), repeated_letters(n)).union(later)
+    segments = materialise(tabled(dealt(entries, n), segment_rows, SEGMENTS, [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]), "segments")
+    free_shuffles(spark)
+    kinds = segments.groupBy("seg").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("lead"))  # fixed width: hashed, combined map-side
+    leads = F.struct("rid", "place") == F.col("lead")
+    firsts = segments.join(kinds, "seg").where(leads).select("seg", "letters", "sizes", "least")
+    found = matches(firsts, max(spans) - margins(window)[1], n)  # a phrase that begins at p or later needs no more
+    cell = lambda c: F.col(c).cast("binary")
+    number = F.when(F.col("n") > 1, 2).otherwise(0) + F.when(leads, 1).otherwise(0)
+    of_segments = segments.join(kinds, "seg").join(found, "seg").select(home, F.col("rid").alias("id"), F.lit(SEGMENT).alias("kind"), F.col("place").alias("part"), number.cast("long").alias("n"), cell("letters").alias("a"), cell("m").alias("b"), cell("prev").alias("c"))
+    of_texts = parsed_.where("letters IS NOT NULL").select("rid", "sizes").join(light.where("NOT later"), "rid").select(home, F.col("rid").alias("id"), F.lit(TEXT).alias("kind"), F.when(F.col("copies") > 1, 1).otherwise(0).alias("part"), F.col("n_bytes").alias("n"), cell("sha").alias("a"), cell("sizes").alias("b"), F.lit(None).cast("binary").alias("c"))
+    places = materialise(mapped(dealt(of_segments.union(of_texts), n), to_places(spans, window, n)), "places")
+    release(parsed_, segments, found)
+    wanted = mapped(dealt(places.where(F.col("kind").isin(LEADER, ASKED)), n), wanted_leaders(n))
+    candidates = materialise(tabled(dealt(places.where(F.col("kind") == PLACES).union(wanted), n), candidates_of(len(spans)), CANDIDATES, [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]), "candidates")
+    release(places)
+    hashes = hashes_of(candidates, WANTED)
+    texts = rows.mapInArrow(texts_read(None if hashes is None else spark.sparkContext.broadcast(hashes)), "sha binary, text binary")
+    with small_batches(spark):
+        both = texts.join(candidates, "sha").select("sha", "text", "rid", "copied", "certain", "hashed")
+        hashed = materialise(mapped_from(both, deal_hashes(spans, n)), "hashed")
+    release(candidates)
+    with small_batches(spark):
+        chosen = mapped(dealt(hashed.where(F.col("kind") == HASHED), n), decided(n))
+        marks = materialise(tabled(dealt(hashed.where(F.col("kind") == TEXT).union(chosen), n), settled(spans, judge), schema, types), "marks")
+    release(hashed)
+    return light, marks
 
-    return run
 
+def mapped_from(df: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]]) -> DataFrame:
+    """Rows of any columns to packets."""
+    names = df.columns
+    return df.mapInArrow(lambda batches: batches_of(fn(rows_of(batches, names))), PACKET)
 
-def removed_runs(text: bytes, starts: bytes | None, span: int) -> list[tuple[int, int]]:
-    """The maximal runs of bytes that go. starts null: all."""
-    if starts is None:
-        return [(0, len(text))]
-    out: list[tuple[int, int]] = []
-    pairs = np.frombuffer(starts, np.int64).reshape(-1, 2)
-    for a, b in zip(pairs[:, 0].tolist(), (pairs[:, 1] - 1 + span).tolist(), strict=True):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
 
+def tabled(packets: DataFrame, fn: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str, types: list[pa.DataType]) -> DataFrame:
+    """Packets to rows of another schema."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    return packets.mapInArrow(lambda batches: batches_of(fn(rows_of(batches)), names, types), schema)
 
-def kept_bytes(text: bytes, runs: list[tuple[int, int]]) -> bytes:
-    out, at = [], 0
-    for a, b in runs:
-        out.append(text[at:a])
-        at = b
-    return b"".join([*out, text[at:]])
 
+# -- results
 
+MARKS = "rid long, n_removed long, n_spans long, kept_sha256 string, has_passage boolean"
+MARK_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces_of(batches, "text"):
-        texts = as_bytes(batch.column("text"))
-        yield batch_of("doc_id v n_bytes sha", batch.column("doc_id"), pa.array(map(version, texts), pa.int32()), pa.array(map(len, texts), pa.int64()), pa.array((hashlib.sha256(t).hexdigest() for t in texts), pa.string()))
+def counted(words: int) -> Callable:
+    """What is removed by the first span, and whether a run of the last one is a passage."""
+
+    def judge(rid: int, sha: bytes, text: bytes, runs: list[list[tuple[int, int]]]) -> tuple:
+        kept = kept_bytes(text, runs[0])
+        return rid, len(text) - len(kept), len(runs[0]), hashlib.sha256(kept).hexdigest(), any(whole_words(text, a, b) > words for a, b in runs[-1])
 
+    return judge
 
-def repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    rows = text_rows(docs, id_col, text_col)
-    marks = marked(rows, span).drop("starts")
-    light = rows.mapInArrow(measured, "doc_id long, v int, n_bytes long, sha string")
-    all_ = light.join(marks, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("v") == F.col("ver")), "left")
-    # marked rows without counts are copies, and lose everything
-    gone = F.when(F.col("ver").isNull(), 0).otherwise(F.coalesce("n_removed", "n_bytes"))
-    spans = F.when(F.col("ver").isNull(), 0).otherwise(F.coalesce("n_spans", F.lit(1)))
-    sha = F.when(F.col("ver").isNull(), F.col("sha")).otherwise(F.coalesce("kept_sha256", F.lit(EMPTY_SHA)))
-    return all_.select("doc_id", "n_bytes", gone.cast("long").alias("n_removed"), spans.cast("long").alias("n_spans"), sha.alias("kept_sha256"))
 
+def repeats(docs: DataFrame, span: int = SPAN, passage: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With passage = (bytes, words) also has_passage: whether the text holds a run of over so many whole words that is
+    covered by strings of so many bytes which occur elsewhere, too.
+    """
+    spans, words = [span, *([passage[0]] if passage else [])], passage[1] if passage else 0
+    light, marks = marked(text_rows(docs, id_col, text_col), spans, counted(words), MARKS, MARK_TYPES)
+    all_ = light.withColumnRenamed("doc", "doc_id").join(marks, "rid", "left")
+    whole = (F.col("copies") > 1) & (F.col("n_bytes") >= span)
+    gone = F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0)))
+    runs = F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0)))
+    sha = F.when(whole, F.lit(EMPTY_SHA)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("sha"))))
+    has = F.when(F.col("copies") > 1, F.coalesce("n_words", F.lit(0)) > words).otherwise(F.coalesce("has_passage", F.lit(False)))
+    return all_.select("doc_id", "n_bytes", gone.cast("long").alias("n_removed"), runs.cast("long").alias("n_spans"), sha.alias("kept_sha256"), *([has.alias("has_passage")] if passage else []))
 
-def cutter(span: int, names: list[str], text_col: str) -> Callable:
-    """Rows with `__starts` and `__hit` to rows without them, their text cut; characters stay whole."""
+
+def cutter(names: list[str], text_col: str, runs_col: str) -> Callable:
+    """Rows with the runs that go (pairs of int64; null: none) to rows without that column, their texts cut; characters stay whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, hit, starts in zip(as_bytes(batch.column(text_col)), batch.column("__hit").to_pylist(), batch.column("__starts").to_pylist(), strict=True):
-                if hit:
-                    runs = []
-                    for a, b in removed_runs(text, starts, span):
-                        while a < b and text[a] & 0xC0 == 0x80:  # a character begun before stays
-                            a += 1
-                        while b > a and b < len(text) and text[b] & 0xC0 == 0x80:  # and one that goes on behind
-                            b -= 1
-                        runs.append((a, b))
-                    text = kept_bytes(text, runs)
-                texts.append(text.decode("utf-8", "replace"))
+            for text, cell in zip(as_bytes(batch.column(text_col)), batch.column(runs_col).to_pylist(), strict=True):
+                runs = []
+                for a, b in np.frombuffer(cell or b"", np.int64).reshape(-1, 2).tolist():
+                    b = min(b, len(text))
+                    while a < b and text[a] & 0xC0 == 0x80:  # a character begun before stays
+                        a += 1
+                    while b > a and b < len(text) and text[b] & 0xC0 == 0x80:  # and one that goes on behind
+                        b -= 1
+                    runs.append((a, b))
+                texts.append(kept_bytes(text, runs).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names], names=names)
 
     return run
 
 
-def cut_texts(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with all repeats cut out of the texts. A null text becomes empty; other columns stay as they are."""
-    rows = text_rows(docs, id_col, text_col)
-    marks = marked(rows, span).select("doc", "ver", "starts")
-    ver = F.conv(F.substring(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256), 1, 6), 16, 10).cast("int")
-    keyed = docs.withColumn("__ver", ver)
-    both = keyed.join(marks.toDF("__doc", "__v", "__starts"), F.col(id_col).cast("long").eqNullSafe(F.col("__doc")) & (F.col("__ver") == F.col("__v")), "left")
-    out = both.select(*docs.columns, F.col("__v").isNotNull().alias("__hit"), "__starts")
-    return out.mapInArrow(cutter(span, docs.columns, text_col), docs.schema)
+def listed(words: int) -> Callable:
+    """The runs of over so many whole words."""
+
+    def judge(rid: int, sha: bytes, text: bytes, runs: list[list[tuple[int, int]]]) -> tuple:
+        return sha, np.array([r for r in runs[0] if whole_words(text, *r) > words], np.int64).tobytes()
+
+    return judge
+
+
+def cut_texts(docs: DataFrame, span: int = SPAN, words: int = -1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with all repeats of over `words` whole words cut out of the texts. A null text becomes empty; other columns stay as they are."""
+    light, marks = marked(text_rows(docs, id_col, text_col), [span], listed(words), "sha binary, runs binary", [pa.binary(), pa.binary()])
+    whole = F.lit(np.array([0, 1 << 62], np.int64).tobytes())  # of texts with copies: all
+    copied = light.where((F.col("copies") > 1) & (F.col("n_bytes") >= span) & (F.coalesce("n_words", F.lit(0)) > words)).select("sha").distinct().withColumn("runs", whole)
+    sha, runs = (f"{name}-{uuid.uuid4().hex}" for name in ("sha", "runs"))  # no column of docs has these names
+    own = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"), 256))
+    both = docs.withColumn(sha, own).join(marks.union(copied).toDF(sha, runs), sha, "left")
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    return both.select(*kept, F.col(f"`{runs}`")).mapInArrow(cutter(docs.columns, text_col, runs), docs.schema)
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats(table(spark, sf_dir, "documents"))
+    return repeats(table(spark, sf_dir, "documents"), passage=(PASSAGE, PASSAGE_WORDS))

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from keelson.llm import byte_bpe, exact_dedup, packing, repeats, simhash, token_files, token_ids
+from keelson.llm import byte_bpe, exact_dedup, packing, registry, repeats, simhash, suffixes, token_files, token_ids
 
 RANKS = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 CODER = byte_bpe.ByteBpe(RANKS, public_tokenizers.PATTERN)
@@ -36,8 +36,7 @@ def documents(df):
     return [(r["doc_id"], r["text"] or "") for r in df.collect()]
 
 
-def test_exact_dedup(odd, none):
-    docs = documents(odd)
+def owners_by_definition(docs):
     groups = defaultdict(list)
     for doc, text in docs:
         groups[re.sub(r"[\x20\x09-\x0d]", "", text)].append((-len(text), doc is None, doc or 0, doc))
@@ -46,7 +45,11 @@ def test_exact_dedup(odd, none):
         body = re.sub(r"[\x20\x09-\x0d]", "", text)
         keep = min(groups[body])[3]
         want.append((doc, keep, len(groups[body]), doc == keep, hashlib.sha256(body.encode()).hexdigest()))
-    assert sorted(rows(exact_dedup.owners(odd)), key=str) == sorted(want, key=str)
+    return want
+
+
+def test_exact_dedup(odd, none):
+    assert sorted(rows(exact_dedup.owners(odd)), key=str) == sorted(owners_by_definition(documents(odd)), key=str)
     assert rows(exact_dedup.owners(none)) == []
 
 
@@ -92,42 +95,54 @@ def test_pieces_agree_with_the_library(name, text):
     assert np.frombuffer(ENCODERS[name].encode([text])[0], "<u4").tolist() == LIBRARY[name].encode(text, add_special_tokens=False).ids
 
 
+def coded_by_the_library(docs):
+    for doc, text in docs:
+        ids = TIKTOKEN.encode_ordinary(text)
+        yield doc, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_byte_bpe_rows(odd, none):
     found = rows(byte_bpe.digest_documents(odd, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
-    want = []
-    for doc, text in documents(odd):
-        ids = TIKTOKEN.encode_ordinary(text)
-        want.append((doc, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()))
-    assert sorted(found, key=str) == sorted(want, key=str)
+    assert sorted(found, key=str) == sorted(coded_by_the_library(documents(odd)), key=str)
     assert rows(byte_bpe.digest_documents(none, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)) == []
 
 
-def test_packing_rows(odd, none):
-    path = public_tokenizers.path("word_bpe_49k.json")
+def check_packing(found, docs):
+    """Each id of each document lies in one piece, sequences have no gaps, and little padding."""
     pieces, sequences = defaultdict(list), defaultdict(list)
-    for doc, start, length, crc, total, sequence, offset in rows(packing.pack(odd, path)):
+    for doc, start, length, crc, total, sequence, offset in found:
         pieces[doc, total].append((start, length, crc))
         sequences[sequence].append((offset, length))
-    for doc, text in documents(odd):
+    tokens = 0
+    for doc, text in docs:
         ids = np.array([*LIBRARY["word_bpe_49k.json"].encode(text, add_special_tokens=False).ids, 2], "<u4")
+        tokens += len(ids)
         own = [p for p in pieces[doc, len(ids)] if zlib.crc32(ids[p[0] : p[0] + p[1]].tobytes()) == p[2]]
         assert {i for s, n, _ in own for i in range(s, s + n)} == set(range(len(ids)))
-    assert sum(p[1] for ps in pieces.values() for p in ps) == sum(len(LIBRARY["word_bpe_49k.json"].encode(t, add_special_tokens=False).ids) + 1 for _, t in documents(odd))
+    assert sum(p[1] for ps in pieces.values() for p in ps) == tokens
+    padding = 0
     for parts in sequences.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
         assert at <= 4096
+        padding += 0 if at & (at - 1) == 0 else 4096 - at
+    assert padding <= 0.02 * tokens
+
+
+def test_packing_rows(odd, none):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    check_packing(rows(packing.pack(odd, path)), documents(odd))
     assert rows(packing.pack(none, path)) == []
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 20_000), min_size=1, max_size=200))
+@given(st.lists(st.integers(1, 10_000), min_size=1, max_size=60))
 def test_packer_places_each_token_once_with_little_padding(lengths):
     p = packing.HarmonicPacker()
     placed = [x for i, n in enumerate(lengths) for x in p.add(i, n)] + list(p.finish())
-    assert sorted((d, s) for d, start, n, _, _ in placed for s in (start, start + n - 1)) and sum(n for _, _, n, _, _ in placed) == sum(lengths)
+    assert sorted((d, i) for d, start, n, _, _ in placed for i in range(start, start + n)) == [(d, i) for d, n in enumerate(lengths) for i in range(n)]
     used = defaultdict(int)
     for _, _, n, sequence, offset in placed:
         used[sequence] += n
@@ -142,16 +157,19 @@ def test_planes_round_trip(kind):
     assert (token_files.from_planes(token_files.to_planes(ids, kind), len(ids), kind) == ids).all()
 
 
+def token_rows(docs):
+    at = 0
+    for doc, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1])):
+        ids = np.array([*LIBRARY["byte_bpe_50k.json"].encode(text, add_special_tokens=False).ids, 0], "<u4")
+        yield doc, at, len(ids), zlib.crc32(ids.tobytes())
+        at += len(ids)
+
+
 @pytest.mark.parametrize(("kind", "block", "file_ids"), [("byte", 64, 200), ("bit", 1 << 16, 1 << 24)])
 def test_token_files(odd, none, kind, block, file_ids):
     path = public_tokenizers.path("byte_bpe_50k.json")
     found = rows(token_files.read_tokens(token_files.write_tokens(odd, path, kind=kind, block=block, file_ids=file_ids)))
-    at, want = 0, []
-    for doc, text in sorted(documents(odd), key=lambda d: (d[0] is not None, d[0] or 0, d[1])):
-        ids = np.array([*LIBRARY["byte_bpe_50k.json"].encode(text, add_special_tokens=False).ids, 0], "<u4")
-        want.append((doc, at, len(ids), zlib.crc32(ids.tobytes())))
-        at += len(ids)
-    assert sorted(found, key=lambda r: r[1]) == want
+    assert sorted(found, key=lambda r: r[1]) == list(token_rows(documents(odd)))
     assert rows(token_files.read_tokens(token_files.write_tokens(none, path))) == []
 
 
@@ -181,14 +199,18 @@ def groups_of(prints):
     return {p: root(p) for p in prints}
 
 
-def test_simhash_rows(odd, none):
-    docs = [(d, simhash_by_definition(t)) for d, t in documents(odd)]
+def near_by_definition(docs):
+    docs = [(d, simhash_by_definition(t)) for d, t in docs]
     groups = groups_of([p for _, p in docs])
     first = {}
     for d, p in docs:
         if d is not None:
             first[groups[p]] = min(first.get(groups[p], d), d)
-    want = [(d, p - (1 << 64) if p >> 63 else p, first.get(groups[p])) for d, p in docs]
+    return [(d, p, first.get(groups[p])) for d, p in docs]
+
+
+def test_simhash_rows(odd, none):
+    want = [(d, p - (1 << 64) if p >> 63 else p, c) for d, p, c in near_by_definition(documents(odd))]
     assert sorted(rows(simhash.near_duplicates(odd)), key=str) == sorted(want, key=str)
     assert rows(simhash.near_duplicates(none)) == []
 
@@ -271,3 +293,112 @@ def test_repeats_with_copies_in_any_order(spark):
     assert all(600 <= dict(want)[near] < 700 for near in (9, 19, 29)) and dict(want)[4] == 0
     docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
     assert sorted(((r[0], r[2]) for r in rows(repeats.repeats(docs))), key=str) == sorted(want, key=str)
+
+
+def test_passages(spark):
+    """What repeats in fewer bytes than the span, but holds over 50 words; whole copies; long texts in stretches."""
+    random.seed(9)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(random.randrange(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    short, passage, copy, long_one = prose(40), prose(55), prose(60), prose(60_000)
+    texts = [prose(30) + " " + passage + " " + prose(30), prose(80) + " " + passage, short + " " + prose(90), prose(9) + " " + short, copy, copy, prose(200), long_one, prose(50) + long_one[150_000:320_000], "yx" * 60_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r[0]: r for r in rows(repeats.repeats(docs, 400, (200, 50)))}
+    assert {i for i, r in found.items() if r[5]} == {0, 1, 4, 5, 7, 8}
+    raw = [t.encode() for t in texts]
+    for span in (400, 200):
+        want = [int(gone.sum()) for gone in removed_by_hashes(raw, span)]
+        assert [r[2] for _, r in sorted((found if span == 400 else {r[0]: r for r in rows(repeats.repeats(docs, 200))}).items())] == want
+    cut = {r["doc_id"]: r["text"] for r in repeats.cut_texts(docs, 200, 50).collect()}
+    assert passage[5:-5] not in cut[0] and short in cut[2] and cut[4] == cut[5] == "" and cut[6] == texts[6] and len(cut[7]) < len(texts[7]) - 169_000
+
+
+def removed_by_hashes(raw, span):
+    """As repeated_by_definition, for longer texts: windows by Python's own hash of bytes."""
+    hashes = [np.array([hash(t[i : i + span]) for i in range(max(0, len(t) - span + 1))], np.int64) for t in raw]
+    known, count = np.unique(np.concatenate(hashes), return_counts=True)
+    again = known[count > 1]
+    for t, h in zip(raw, hashes, strict=True):
+        gone = np.zeros(len(t) + 1, np.int64)
+        at = np.nonzero(np.isin(h, again))[0]
+        np.add.at(gone, at, 1)
+        np.add.at(gone, at + span, -1)
+        yield np.cumsum(gone)[:-1] > 0
+
+
+@pytest.mark.parametrize("small", [None, 500])
+def test_matches_are_the_longest(spark, monkeypatch, small):
+    """Each letter's match is the longest that any other suffix has; the order is sorted in one task, or in rounds."""
+    if small:
+        monkeypatch.setattr(suffixes, "SMALL", small)
+        monkeypatch.setattr(suffixes, "SORTED", 300)
+    random.seed(7)
+    base = [random.randrange(1, 1 << 40) for _ in range(120)]
+    strings = [[7] * 50, [7] * 49 + [9], *([random.choice((3, 5)) for _ in range(random.randrange(1, 30))] for _ in range(20))]
+    strings += [base[i : i + random.randrange(1, 90)] for i in (random.randrange(100) for _ in range(25))]
+    strings = [s for s in {tuple(s): s for s in strings}.values() if s]
+    sizes, limit = {}, 60
+    out = []
+    for s in strings:
+        size = [sizes.setdefault(x, 1 + x % 9) for x in s]
+        letters = np.array(s, np.int64).tobytes()
+        out.append((hashlib.blake2b(letters, digest_size=16).digest(), bytearray(letters), bytearray(size), min(s)))
+    df = spark.createDataFrame(out, "seg binary, letters binary, sizes binary, least long")
+    found = {bytes(r["seg"]): (np.frombuffer(r["m"], np.int64).tolist(), np.frombuffer(r["prev"], np.int64).tolist()) for r in suffixes.matches(df, limit, 3).collect()}
+
+    def ahead(s, i):  # the letters of `limit` bytes
+        total, j = 0, i
+        while j < len(s) and total < limit:
+            total += sizes[s[j]]
+            j += 1
+        return s[i:j]
+
+    all_ = [(k, i, ahead(s, i)) for k, s in enumerate(strings) for i in range(len(s))]
+    shared = lambda a, b: next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    leads = 0
+    for k, i, own in all_:
+        m, prev = (x[i] for x in found[out[k][0]])
+        assert m == max(shared(own, other) for q, j, other in all_ if (q, j) != (k, i)) and prev <= m
+        leads += prev < len(own)
+    assert leads >= len({tuple(own) for _, _, own in all_}) - 1
+
+
+# -- the registered queries, on whole tables
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return documents(spark.read.parquet(f"{SF}/documents.parquet"))
+
+
+def answered(spark, name):
+    return rows(registry.queries()[name](spark, SF))
+
+
+def test_op2_repeats(spark, table):
+    raw = [t.encode() for _, t in table]
+    want = []
+    for (doc, _), t, gone, short in zip(table, raw, removed_by_hashes(raw, 400), removed_by_hashes(raw, repeats.PASSAGE), strict=True):
+        edges = lambda flags: np.nonzero(np.diff(np.concatenate(([0], flags.astype(int), [0]))))[0].reshape(-1, 2).tolist()
+        has = any(repeats.whole_words(t, a, b) > 50 for a, b in edges(short))
+        want.append((doc, len(t), int(gone.sum()), len(edges(gone)), hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest(), has))
+    assert sorted(answered(spark, "op2_repeats")) == sorted(want)
+    assert any(r[5] for r in want) and any(r[2] for r in want)
+
+
+def test_op6_packing(spark, table):
+    check_packing(answered(spark, "op6_packing"), table)
+
+
+def test_op7_byte_bpe(spark, table):
+    assert sorted(answered(spark, "op7_byte_bpe")) == sorted(coded_by_the_library(table))
+
+
+def test_op8_simhash(spark, table):
+    assert sorted(answered(spark, "op8_simhash")) == sorted((d, f"{p:016x}", c) for d, p, c in near_by_definition(table))
+
+
+def test_op10_token_files(spark, table):
+    assert sorted(answered(spark, "op10_token_files")) == sorted(token_rows(table))
