@@ -14,6 +14,13 @@ def setbit(bits: DataFrame, log: DataFrame) -> DataFrame:
     return kept.union(last.where("bit = 1").select("key", "off")).distinct()
 
 
+def setbit_replies(bits: DataFrame, log: DataFrame) -> DataFrame:
+    """Each write (seq, key, off, bit) with the bit that it finds: the write before it at that place, or the stored bit."""
+    earlier = F.lag("bit").over(Window.partitionBy("key", "off").orderBy("seq"))  # the writes of one place
+    found = log.withColumn("earlier", earlier).join(bits.select("key", "off", F.lit(1).alias("stored")), ["key", "off"], "left")
+    return found.select("seq", "key", "off", F.coalesce("earlier", "stored", F.lit(0)).alias("previous"))
+
+
 def getbit(bits: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(bits.select("key", "off", F.lit(1).alias("bit")), ["key", "off"], "left").withColumn("bit", F.coalesce("bit", F.lit(0)))
 
@@ -31,19 +38,18 @@ def bitpos_one(bits: DataFrame, start: int = 0) -> DataFrame:
 
 
 def bitpos_zero(bits: DataFrame, start: int = 0) -> DataFrame:
-    """The first clear bit from start on: the end of the run of set bits that begins there. Gaps are found by rank, off - rank
-    being constant within a run."""
-    runs = bits.where(F.col("off") >= start).distinct().withColumn("run", F.col("off") - F.row_number().over(Window.partitionBy("key").orderBy("off")))
-    first = runs.where(F.col("run") == start - 1).groupBy("key").agg((F.max("off") + 1).alias("pos"))
-    return bits.select("key").distinct().join(first, "key", "left").select("key", F.coalesce("pos", F.lit(start)).alias("pos"))
+    """The first clear bit from start on: the least of start and the places after set bits that isn't set itself."""
+    after = bits.where(F.col("off") >= start).select("key", (F.col("off") + 1).alias("off"))
+    places = bits.select("key", F.lit(start).cast("long").alias("off")).distinct().union(after)
+    return places.join(bits.select("key", "off"), ["key", "off"], "left_anti").groupBy("key").agg(F.min("off").alias("pos"))
 
 
 def bitop(bits: DataFrame, op: str, keys: list[str]) -> DataFrame:
     """The offsets set in the result. NOT reaches to the last byte of its source; DIFF needs two sources."""
     if op == "NOT":
         source = bits.where(F.col("key") == keys[0])
-        end = source.agg((F.floor(F.max("off") / 8) * 8 + 7).alias("end"))  # one row
-        all_ = end.where("end IS NOT NULL").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("end"))).alias("off"))
+        end = source.agg(F.max("off")).first()[0]  # one number: the places are made in as many tasks as there are cores
+        all_ = bits.sparkSession.range(0, 0 if end is None else end // 8 * 8 + 8).withColumnRenamed("id", "off")
         return all_.join(source, "off", "left_anti")
     if op == "DIFF" and len(keys) < 2:
         raise ValueError("BITOP DIFF needs at least two sources")
@@ -77,6 +83,37 @@ def overflowed(value: Column, delta: Column, kind: str, how: str = "WRAP") -> Co
     return (F.pmod(wide - low, F.lit(1 << width).cast("decimal(38,0)")) + low).cast("long")
 
 
+def set_field(value: Column, kind: str, offset: int, new: Column) -> Column:
+    """BINARY with a field overwritten by an integer (its low bits); bytes beyond the end are zero."""
+    width = int(kind[1:])
+    first, last = offset // 8, (offset + width - 1) // 8
+    byte = lambda i: F.coalesce(F.conv(F.hex(F.nullif(F.substring(value, i + 1, 1), F.lit("").cast("binary"))), 16, 10).cast("long"), F.lit(0))
+    head = F.rpad(F.substring(value, F.lit(1), F.lit(first)), first, F.unhex(F.lit("00"))) if first else F.lit("").cast("binary")
+    parts = []
+    for i in range(first, last + 1):  # the bits that a byte takes
+        lo, hi = max(offset, 8 * i) - 8 * i, min(offset + width, 8 * i + 8) - 8 * i
+        mask = ((1 << (hi - lo)) - 1) << (8 - hi)
+        taken = F.shiftright(new, offset + width - 8 * i - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+        parts.append(F.unhex(F.lpad(F.hex(byte(i).bitwiseAND(F.lit(0xFF & ~mask)).bitwiseOR(F.shiftleft(taken, 8 - hi))), 2, "0")))
+    rest = F.octet_length(value) - last - 1
+    return F.concat(head, *parts, F.when(rest > 0, F.substring(value, F.lit(last + 2), rest)).otherwise(F.lit("").cast("binary")))
+
+
+def bitfield_incrby(value: Column, kind: str, offset: int, delta: Column, how: str = "WRAP") -> tuple[Column, Column]:
+    """(reply, value after) of BITFIELD INCRBY. Where FAIL turns an overflow down, the reply is null and the field 0."""
+    reply = overflowed(field(value, kind, offset), delta, kind, how)
+    return reply, set_field(value, kind, offset, F.coalesce(reply, F.lit(0)).cast("long"))
+
+
+def pfadd_changed(values: DataFrame, new: DataFrame) -> DataFrame:
+    """The reply of PFADD per key: whether the new values (key, value) change the sketch that values gives; that a
+    register rises is seen by the sketch's own bytes, or its estimate where the two encodings differ."""
+    before = pfadd(values)
+    both = pfadd(values.select("key", "value").union(new.select("key", "value"))).withColumnRenamed("sketch", "after")
+    old = F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(-1))
+    return both.join(before, "key", "left").join(new.select("key").distinct(), "key").select("key", (F.hll_sketch_estimate("after") != old).alias("changed"))
+
+
 def pfadd(values: DataFrame) -> DataFrame:
     """A sketch per key with 2^14 registers."""
     return values.groupBy("key").agg(F.hll_sketch_agg("value", F.lit(14)).alias("sketch"))

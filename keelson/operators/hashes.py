@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keelson.sources.keyspace import first_of, latest
+from keelson.sources.keyspace import draws, first_of, latest
 
 
 def hset(h: DataFrame, log: DataFrame) -> DataFrame:
@@ -52,11 +52,8 @@ def hincrby(h: DataFrame, log: DataFrame, kind: str = "long") -> DataFrame:
 
 
 def hrandfield(h: DataFrame, count: int, seed: int = 0) -> DataFrame:
-    shuffled = h.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.rand(seed))))
-    if count >= 0:
-        return shuffled.where(F.col("rn") <= count).drop("rn")
-    draws = h.groupBy("key").agg(F.count("*").alias("n")).withColumn("rn", F.explode(F.transform(F.sequence(F.lit(1), F.lit(-count)), lambda i: F.floor(F.rand(seed) * F.col("n")) + 1)))
-    return draws.join(shuffled, ["key", "rn"]).select("key", "field", "value")
+    """count distinct fields of each key, or with replacement if it is negative."""
+    return draws(h, ["key"], "field", count, seed)
 
 
 def hexpire(h: DataFrame, fields: list[str], at: Column, condition: str | None = None) -> DataFrame:

@@ -146,6 +146,81 @@ def arrpop(path: str, index: int = -1) -> Callable[[Column], Column]:
     return changed(path, change)
 
 
+def arrpop_reply(path: str, index: int = -1) -> Callable[[Column], Column]:
+    """What JSON.ARRPOP returns: the popped item of the first match as JSON, null for an empty or other value."""
+
+    @F.pandas_udf(T.StringType())
+    def run(docs: pd.Series) -> pd.Series:
+        def one(d: str | None) -> str | None:
+            found = [] if d is None else jsonpath.select(json.loads(d), path)
+            array = found[0] if found and isinstance(found[0], list) else []
+            return dumps(array[max(-len(array), min(index, len(array) - 1))]) if array else None
+
+        return docs.map(one)
+
+    return run
+
+
+# The names of the types of JSON values.
+TYPE_NAMES = ((bool, "boolean"), (int, "integer"), (float, "number"), (str, "string"), (list, "array"), (dict, "object"), (type(None), "null"))
+
+
+def types_at(path: str) -> Callable[[Column], Column]:
+    """JSON.TYPE by path: the types of all matches."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(docs: pd.Series) -> pd.Series:
+        name = lambda v: next(n for t, n in TYPE_NAMES if isinstance(v, t))
+        return docs.map(lambda d: None if d is None else [name(v) for v in jsonpath.select(json.loads(d), path)])
+
+    return run
+
+
+def protocol(v: Any) -> Any:
+    """A value as the protocol's tree: objects and arrays as lists that begin with their bracket, booleans by name."""
+    if isinstance(v, dict):
+        return ["{", *(x for k, w in v.items() for x in (k, protocol(w)))]
+    if isinstance(v, list):
+        return ["[", *map(protocol, v)]
+    return ("true" if v else "false") if isinstance(v, bool) else v
+
+
+def resp(path: str = "$") -> Callable[[Column], Column]:
+    """JSON.RESP: the protocol's tree of each match, as a JSON array."""
+
+    @F.pandas_udf(T.StringType())
+    def run(docs: pd.Series) -> pd.Series:
+        return docs.map(lambda d: None if d is None else dumps([protocol(v) for v in jsonpath.select(json.loads(d), path)]))
+
+    return run
+
+
+def laid_out(v: Any, indent: str, newline: str, space: str, depth: int = 0) -> str:
+    """JSON with the given signs before members, between lines and after colons."""
+    if not isinstance(v, dict | list) or not v:
+        return dumps(v)
+    inner = [(dumps(k) + ":" + space if isinstance(v, dict) else "") + laid_out(v[k] if isinstance(v, dict) else k, indent, newline, space, depth + 1) for k in v]
+    begin, end = "{}" if isinstance(v, dict) else "[]"
+    return begin + newline + ("," + newline).join(indent * (depth + 1) + x for x in inner) + newline + indent * depth + end
+
+
+def get_paths(*paths: str, indent: str = "", newline: str = "", space: str = "") -> Callable[[Column], Column]:
+    """JSON.GET of one path (the array of its matches) or several (an object of such arrays by path), laid out."""
+
+    @F.pandas_udf(T.StringType())
+    def run(docs: pd.Series) -> pd.Series:
+        def one(d: str | None) -> str | None:
+            if d is None:
+                return None
+            doc = json.loads(d)
+            found = {p: jsonpath.select(doc, p) for p in paths}
+            return laid_out(found if len(paths) > 1 else found[paths[0]], indent, newline, space)
+
+        return docs.map(one)
+
+    return run
+
+
 def arrtrim(path: str, start: int, stop: int) -> Callable[[Column], Column]:
     def change(v: Any) -> Any:
         if not isinstance(v, list):

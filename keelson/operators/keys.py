@@ -58,12 +58,60 @@ def keys(ks: DataFrame, pattern: str) -> DataFrame:
     return found if pattern == "*" else found.where(glob_match(F.col("key"), pattern))
 
 
-def scan(ks: DataFrame, cursor: str | None, pattern: str = "*", count: int = 10) -> DataFrame:
-    """The next page of keys after a cursor, which is the last key of the page before."""
-    found = keys(ks, pattern)
+def scan(ks: DataFrame, cursor: str | None, pattern: str = "*", count: int = 10, kind: str | None = None) -> DataFrame:
+    """The next page of keys after a cursor, which is the last key of the page before; of one type, if kind is given
+    (then ks has a column `type`, as keyspace() gives it)."""
+    rows = ks if kind is None else ks.where(F.col("type") == kind)
+    return page(rows.select("key").distinct(), "key", cursor, pattern, count)
+
+
+def page(rows: DataFrame, cell: str, cursor: str | None, pattern: str = "*", count: int = 10) -> DataFrame:
+    """HSCAN, SSCAN, ZSCAN: the next rows in the order of a cell (field or member) after a cursor, which is the last cell
+    of the page before. The cursor is a filter, and the page a top-k."""
+    found = rows if pattern == "*" else rows.where(glob_match(F.col(cell), pattern))
     if cursor is not None:
-        found = found.where(F.col("key") > cursor)
-    return found.orderBy("key").limit(count)
+        found = found.where(F.col(cell) > cursor)
+    return found.orderBy(cell).limit(count)
+
+
+# How a type of key is stored.
+ENCODINGS = {"string": "raw", "range": "raw", "vector": "raw", "zset": "skiplist", "list": "quicklist", "hash": "hashtable", "set": "hashtable"}
+
+
+def object_info(typed: DataFrame) -> DataFrame:
+    """OBJECT of keys (key, type): encoding, refcount and idletime. FREQ isn't kept."""
+    names = F.create_map(*[F.lit(x) for pair in ENCODINGS.items() for x in pair])
+    return typed.select("key", F.element_at(names, F.col("type")).alias("encoding"), F.lit(1).alias("refcount"), F.lit(0).alias("idletime"))
+
+
+def dbsize(relations: dict[str, DataFrame]) -> DataFrame:
+    """The number of keys of all relations; a key is in one of them."""
+    return keyspace(relations).agg(F.count("*").alias("n"))
+
+
+def flushdb(rows: DataFrame, db: int | None = None) -> DataFrame:
+    """The rows (db, ...) that are left without those of a database, or of all of them."""
+    return rows.limit(0) if db is None else rows.where(F.col("db") != db)
+
+
+def select_db(rows: DataFrame, db: int) -> DataFrame:
+    return rows.where(F.col("db") == db)
+
+
+def swapdb(rows: DataFrame, a: int, b: int) -> DataFrame:
+    return rows.withColumn("db", F.when(F.col("db") == a, b).when(F.col("db") == b, a).otherwise(F.col("db")))
+
+
+def slot(key: Column) -> Column:
+    """The cluster slot of a key: CRC-16 (polynomial 0x1021) of its tag modulo 16384. The tag is what stands between the
+    first { and the next }, if anything does, else the whole key."""
+    tag = F.regexp_extract(key, r"^[^{]*\{([^}]+)\}", 1)
+    data = F.when(tag != "", tag).otherwise(key).cast("binary")
+    byte = lambda i: F.conv(F.hex(F.substring(data, i, 1)), 16, 10).cast("int")
+    bit = lambda crc, _: F.when(crc.bitwiseAND(0x8000) != 0, F.shiftleft(crc, 1).bitwiseXOR(F.lit(0x1021))).otherwise(F.shiftleft(crc, 1)).bitwiseAND(F.lit(0xFFFF))
+    eight = F.array(*[F.lit(i) for i in range(8)])
+    step = lambda crc, i: F.aggregate(eight, crc.bitwiseXOR(F.shiftleft(byte(i), 8)), bit)
+    return F.when(F.octet_length(data) == 0, 0).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(data), F.lit(1))), F.lit(0), step)) % 16384
 
 
 def memory_usage(ks: DataFrame, cells: list[str], overhead: int = 16) -> DataFrame:

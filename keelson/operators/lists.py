@@ -5,15 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from keelson.sources.keyspace import numbered
+
 KEY = "key"
 
 
 def indexed(items: DataFrame) -> DataFrame:
-    return items.withColumn("idx", F.row_number().over(Window.partitionBy(KEY).orderBy("pos")) - 1)
+    """items with their index; a key may hold most rows (see numbered)."""
+    return numbered(items, [KEY], F.asc("pos"))
+
+
+def with_size(items: DataFrame) -> DataFrame:
+    """items with the number `n` of their key's items: a sum of counts, joined."""
+    return items.join(items.groupBy(KEY).agg(F.count("*").alias("n")), KEY)
 
 
 def sized(items: DataFrame) -> DataFrame:
-    return indexed(items).withColumn("n", F.count("*").over(Window.partitionBy(KEY)))
+    return with_size(indexed(items))
+
+
+def ends(items: DataFrame, count: int, left: bool = True) -> DataFrame:
+    """The first or last items of each key, numbered from 1 at that end: a top-k, which each task reduces before rows move."""
+    order = F.asc("pos") if left else F.desc("pos")
+    return items.withColumn("n", F.row_number().over(Window.partitionBy(KEY).orderBy(order))).where(F.col("n") <= count)
 
 
 def push(items: DataFrame, log: DataFrame) -> DataFrame:
@@ -30,9 +44,8 @@ def push_existing(items: DataFrame, log: DataFrame) -> DataFrame:
 
 def pop(items: DataFrame, count: int = 1, left: bool = True) -> tuple[DataFrame, DataFrame]:
     """(popped, left over) of each key; popped ones are numbered from 1 in the order in which they go."""
-    order = F.asc("pos") if left else F.desc("pos")
-    ranked = items.withColumn("n", F.row_number().over(Window.partitionBy(KEY).orderBy(order)))
-    return ranked.where(F.col("n") <= count), ranked.where(F.col("n") > count).drop("n")
+    popped = ends(items, count, left)
+    return popped, items.join(popped.select(KEY, "pos"), [KEY, "pos"], "left_anti")
 
 
 def mpop(items: DataFrame, keys: list[str], count: int = 1, left: bool = True) -> DataFrame:
@@ -48,10 +61,14 @@ def llen(items: DataFrame) -> DataFrame:
 
 
 def lrange(items: DataFrame, start: int, stop: int) -> DataFrame:
+    """Items by index: a top-k from either end where both bounds count from it, indexes of all else."""
     if start >= 0 and stop >= 0:
-        return indexed(items).where((F.col("idx") >= start) & (F.col("idx") <= stop))
+        return ends(items, stop + 1).withColumn("idx", F.col("n") - 1).where(F.col("idx") >= start).drop("n")
+    if start < 0 and stop < 0:
+        last = ends(items, -start, left=False).where(F.col("n") >= -stop).withColumnRenamed("n", "back")
+        return last.join(items.groupBy(KEY).agg(F.count("*").alias("n")), KEY).withColumn("idx", F.col("n") - F.col("back")).drop("n", "back")
     at = lambda i: F.lit(i) if i >= 0 else F.col("n") + i
-    return sized(items).where((F.col("idx") >= at(start)) & (F.col("idx") <= at(stop)))
+    return sized(items).where((F.col("idx") >= at(start)) & (F.col("idx") <= at(stop))).drop("n")
 
 
 def lindex(items: DataFrame, i: int) -> DataFrame:
@@ -64,9 +81,13 @@ def lpos(items: DataFrame, value: str, rank: int = 1, count: int = 1, maxlen: in
     if maxlen:
         rows = rows.where(F.col("idx") < maxlen if rank > 0 else F.col("idx") >= F.col("n") - maxlen)
     order = F.asc("idx") if rank > 0 else F.desc("idx")
-    hits = rows.where(F.col("value") == value).withColumn("hit", F.row_number().over(Window.partitionBy(KEY).orderBy(order)))
-    hits = hits.where(F.col("hit") >= abs(rank))
-    return (hits if count == 0 else hits.where(F.col("hit") < abs(rank) + count)).select(KEY, "idx")
+    hits = rows.where(F.col("value") == value)
+    if count:
+        near = hits.withColumn("hit", F.row_number().over(Window.partitionBy(KEY).orderBy(order))).where(F.col("hit") < abs(rank) + count)
+        return near.where(F.col("hit") >= abs(rank)).select(KEY, "idx")
+    if abs(rank) == 1:
+        return hits.select(KEY, "idx")
+    return numbered(hits, [KEY], order, name="hit").where(F.col("hit") >= abs(rank) - 1).select(KEY, "idx")
 
 
 def lset(items: DataFrame, i: int, value: str) -> DataFrame:
@@ -77,8 +98,8 @@ def lset(items: DataFrame, i: int, value: str) -> DataFrame:
 def linsert(items: DataFrame, pivot: str, value: str, before: bool = True) -> DataFrame:
     """(key, idx, value) after inserting next to the first match; lists without it stay as they are."""
     rows = indexed(items)
-    first = F.min(F.when(F.col("value") == pivot, F.col("idx"))).over(Window.partitionBy(KEY))
-    rows = rows.withColumn("at", first + (0 if before else 1))
+    first = rows.where(F.col("value") == pivot).groupBy(KEY).agg((F.min("idx") + (0 if before else 1)).alias("at"))
+    rows = rows.join(first, KEY, "left")
     moved = rows.select(KEY, (F.col("idx") + F.when(F.col("idx") >= F.col("at"), 1).otherwise(0)).alias("idx"), "value")
     new = rows.where(F.col("idx") == 0).where("at IS NOT NULL").select(KEY, F.col("at").alias("idx"), F.lit(value).alias("value"))
     return moved.union(new)
@@ -88,9 +109,8 @@ def lrem(items: DataFrame, count: int, value: str) -> DataFrame:
     """Without the first (count > 0), the last (count < 0) or all (0) matches."""
     if count == 0:
         return items.where(F.col("value") != value)
-    order = F.asc("pos") if count > 0 else F.desc("pos")
-    hit = F.when(F.col("value") == value, F.row_number().over(Window.partitionBy(KEY, "value").orderBy(order)))
-    return items.withColumn("hit", hit).where(F.col("hit").isNull() | (F.col("hit") > abs(count))).drop("hit")
+    gone = ends(items.where(F.col("value") == value), abs(count), count > 0).select(KEY, "pos")
+    return items.join(gone, [KEY, "pos"], "left_anti")
 
 
 def ltrim(items: DataFrame, start: int, stop: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keelson.sources.keyspace import draws
+
 
 def sadd(s: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(state after, members added per key)."""
@@ -58,11 +60,7 @@ def smove(s: DataFrame, source: str, target: str, member: str) -> DataFrame:
 
 def srandmember(s: DataFrame, count: int, seed: int = 0) -> DataFrame:
     """count distinct members of each key, or with replacement if it is negative."""
-    shuffled = s.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.rand(seed))))
-    if count >= 0:
-        return shuffled.where(F.col("rn") <= count).drop("rn")
-    draws = s.groupBy("key").agg(F.count("*").alias("n")).withColumn("rn", F.explode(F.transform(F.sequence(F.lit(1), F.lit(-count)), lambda i: F.floor(F.rand(seed) * F.col("n")) + 1)))
-    return draws.join(shuffled, ["key", "rn"]).select("key", "member")
+    return draws(s, ["key"], "member", count, seed)
 
 
 def spop(s: DataFrame, count: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from keelson.functions.filters import compile_filter
+from keelson.sources.keyspace import draws
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -47,12 +48,25 @@ def vrem(v: DataFrame, gone: DataFrame) -> DataFrame:
     return v.join(gone, ["key", "element"], "left_anti")
 
 
+def vismember(v: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (key, element) with `found`, 0 or 1."""
+    return wanted.join(v.select("key", "element", F.lit(1).alias("found")), ["key", "element"], "left").withColumn("found", F.coalesce("found", F.lit(0)))
+
+
+def vsetattr(v: DataFrame, log: DataFrame) -> DataFrame:
+    """The state after setting attributes (seq, key, element, attrs) of elements that are there; empty ones take them away."""
+    new = log.groupBy("key", "element").agg(F.max_by("attrs", "seq").alias("new"))
+    both = v.join(new, ["key", "element"], "left")
+    return both.withColumn("attrs", F.when(F.col("new").isNull(), F.col("attrs")).otherwise(F.nullif("new", F.lit("")))).select(*v.columns)
+
+
 def vinfo(v: DataFrame) -> DataFrame:
     return v.groupBy("key").agg(F.count("*").alias("card"), F.max(F.size("embedding")).alias("dim"))
 
 
 def vrandmember(v: DataFrame, count: int, seed: int = 0) -> DataFrame:
-    return v.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy(F.rand(seed)))).where(F.col("rn") <= count).drop("rn")
+    """count distinct elements of each key, or with replacement if it is negative."""
+    return draws(v, ["key"], "element", count, seed)
 
 
 def vlinks(v: DataFrame, elements: list[str], m: int = 5) -> DataFrame:

@@ -69,17 +69,42 @@ def seen(spark, d):
     return table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").alias("value"))
 
 
-@query("pfcount")
+@query("setbit_replies", f"SELECT seq, key, off, coalesce(lag(bit) OVER (PARTITION BY key, off ORDER BY seq), CASE WHEN s.stored THEN 1 ELSE 0 END) AS previous FROM {LOG} LEFT JOIN (SELECT *, true AS stored FROM {BITS}) s USING (key, off)")
 def _(spark, d):
-    return b.pfcount(b.pfadd(seen(spark, d)))
+    return b.setbit_replies(a.event_bits(spark, d), log(spark, d))
 
 
-@query("pfcount_error_bound", "SELECT event_type AS key, true AS close FROM events GROUP BY event_type")
+@query("bitfield_set", "SELECT p_partkey AS id, lower(hex(encode(p_name[1]))) AS was, lower(printf('%02x%02x', (ascii(p_name[1]) & 240) + ((p_partkey & 255) >> 4), ((p_partkey & 15) << 4) + (ascii(p_name[2]) & 15))) AS head FROM part")
+def _(spark, d):
+    v = F.col("p_name").cast("binary")
+    new = b.set_field(v, "u8", 4, F.col("p_partkey"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.lower(F.hex(F.substring(v, 1, 1))).alias("was"), F.lower(F.hex(F.substring(new, 1, 2))).alias("head"))
+
+
+@query("bitfield_fail", "SELECT p_partkey AS id, CASE WHEN p_partkey % 128 + p_size * 4 <= 127 THEN CAST(p_partkey % 128 + p_size * 4 AS BIGINT) END AS reply, CASE WHEN p_partkey % 128 + p_size * 4 <= 127 THEN CAST(p_partkey % 128 + p_size * 4 AS BIGINT) ELSE 0 END AS after FROM part")
+def _(spark, d):
+    stored = F.unhex(F.lpad(F.hex(F.col("p_partkey") % 128), 2, "0"))
+    reply, after = b.bitfield_incrby(stored, "i8", 0, F.col("p_size") * 4, "FAIL")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), reply.alias("reply"), b.field(after, "i8", 0).alias("after"))
+
+
+#: The standard error of a sketch of 2^14 registers is below 1 %; four of them, and one for small counts.
+CLOSE = "abs(n - exact) <= 0.04 * exact + 1"
+
+
+@query("pfcount", "SELECT event_type AS key, count(DISTINCT user_id) AS exact, true AS close FROM events GROUP BY event_type")
 def _(spark, d):
     exact = seen(spark, d).groupBy("key").agg(F.countDistinct("value").alias("exact"))
-    return b.pfcount(b.pfadd(seen(spark, d))).join(exact, "key").select("key", (F.abs(F.col("n") - F.col("exact")) <= 0.04 * F.col("exact") + 1).alias("close"))
+    return b.pfcount(b.pfadd(seen(spark, d))).join(exact, "key").select("key", "exact", F.expr(CLOSE).alias("close"))
+
+
+@query("pfmerge", "SELECT count(DISTINCT user_id) AS exact, true AS close FROM events WHERE event_type IN ('click', 'view')")
+def _(spark, d):
+    exact = seen(spark, d).where("key IN ('click', 'view')").agg(F.countDistinct("value").alias("exact"))  # one row
+    merged = b.pfmerge(b.pfadd(seen(spark, d)), ["click", "view"]).select(F.hll_sketch_estimate("sketch").alias("n"))
+    return merged.crossJoin(exact).select("exact", F.expr(CLOSE).alias("close"))
 
 
-@query("pfmerge")
+@query("pfadd_changed", "SELECT event_type AS key, bool_or(user_id < 0) AS changed FROM events GROUP BY event_type")
 def _(spark, d):
-    return b.pfmerge(b.pfadd(seen(spark, d)), ["click", "view"]).select(F.hll_sketch_estimate("sketch").alias("n"))
+    return b.pfadd_changed(seen(spark, d), seen(spark, d).distinct())

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keelson.operators import geo as g
+from keelson.operators import geo as g, zsets
 from keelson.plans.base import query
 from keelson.sources import adapters as a
 
@@ -73,3 +73,42 @@ def _(spark, d):
     centre = F.broadcast(p.where("member = 'Customer#000000007'").select("key", F.col("lon").alias("x"), F.col("lat").alias("y")))  # one row
     found = p.join(centre, "key").withColumn("dist", g.distance(F.col("x"), F.col("y"), F.col("lon"), F.col("lat")))
     return found.where("dist < 1500000").select("member", F.round("dist", 4).alias("dist"))
+
+
+#: Places given anew: of every third customer that of the next, and of customers that aren't there yet.
+MOVED = PLACES.replace("c_name AS member", "CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN 'new' || c_custkey END AS member").replace("c_custkey * 7919", "(c_custkey + 1) * 7919")
+NEW = f"(SELECT key, member, CAST({BITS} AS DOUBLE) AS score FROM {CELLS.replace(PLACES, MOVED)} WHERE member IS NOT NULL)"
+OLD = f"(SELECT key, member, CAST({BITS} AS DOUBLE) AS score FROM {CELLS})"
+
+
+def moved(spark, d):
+    from keelson.sources.keyspace import table
+
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    lon = (F.pmod((k + 1) * 7919, F.lit(36000)) / 100 - 180).alias("lon")
+    member = F.when(k % 3 == 0, F.col("c_name")).when(k % 3 == 1, F.concat(F.lit("new"), k.cast("string")))
+    return g.geoadd(c.select(k.alias("seq"), F.lit("customers").alias("key"), member.alias("member"), lon, (F.pmod(k * 104729, F.lit(18001)) / 100 - 90).alias("lat")).where("member IS NOT NULL"))
+
+
+for only, value, how in (("NX", "coalesce(o.score, n.score)", "FULL"), ("XX", "coalesce(n.score, o.score)", "LEFT")):
+    query(f"geoadd_{only.lower()}", f"SELECT key, member, {value} AS score FROM {OLD} o {how} JOIN {NEW} n USING (key, member)")(lambda spark, d, only=only: zsets.zadd(g.geoadd(a.places(spark, d)), moved(spark, d), only))
+
+
+@query("geoadd_ch", f"SELECT key, count(*) FILTER (o.score IS NULL) AS added, count(*) FILTER (o.score IS NULL OR n.score <> o.score) AS changed FROM {OLD} o FULL JOIN {NEW} n USING (key, member) GROUP BY key")
+def _(spark, d):
+    return zsets.zadd_changed(g.geoadd(a.places(spark, d)), moved(spark, d))
+
+
+@query("georadius_withdist_withhash", f"SELECT member, round(({haversine('-122.4194', '37.7749', 'lon', 'lat')}) / 1609.34, 6) AS dist, hash FROM {POS} JOIN (SELECT member, CAST({BITS} AS BIGINT) AS hash FROM {CELLS}) USING (member) WHERE ({haversine('-122.4194', '37.7749', 'lon', 'lat')}) / 1609.34 < 900")
+def _(spark, d):
+    z = g.geoadd(a.places(spark, d))
+    found = g.geosearch(z, -122.4194, 37.7749, radius=900.0, unit="mi").select("member", F.round("dist", 6).alias("dist"))
+    return found.join(z.select("member", F.col("score").cast("long").alias("hash")), "member")
+
+
+@query("georadius_store", f"SELECT 'found' AS key, member, CAST({BITS} AS DOUBLE) AS score FROM {CELLS} WHERE member IN (SELECT member FROM ({near('dist < 1200')}))")
+def _(spark, d):
+    z = g.geoadd(a.places(spark, d))
+    found = g.geosearch(z, 15.0, 37.0, radius=1200.0, unit="km").select("member")
+    return zsets.stored(z.join(found, "member", "left_semi"), "found")

@@ -93,16 +93,19 @@ def _(spark, d):
     return h.hincrby(e.select("key", "field", F.lit("0").alias("value")).limit(0), e, "double").withColumn("value", F.round("value", 4))
 
 
-@query("hrandfield")
+LOT = "row_number() OVER (PARTITION BY key ORDER BY md5('5:' || key || ':' || field), field)"
+
+
+@query("hrandfield", f"SELECT key, field, value FROM (SELECT *, {LOT} AS lot FROM {HASH}) WHERE lot <= 2")
 def _(spark, d):
     return h.hrandfield(a.order_hash(spark, d), 2, 5).select("key", "field", "value")
 
 
-@query("hscan_match", f"SELECT key, field FROM {HASH} WHERE key = 'order:7' AND field LIKE 'o_order%'")
+@query("hscan_match", f"SELECT key, field FROM {HASH} WHERE key = 'order:7' AND field LIKE 'o_order%' AND field > 'o_orderp' ORDER BY field LIMIT 10")
 def _(spark, d):
-    from keelson.functions.glob import glob_match
+    from keelson.operators.keys import page
 
-    return a.order_hash(spark, d).where("key = 'order:7'").where(glob_match(F.col("field"), "o_order*")).select("key", "field")
+    return page(a.order_hash(spark, d).where("key = 'order:7'").select("key", "field"), "field", "o_orderp", "o_order*", 10)
 
 
 NOW = "2024-01-15 00:00:00"

@@ -57,12 +57,13 @@ over("json_arrlen", "SELECT event_id AS key, 3 AS value FROM events", lambda c:
 over("json_arrappend", rebuilt(a="(id % 5) || ',' || (id % 7) || ',' || (id % 3) || ',9'"), j.arrappend("$.a", 9))
 over("json_arrinsert", rebuilt(a="(id % 5) || ',8,' || (id % 7) || ',' || (id % 3)"), j.arrinsert("$.a", 1, 8))
 over("json_arrpop", rebuilt(a="(id % 5) || ',' || (id % 7)"), j.arrpop("$.a"))
+over("json_arrpop_reply", "SELECT event_id AS key, CAST(event_id % 3 AS VARCHAR) AS value FROM events", j.arrpop_reply("$.a"))
+over("json_get_paths", f"""SELECT id AS key, '{{ "$.t": [ "' || json_extract_string(doc, '$.t') || '" ], "$..k": [ ' || k || ' ] }}' AS value FROM {DOC}""", lambda c: F.regexp_replace(j.get_paths("$.t", "$..k", indent=" ", newline="\n", space=" ")(c), r"\s+", " "))
+over("json_type_path", "SELECT event_id AS key, 'integer,boolean,object' AS value FROM events", lambda c: F.concat_ws(",", j.types_at("$.v.*")(c), j.types_at("$.v")(c)))
 over("json_arrtrim", rebuilt(a="(id % 7) || ',' || (id % 3)"), j.arrtrim("$.a", 1, -1))
 over("json_arrindex", "SELECT event_id AS key, CAST(coalesce(list_position([event_id % 5, event_id % 7, event_id % 3], 2), 0) - 1 AS BIGINT) AS value FROM events", j.arrindex("$.a", 2))
 over("json_objkeys_objlen", "SELECT event_id AS key, 't,v,a:3' AS value FROM events", lambda c: F.concat(F.array_join(F.json_object_keys(c), ","), F.lit(":"), F.size(F.json_object_keys(c)).cast("string")))
 over("json_type", "SELECT event_id AS key, 'object' AS value FROM events", j.type_name)
 
 
-@query("json_resp", "SELECT event_id AS key, unnest([0, 1, 2]) AS pos, unnest([event_id % 5, event_id % 7, event_id % 3]) AS value FROM events")
-def _(spark, d):
-    return docs(spark, d).select("key", F.posexplode(F.from_json(F.get_json_object("doc", "$.a"), "array<long>")).alias("pos", "value"))
+over("json_resp", """SELECT event_id AS key, '[["[",' || (event_id % 5) || ',' || (event_id % 7) || ',' || (event_id % 3) || '],["{","k",' || CAST(json_extract_string(props, '$.k') AS BIGINT) || ',"on","' || CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END || '"]]' AS value FROM events""", j.resp("$['a','v']"))

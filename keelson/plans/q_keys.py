@@ -106,9 +106,26 @@ def _(spark, d):
     return k.scan(a.part_strings(spark, d), "part:1500", "part:1*", 25)
 
 
-@query("dbsize", f"SELECT count(*) AS n FROM {PARTS}")
+KINDS = "(SELECT 'part:' || p_partkey AS key, 'string' AS type FROM part UNION ALL SELECT DISTINCT 'order:' || o_orderkey, 'hash' FROM orders UNION ALL SELECT DISTINCT event_type, 'set' FROM events UNION ALL SELECT DISTINCT 'nation:' || c_nationkey, 'zset' FROM customer UNION ALL SELECT DISTINCT 'user:' || user_id, 'list' FROM events)"
+
+
+def relations(spark, d):
+    return {"string": a.part_strings(spark, d), "hash": a.order_hash(spark, d), "set": a.event_users(spark, d), "zset": a.customers_by_nation(spark, d), "list": a.event_list(spark, d)}
+
+
+@query("scan_type", f"SELECT key FROM {KINDS} WHERE type = 'hash' AND key LIKE 'order:2%' AND key > 'order:20' ORDER BY key LIMIT 30")
+def _(spark, d):
+    return k.scan(k.keyspace(relations(spark, d)), "order:20", "order:2*", 30, "hash")
+
+
+@query("object_encoding_refcount_idletime", f"SELECT key, CASE type WHEN 'string' THEN 'raw' WHEN 'zset' THEN 'skiplist' WHEN 'list' THEN 'quicklist' ELSE 'hashtable' END AS encoding, 1 AS refcount, 0 AS idletime FROM {KINDS}")
+def _(spark, d):
+    return k.object_info(k.keyspace(relations(spark, d)))
+
+
+@query("dbsize", f"SELECT count(*) AS n FROM {KINDS}")
 def _(spark, d):
-    return a.part_strings(spark, d).agg(F.count("*").alias("n"))
+    return k.dbsize(relations(spark, d))
 
 
 @query("expdelscan", f"SELECT count(*) AS deleted FROM {STATE} WHERE expire_at < TIMESTAMP '{NOW}'")
@@ -120,14 +137,13 @@ def _(spark, d):
 @query("flushdb", "SELECT 'part:' || p_partkey AS key FROM part WHERE p_partkey % 4 <> 2")
 def _(spark, d):
     p = table(spark, d, "part").select((F.col("p_partkey") % 4).alias("db"), F.concat(F.lit("part:"), "p_partkey").alias("key"))
-    return p.where("db <> 2").select("key")
+    return k.flushdb(p, 2).select("key")
 
 
 @query("swapdb_select", "SELECT 'part:' || p_partkey AS key FROM part WHERE p_partkey % 4 = 3")
 def _(spark, d):
     p = table(spark, d, "part").select((F.col("p_partkey") % 4).alias("db"), F.concat(F.lit("part:"), "p_partkey").alias("key"))
-    swapped = p.withColumn("db", F.when(F.col("db") == 1, 3).when(F.col("db") == 3, 1).otherwise(F.col("db")))
-    return swapped.where("db = 1").select("key")
+    return k.select_db(k.swapdb(p, 1, 3), 1).select("key")
 
 
 @query("memory_usage", f"SELECT key, CAST(16 + strlen(key) + strlen(value) AS BIGINT) AS bytes FROM {PARTS}")
@@ -158,9 +174,73 @@ def _(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("cmd"), F.floor(F.log2(F.greatest("value", F.lit(1.0)))).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("countkeysinslot", "SELECT o_orderkey % 16 AS slot, count(*) AS n FROM orders GROUP BY ALL")
+#: CRC-16 by its table, which is made by the rule, over the bytes of each key.
+SLOTS = """WITH RECURSIVE b AS (SELECT x AS byte, x << 8 AS crc, 0 AS i FROM range(256) r(x) UNION ALL SELECT byte, CASE WHEN crc & 32768 <> 0 THEN xor((crc << 1) & 65535, 4129) ELSE (crc << 1) & 65535 END, i + 1 FROM b WHERE i < 8),
+t AS MATERIALIZED (SELECT byte, crc FROM b WHERE i = 8),
+k AS (SELECT 'order:{' || o_orderkey || '}:x' AS key, CAST(o_orderkey AS VARCHAR) AS tag FROM orders),
+c AS (SELECT key, tag, CAST(0 AS BIGINT) AS crc, 1 AS i FROM k UNION ALL SELECT key, tag, xor((c.crc << 8) & 65535, t.crc), i + 1 FROM c JOIN t ON t.byte = xor(c.crc >> 8, ascii(c.tag[i])) WHERE i <= length(tag))"""
+
+
+@query("countkeysinslot", f"{SLOTS} SELECT CAST(crc % 16384 AS INTEGER) AS slot, count(*) AS n FROM c WHERE i = length(tag) + 1 GROUP BY ALL")
+def _(spark, d):
+    keys = table(spark, d, "orders").select(F.concat(F.lit("order:{"), F.col("o_orderkey"), F.lit("}:x")).alias("key"))
+    return keys.groupBy(k.slot(F.col("key")).alias("slot")).agg(F.count("*").alias("n"))
+
+
+@query("cluster_keyslot", f"{SLOTS} SELECT key, CAST(crc % 16384 AS INTEGER) AS slot FROM c WHERE i = length(tag) + 1")
 def _(spark, d):
-    return table(spark, d, "orders").groupBy((F.col("o_orderkey") % 16).alias("slot")).agg(F.count("*").alias("n"))
+    keys = table(spark, d, "orders").select(F.concat(F.lit("order:{"), F.col("o_orderkey"), F.lit("}:x")).alias("key"))
+    return keys.select("key", k.slot(F.col("key")).alias("slot"))
+
+
+LOGGED = "(SELECT event_id AS seq, 'user:' || user_id AS key, event_type AS value, ts FROM events)"
+
+
+@query("multi_exec", f"WITH l AS (SELECT * FROM {LOGGED}), n AS (SELECT key, max(seq) AS version FROM l GROUP BY key), w AS (SELECT o_orderkey AS tx, 'user:' || o_custkey AS key, seen FROM orders LEFT JOIN (SELECT key, max(seq) AS seen FROM l WHERE ts < TIMESTAMP '2024-01-25' GROUP BY key) s ON s.key = 'user:' || o_custkey) SELECT seq, key, value FROM l UNION ALL SELECT 1000000000 + tx, 'user:' || tx, 'done' FROM w LEFT JOIN n USING (key) WHERE n.version IS NOT DISTINCT FROM w.seen")
+def _(spark, d):
+    from keelson.operators.transactions import exec_
+
+    rows = table(spark, d, "events").select(F.col("event_id").alias("seq"), F.concat(F.lit("user:"), "user_id").alias("key"), F.col("event_type").alias("value"), "ts")
+    seen = rows.where("ts < timestamp'2024-01-25 00:00:00 UTC'").groupBy("key").agg(F.max("seq").alias("seen"))
+    o = table(spark, d, "orders")
+    watches = o.select(F.col("o_orderkey").alias("tx"), F.concat(F.lit("user:"), "o_custkey").alias("key")).join(seen, "key", "left")
+    queued = o.select(F.col("o_orderkey").alias("tx"), (F.col("o_orderkey") + 1000000000).alias("seq"), F.concat(F.lit("user:"), "o_orderkey").alias("key"), F.lit("done").alias("value"))
+    return exec_(rows.drop("ts"), queued, watches)
+
+
+@query("runtxp", "SELECT 'acct:' || c_custkey AS key, CASE WHEN c_custkey % 2 = 1 AND c_acctbal >= 500 AND c_custkey + 1 IN (SELECT c_custkey FROM customer) THEN round(c_acctbal - 500, 2) WHEN c_custkey % 2 = 0 AND c_custkey - 1 IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 500) THEN round(c_acctbal + 500, 2) ELSE c_acctbal END AS value FROM customer")
+def _(spark, d):
+    from keelson.operators.transactions import runtxp, transfer
+
+    c = table(spark, d, "customer")
+    accounts = c.select(F.concat(F.lit("acct:"), "c_custkey").alias("key"), F.col("c_acctbal").alias("value"))
+    calls = c.where("c_custkey % 2 = 1").select(F.col("c_custkey").alias("tx"), F.concat(F.lit("acct:"), "c_custkey").alias("source"), F.concat(F.lit("acct:"), F.col("c_custkey") + 1).alias("target"), F.lit(500.0).alias("amount"))
+    return runtxp(accounts, calls, transfer).select("key", F.round("value", 2).alias("value"))
+
+
+@query("custom_object_scan", "SELECT member, n FROM (SELECT CAST(user_id AS VARCHAR) AS member, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY user_id) WHERE member LIKE '1%' AND member > '1' ORDER BY member LIMIT 20")
+def _(spark, d):
+    from keelson.operators.custom import Tally, custom, scan_object
+
+    rows = table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("arg"))
+    return scan_object(custom(rows.where("key = 'click'"), Tally), "1", "1*", 20).select("member", F.col("value").alias("n"))
+
+
+@query("custom_object_command", "SELECT event_type AS key, max(n) AS most FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) GROUP BY event_type")
+def _(spark, d):
+    from keelson.operators.custom import Tally, custom
+
+    rows = table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("arg"))
+    return custom(rows, Tally).groupBy("key").agg(F.max("value").alias("most"))
+
+
+@query("script_libraries", "SELECT p_partkey AS id, p_partkey & 255 AS band, xor(p_partkey, p_size) AS bxor, lower(lpad(printf('%x', p_partkey), 8, '0')) AS packed, '{\"n\":' || p_size || ',\"s\":\"' || p_brand || '\"}' AS json FROM part")
+def _(spark, d):
+    from keelson.functions import scripts
+
+    p = table(spark, d, "part")
+    n = F.col("p_partkey")
+    return p.select(n.alias("id"), scripts.band(n, F.lit(255)).alias("band"), scripts.bxor(n, F.col("p_size").cast("long")).alias("bxor"), F.lower(F.hex(scripts.pack(n, ">I4"))).alias("packed"), scripts.encode(n=F.col("p_size"), s=F.col("p_brand")).alias("json"))
 
 
 @query("script_sha1", f"SELECT key, upper(value) AS value, sha1('upper') AS id FROM {PARTS}")

@@ -47,9 +47,12 @@ def _(spark, d):
     return li.mpop(items(spark, d), ["user:none", "user:3", "user:4"], 5).select("key", "value", "n")
 
 
-@query("blpop_brpop", f"SELECT key, value FROM {IDX} WHERE key = 'user:7' AND idx = n - 1")
+@query("blpop_brpop", f"SELECT key, client, value FROM (SELECT 'user:' || o_custkey AS key, o_orderkey AS client, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS idx FROM orders) c JOIN {IDX} USING (key, idx)")
 def _(spark, d):
-    return li.mpop(items(spark, d), ["absent", "user:7"], 1, left=False).select("key", "value")
+    from keelson.streaming.blocking import in_turn
+
+    clients = table(spark, d, "orders").select(F.concat(F.lit("user:"), "o_custkey").alias("key"), F.col("o_orderkey").alias("client"), F.col("o_orderkey").alias("at"))
+    return in_turn(clients, li.indexed(items(spark, d)).select("key", F.col("idx").alias("place"), "value"))
 
 
 @query("llen", f"SELECT key, count(*) AS len FROM {ITEMS} GROUP BY key")

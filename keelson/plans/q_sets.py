@@ -43,9 +43,9 @@ def _(spark, d):
     return a.supplier_parts(spark, d).where("key = 'supp:1'").select("member")
 
 
-@query("sismember_smismember", f"SELECT w.key, w.member, CASE WHEN e.key IS NULL THEN 0 ELSE 1 END AS found FROM (SELECT DISTINCT 'supp:' || l_suppkey AS key, CAST(l_partkey + 1 AS VARCHAR) AS member FROM lineitem WHERE l_linenumber = 1) w LEFT JOIN {SUPP} e USING (key, member)")
+@query("sismember_smismember", f"SELECT w.key, w.member, CASE WHEN e.key IS NULL THEN 0 ELSE 1 END AS found FROM (SELECT DISTINCT 'supp:' || l_suppkey AS key, CAST(l_partkey + 1 AS VARCHAR) AS member FROM lineitem) w LEFT JOIN {SUPP} e USING (key, member)")
 def _(spark, d):
-    wanted = table(spark, d, "lineitem").where("l_linenumber = 1").select(F.concat(F.lit("supp:"), "l_suppkey").alias("key"), (F.col("l_partkey") + 1).cast("string").alias("member")).distinct()
+    wanted = table(spark, d, "lineitem").select(F.concat(F.lit("supp:"), "l_suppkey").alias("key"), (F.col("l_partkey") + 1).cast("string").alias("member")).distinct()
     return s.sismember(a.supplier_parts(spark, d), wanted)
 
 
@@ -93,19 +93,30 @@ def _(spark, d):
     return s.smove(a.event_users(spark, d), "click", "moved", "3")
 
 
-@query("spop")
+LOT = "row_number() OVER (PARTITION BY key ORDER BY md5('11:' || key || ':' || member), member)"
+
+
+@query("spop", f"SELECT key, member, 'popped' AS side FROM (SELECT *, {LOT} AS lot FROM {EV}) WHERE lot <= 3 UNION ALL SELECT key, member, 'left' FROM (SELECT *, {LOT} AS lot FROM {EV}) WHERE lot > 3")
 def _(spark, d):
-    return s.spop(a.event_users(spark, d), 3, 11)[0].select("key", "member")
+    popped, left = s.spop(a.event_users(spark, d), 3, 11)
+    return popped.select("key", "member", F.lit("popped").alias("side")).union(left.select("key", "member", F.lit("left").alias("side")))
+
+
+@query("srandmember", f"SELECT key, member FROM (SELECT *, {LOT} AS lot FROM {EV}) WHERE lot <= 4")
+def _(spark, d):
+    return s.srandmember(a.event_users(spark, d), 4, 11).select("key", "member")
+
+
+DRAWS = "SELECT key, draw, CAST('0x' || substr(md5('11:' || key || ':' || draw), 1, 8) AS BIGINT) % n AS lot FROM (SELECT key, count(*) AS n FROM {0} GROUP BY key), (SELECT unnest(range(1, {1})) AS draw)"
 
 
-@query("srandmember")
+@query("srandmember_replacing", f"SELECT key, draw, member FROM ({DRAWS.format(EV, 5)}) JOIN (SELECT *, {LOT} - 1 AS lot FROM {EV}) USING (key, lot)")
 def _(spark, d):
-    return s.srandmember(a.event_users(spark, d), -4, 11)
+    return s.srandmember(a.event_users(spark, d), -4, 11).select("key", "draw", "member")
 
 
 @query("sscan_match", f"SELECT member FROM {EV} WHERE key = 'click' AND member LIKE '1%' AND member > '10' ORDER BY member LIMIT 10")
 def _(spark, d):
-    from keelson.functions.glob import glob_match
+    from keelson.operators.keys import page
 
-    users = a.event_users(spark, d).where("key = 'click'").where(glob_match(F.col("member"), "1*"))
-    return users.where("member > '10'").select("member").orderBy("member").limit(10)
+    return page(a.event_users(spark, d).where("key = 'click'").select("member"), "member", "10", "1*", 10)

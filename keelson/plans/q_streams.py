@@ -73,3 +73,24 @@ def _(spark, d):
 def _(spark, d):
     log = messages(spark, d).select(F.col("id").alias("seq"), F.col("channel").alias("cmd"))
     return oplog.monitor(log, ["purchase", "signup"]).select("seq")
+
+
+@query("pubsub_numpat", "SELECT count(DISTINCT event_type) AS n FROM events WHERE user_id % 3 = 0")
+def _(spark, d):
+    return pubsub.numpat(subscriptions(spark, d).select(F.concat("channel", F.lit("*")).alias("pattern"), "client"))
+
+
+@query("pubsub_shardchannels_shardnumsub", "SELECT event_type AS channel, count(DISTINCT user_id) AS clients FROM events WHERE user_id % 3 = 0 AND event_type LIKE 's%' GROUP BY event_type")
+def _(spark, d):
+    return pubsub.numsub(subscriptions(spark, d)).where(F.col("channel").startswith("s"))
+
+
+@query("log_sink_replay", "SELECT event_id AS seq, event_type AS cmd FROM events WHERE event_id >= 100 AND event_id < 5000")
+def _(spark, d):
+    import uuid
+
+    from keelson.sources.keyspace import shared_dir
+
+    path = f"{shared_dir(spark)}/keelson-log/{uuid.uuid4().hex}"
+    oplog.sink(messages(spark, d).select(F.col("id").alias("seq"), F.col("channel").alias("cmd")), path, 4)
+    return oplog.replay(spark, path, 100, 5000)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keelson.operators import etags, strings as t
 from keelson.plans.base import query
 from keelson.sources import adapters as a
-from keelson.sources.keyspace import table
+from keelson.sources.keyspace import instant, table
 
 PARTS = "(SELECT 'part:' || p_partkey AS key, p_name AS value FROM part)"
 LOG = "(SELECT event_id AS seq, 'part:' || (user_id * 3) AS key, event_type AS value FROM events)"
@@ -56,11 +56,58 @@ def _(spark, d):
     return t.getset(log(spark, d)).select("seq", "key", "old")
 
 
-@query("getdel", f"SELECT key, value FROM {PARTS} WHERE key NOT IN (SELECT key FROM {LOG})")
+@query("getdel", f"SELECT DISTINCT key, value FROM (SELECT key FROM {LOG}) LEFT JOIN {PARTS} USING (key)")
 def _(spark, d):
-    from keelson.operators.keys import delete
+    return t.getdel(a.part_strings(spark, d), log(spark, d))[0]
 
-    return delete(a.part_strings(spark, d), log(spark, d))
+
+@query("getdel_state", f"SELECT key, value FROM {PARTS} WHERE key NOT IN (SELECT key FROM {LOG})")
+def _(spark, d):
+    return t.getdel(a.part_strings(spark, d), log(spark, d))[1]
+
+
+NOW = "2024-01-20 00:00:00"
+KEYED = "(SELECT 'part:' || p_partkey AS key, p_name AS value, CASE WHEN p_partkey % 3 > 0 THEN TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * (p_partkey % 40) END AS expire_at FROM part)"
+LIVE = f"(SELECT * FROM {KEYED} WHERE expire_at IS NULL OR expire_at >= TIMESTAMP '{NOW}')"
+
+
+def keyed(spark, d):
+    at = F.when(F.col("p_partkey") % 3 > 0, F.lit("2024-01-01 00:00:00 UTC").cast("timestamp") + F.make_dt_interval((F.col("p_partkey") % 40).cast("int")))
+    return table(spark, d, "part").select(F.concat(F.lit("part:"), "p_partkey").alias("key"), F.col("p_name").alias("value"), at.alias("expire_at"))
+
+
+def millis(df):
+    return df.withColumn("at", F.unix_millis("expire_at")).drop("expire_at")
+
+
+@query("getex", f"SELECT DISTINCT key, value FROM (SELECT key FROM {LOG}) LEFT JOIN {LIVE} USING (key)")
+def _(spark, d):
+    return t.getex(keyed(spark, d), log(spark, d), instant(NOW), instant("2024-02-01 00:00:00"))[0]
+
+
+for name, at, how in (("getex_ex", "TIMESTAMP '2024-02-01'", {"expire_at": "2024-02-01 00:00:00"}), ("getex_persist", "NULL", {"persist": True}), ("getex_none", "expire_at", {})):
+    query(name, f"SELECT key, value, epoch_us(CASE WHEN key IN (SELECT key FROM {LOG}) THEN {at} ELSE expire_at END) // 1000 AS at FROM {LIVE}")(
+        lambda spark, d, how=how: millis(t.getex(keyed(spark, d), log(spark, d), instant(NOW), **{k: instant(v) if k == "expire_at" else v for k, v in how.items()})[1])
+    )
+
+
+def rewritten(spark, d):
+    return log(spark, d).groupBy("key").agg(F.max_by("value", "seq").alias("value"))
+
+
+NEW = f"(SELECT key, arg_max(value, seq) AS new FROM {LOG} GROUP BY key)"
+for name, test, at, how in (
+    ("set_keepttl", "n.new IS NOT NULL", "expire_at", {"keep": True}),
+    ("set_ex_nx", "n.new IS NOT NULL AND value IS NULL", "TIMESTAMP '2024-02-01'", {"only": "NX", "expire_at": "2024-02-01 00:00:00"}),
+    ("set_px_xx", "n.new IS NOT NULL AND value IS NOT NULL", "TIMESTAMP '2024-02-01'", {"only": "XX", "expire_at": "2024-02-01 00:00:00"}),
+):
+    rows = f"SELECT key, CASE WHEN {test} THEN n.new ELSE value END AS value, epoch_us(CASE WHEN {test} THEN {at} ELSE expire_at END) // 1000 AS at FROM {KEYED} p {'LEFT' if how.get('only') == 'XX' else 'FULL'} JOIN {NEW} n USING (key)"
+    query(name, rows)(lambda spark, d, how=how: millis(t.set_with(keyed(spark, d), rewritten(spark, d), **{k: instant(v) if k == "expire_at" else v for k, v in how.items()})[0]))
+
+
+@query("set_get", f"SELECT key, value AS old FROM {NEW} LEFT JOIN {KEYED} USING (key)")
+def _(spark, d):
+    return t.set_with(keyed(spark, d), rewritten(spark, d))[1]
 
 
 @query("getrange_substr", f"SELECT key, CASE WHEN strlen(value) >= 3 THEN value[-3:] ELSE value END AS tail, value[2:4] AS mid FROM {PARTS}")
@@ -108,12 +155,25 @@ def _(spark, d):
     return t.msetnx(a.part_strings(spark, d), spark.createDataFrame([("fresh", "y")], "key string, value string"))
 
 
-@query("lcs_len")
+#: The table of the usual algorithm, row by row: a cell is the best of those before it, of the one above, and of a match.
+LCS_ROWS = """WITH RECURSIVE s AS (SELECT p_partkey AS id, lower(p_name) AS a, lower(p_type) AS b FROM part),
+r AS (SELECT id, 0 AS i, list_transform(range(length(b) + 1), lambda x: CAST(0 AS BIGINT)) AS line FROM s
+  UNION ALL SELECT id, i + 1, list_transform(range(1, length(b) + 2), lambda j: list_max(list_transform(range(1, j + 1), lambda k: CASE WHEN k > 1 AND b[k - 1] = a[i + 1] THEN greatest(line[k], line[k - 1] + 1) ELSE line[k] END)))
+  FROM r JOIN s USING (id) WHERE i < length(a))"""
+
+
+@query("lcs_len", f"{LCS_ROWS} SELECT id, CAST(line[-1] AS INTEGER) AS len FROM r JOIN s USING (id) WHERE i = length(a)")
 def _(spark, d):
     p = table(spark, d, "part").select("p_partkey", "p_name", "p_type")
     return p.select(F.col("p_partkey").alias("id"), t.lcs_length(F.lower("p_name"), F.lower("p_type")).alias("len"))
 
 
+@query("lcs_idx", f"{LCS_ROWS} SELECT id AS key, CAST(line[-1] AS INTEGER) AS len, CAST(line[-1] AS INTEGER) AS matched FROM r JOIN s USING (id) WHERE i = length(a)")
+def _(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.lower("p_name").alias("a"), F.lower("p_type").alias("b"))
+    return t.lcs(p).select("key", "len", F.aggregate("matches", F.lit(0), lambda s, m: s + m["len"]).alias("matched"))
+
+
 # compare-and-set
 STATE = f"(SELECT key, arg_max(value, seq) AS value, count(*) AS etag FROM {LOG} GROUP BY key)"
 

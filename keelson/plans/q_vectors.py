@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from keelson.operators import vectors as v
+from keelson.operators import ranges, vectors as v
 from keelson.plans.base import query
 from keelson.sources import adapters as a
 from keelson.sources.keyspace import table
@@ -57,14 +57,19 @@ def _(spark, d):
 
 @query("vgetattr_vsetattr", "SELECT CAST(vec_id AS VARCHAR) AS element, CASE WHEN vec_id = 3 THEN '7' ELSE CAST(label AS VARCHAR) END AS label FROM embeddings")
 def _(spark, d):
-    rows = a.vectors(spark, d).withColumn("attrs", F.when(F.col("element") == "3", '{"label":7}').otherwise(F.col("attrs")))
-    return rows.select("element", F.get_json_object("attrs", "$.label").alias("label"))
+    rows = a.vectors(spark, d)
+    new = spark.createDataFrame([(1, "emb", "3", '{"label":6}'), (2, "emb", "3", '{"label":7}')], "seq long, key string, element string, attrs string")
+    return v.vsetattr(rows, new).select("element", F.get_json_object("attrs", "$.label").alias("label"))
+
+
+@query("vemb", "SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS value FROM embeddings")
+def _(spark, d):
+    return a.vectors(spark, d).select(F.col("element").cast("long").alias("vec_id"), F.posexplode("embedding").alias("pos", "x")).select("vec_id", F.col("pos").cast("long").alias("pos"), F.col("x").cast("double").alias("value"))
 
 
-@query("vemb", "SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 5) AS total FROM embeddings WHERE vec_id < 20")
+@query("vismember", "SELECT CAST(o_orderkey AS VARCHAR) AS element, CASE WHEN o_orderkey IN (SELECT vec_id FROM embeddings) THEN 1 ELSE 0 END AS found FROM orders")
 def _(spark, d):
-    rows = a.vectors(spark, d).where("cast(element as bigint) < 20")
-    return rows.select(F.col("element").cast("long").alias("vec_id"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 5).alias("total"))
+    return v.vismember(a.vectors(spark, d), table(spark, d, "orders").select(F.lit("emb").alias("key"), F.col("o_orderkey").cast("string").alias("element"))).select("element", "found")
 
 
 @query("vlinks", f"SELECT of, element, round(dist, 5) AS dist FROM (SELECT CAST(b.vec_id AS VARCHAR) AS of, CAST(a.vec_id AS VARCHAR) AS element, {L2.replace('q)', 'b.embedding)').replace('(embedding', '(a.embedding')} AS dist, row_number() OVER (PARTITION BY b.vec_id ORDER BY dist, CAST(a.vec_id AS VARCHAR)) AS rn FROM embeddings a, embeddings b WHERE b.vec_id IN (1, 2, 3) AND a.vec_id <> b.vec_id) WHERE rn <= 5")
@@ -72,7 +77,7 @@ def _(spark, d):
     return v.vlinks(a.vectors(spark, d), ["1", "2", "3"]).select("of", "element", F.round("dist", 5).alias("dist"))
 
 
-@query("vrandmember")
+@query("vrandmember", "SELECT element FROM (SELECT CAST(vec_id AS VARCHAR) AS element FROM embeddings) ORDER BY md5('3:emb:' || element), element LIMIT 4")
 def _(spark, d):
     return v.vrandmember(a.vectors(spark, d), 4, 3).select("element")
 
@@ -84,18 +89,25 @@ RANGE = "(SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS field, o_orderpri
 
 @query("ri_set_get_del", f"SELECT field, CASE WHEN field = '000000000005' THEN 'changed' ELSE value END AS value FROM {RANGE} WHERE field <> '000000000007'")
 def _(spark, d):
-    r = a.order_range(spark, d).select("field", "value")
-    return r.withColumn("value", F.when(F.col("field") == "000000000005", "changed").otherwise(F.col("value"))).where("field <> '000000000007'")
+    index = ranges.create("orders")
+    log = spark.createDataFrame([(1, "orders", "000000000005", "x"), (2, "orders", "000000000005", "changed"), (3, "orders", "000000000007", None)], "seq long, key string, field string, value string")
+    return ranges.written(a.order_range(spark, d), log, index).select("field", "value")
 
 
-@query("ri_scan", f"SELECT field, value FROM {RANGE} WHERE field >= '000000000100' ORDER BY field LIMIT 50")
+@query("ri_create", "SELECT 'orders' AS key, 'DISK' AS backend, 8192 AS max_record_size, 64 AS max_key_len")
 def _(spark, d):
-    return a.order_range(spark, d).where("field >= '000000000100'").orderBy("field").limit(50).select("field", "value")
+    return spark.createDataFrame([ranges.create("orders", max_record_size=8192, max_key_len=64)]).select("key", "backend", F.col("max_record_size").cast("int").alias("max_record_size"), F.col("max_key_len").cast("int").alias("max_key_len"))
 
 
-@query("ri_range", f"SELECT field, value FROM {RANGE} WHERE field BETWEEN '000000000100' AND '000000000300'")
+@query("ri_scan", f"SELECT field, value FROM {RANGE} WHERE field >= '000000000100' ORDER BY field LIMIT 50")
 def _(spark, d):
-    return a.order_range(spark, d).where("field BETWEEN '000000000100' AND '000000000300'").select("field", "value")
+    return ranges.scanned(a.order_range(spark, d), ranges.create("orders"), "000000000100", 50).select("field", "value")
+
+
+for fields, cells in (("BOTH", "field, value"), ("KEY", "field"), ("VALUE", "value")):
+    query("ri_range" + ("" if fields == "BOTH" else f"_{fields.lower()}"), f"SELECT {cells} FROM {RANGE} WHERE field BETWEEN '000000000100' AND '000000000300'")(
+        lambda spark, d, fields=fields: ranges.ranged(a.order_range(spark, d), ranges.create("orders"), "000000000100", "000000000300", fields)
+    )
 
 
 @query("ri_count_len_exists", "SELECT 'orders' AS key, count(*) AS n, true AS found FROM orders")
@@ -103,7 +115,7 @@ def _(spark, d):
     return a.order_range(spark, d).groupBy("key").agg(F.count("*").alias("n")).withColumn("found", F.lit(True))
 
 
-@query("ri_bulk_load")
+@query("ri_bulk_load", f"SELECT field, value FROM {RANGE}")
 def _(spark, d):
     return a.order_range(spark, d).repartitionByRange("field").sortWithinPartitions("field").select("field", "value")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from keelson.operators import zsets as z
 from keelson.plans.base import query
 from keelson.sources import adapters as a
+from keelson.sources.keyspace import instant
 
 CUST = "(SELECT 'nation:' || c_nationkey AS key, c_name AS member, c_acctbal AS score FROM customer)"
 PART = "(SELECT p_brand AS key, CAST(p_partkey AS VARCHAR) AS member, p_retailprice AS score FROM part)"
@@ -195,11 +196,144 @@ def _(spark, d):
     return a.parts_by_brand(spark, d).where(~z.in_lex("[1", "[8"))
 
 
-@query("zrandmember")
+LOT = "row_number() OVER (PARTITION BY key ORDER BY md5('7:' || key || ':' || member), member)"
+
+
+@query("zrandmember", f"SELECT key, member, score FROM (SELECT *, {LOT} AS lot FROM {CUST}) WHERE lot <= 2")
 def _(spark, d):
     return z.zrandmember(a.customers_by_nation(spark, d), 2, 7).select("key", "member", "score")
 
 
-@query("zrandmember_replacing")
+DRAWS = f"SELECT key, draw, CAST('0x' || substr(md5('7:' || key || ':' || draw), 1, 8) AS BIGINT) % n AS lot FROM (SELECT key, count(*) AS n FROM {CUST} GROUP BY key), (SELECT unnest(range(1, 4)) AS draw)"
+
+
+@query("zrandmember_replacing", f"SELECT key, draw, member, score FROM ({DRAWS}) JOIN (SELECT *, {LOT} - 1 AS lot FROM {CUST}) USING (key, lot)")
+def _(spark, d):
+    return z.zrandmember(a.customers_by_nation(spark, d), -3, 7).select("key", "draw", "member", "score")
+
+
+@query("zscan_match", f"SELECT member, score FROM {EV} WHERE key = 'view' AND member LIKE '2%' AND member > '20' ORDER BY member LIMIT 12")
+def _(spark, d):
+    from keelson.operators.keys import page
+
+    return page(a.users_by_event(spark, d).where("key = 'view'").select("member", "score"), "member", "20", "2*", 12)
+
+
+@query("bzpopmin_bzpopmax", f"SELECT key, client, member, score FROM (SELECT o_custkey % 5 AS k, o_orderkey AS client, row_number() OVER (PARTITION BY o_custkey % 5 ORDER BY o_orderkey) - 1 AS rank FROM orders) c JOIN (SELECT *, CASE key WHEN 'click' THEN 0 WHEN 'view' THEN 1 WHEN 'error' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS k FROM {ranked(EV)}) s USING (k, rank)")
+def _(spark, d):
+    from keelson.sources.keyspace import table
+    from keelson.streaming.blocking import in_turn
+
+    key = F.element_at(F.array(*map(F.lit, ("click", "view", "error", "signup", "purchase"))), (F.col("o_custkey") % 5 + 1).cast("int"))
+    clients = table(spark, d, "orders").select(key.alias("key"), F.col("o_orderkey").alias("client"), F.col("o_orderkey").alias("at"))
+    return in_turn(clients, z.zrank(a.users_by_event(spark, d)).withColumnRenamed("rank", "place"))
+
+
+@query("bzmpop", f"SELECT key, member, score FROM {ranked(EV, REV)} WHERE key = 'error' AND rank < 2")
+def _(spark, d):
+    return z.zmpop(a.users_by_event(spark, d), ["absent", "error", "click"], 2, largest=True).select("key", "member", "score")
+
+
+# -- expiry of members
+
+NOW = "2024-01-20 00:00:00"
+TTL = "(SELECT event_type AS key, CAST(user_id AS VARCHAR) AS member, CAST(count(*) AS DOUBLE) AS score, CASE WHEN user_id % 4 > 0 THEN max(ts) + INTERVAL 1 DAY END AS expire_at FROM events GROUP BY event_type, user_id)"
+ASKED = "(SELECT DISTINCT CASE WHEN o_orderkey % 2 = 0 THEN 'click' ELSE 'view' END AS key, CAST(o_custkey AS VARCHAR) AS member FROM orders)"
+AT = "TIMESTAMP '2024-01-26'"
+
+
+def expiring(spark, d):
+    from keelson.sources.keyspace import table
+
+    at = F.when(F.col("user_id") % 4 > 0, F.max("ts") + F.expr("INTERVAL 1 DAY"))
+    rows = table(spark, d, "events").groupBy(F.col("event_type").alias("key"), "user_id").agg(F.count("*").cast("double").alias("score"), at.alias("expire_at"))
+    return rows.select("key", F.col("user_id").cast("string").alias("member"), "score", "expire_at")
+
+
+def asked(spark, d):
+    from keelson.sources.keyspace import table
+
+    return table(spark, d, "orders").select(F.when(F.col("o_orderkey") % 2 == 0, "click").otherwise("view").alias("key"), F.col("o_custkey").cast("string").alias("member")).distinct()
+
+
+def millis(df):
+    return df.withColumn("at", F.unix_millis("expire_at")).drop("expire_at")
+
+
+for condition, test in ((None, "true"), ("NX", "expire_at IS NULL"), ("XX", "expire_at IS NOT NULL"), ("GT", f"coalesce({AT} > expire_at, false)"), ("LT", f"coalesce({AT} < expire_at, true)")):
+    name = "zexpire_zpexpireat" + (f"_{condition.lower()}" if condition else "")
+    query(name, f"SELECT key, member, score, epoch_us(CASE WHEN q.member IS NOT NULL AND ({test}) THEN {AT} ELSE expire_at END) // 1000 AS at FROM {TTL} t LEFT JOIN {ASKED} q USING (key, member)")(
+        lambda spark, d, condition=condition: millis(z.zexpire(expiring(spark, d), asked(spark, d), instant("2024-01-26 00:00:00"), instant(NOW), condition)[0])
+    )
+    query(name + "_replies", f"SELECT key, member, CASE WHEN t.score IS NULL THEN -2 WHEN {test} THEN 1 ELSE 0 END AS reply FROM {ASKED} q LEFT JOIN {TTL} t USING (key, member)")(
+        lambda spark, d, condition=condition: z.zexpire(expiring(spark, d), asked(spark, d), instant("2024-01-26 00:00:00"), instant(NOW), condition)[1]
+    )
+
+
+@query("zexpire_in_the_past", f"SELECT key, member, score FROM {TTL} t ANTI JOIN {ASKED} q USING (key, member)")
+def _(spark, d):
+    return z.zexpire(expiring(spark, d), asked(spark, d), instant("2024-01-02 00:00:00"), instant(NOW))[0].select("key", "member", "score")
+
+
+LIVE = f"(SELECT * FROM {TTL} WHERE expire_at IS NULL OR expire_at >= TIMESTAMP '{NOW}')"
+
+
+@query("zttl_zpttl", f"SELECT key, member, CASE WHEN t.score IS NULL THEN -2 WHEN expire_at IS NULL THEN -1 ELSE epoch_us(expire_at) // 1000 - epoch_us(TIMESTAMP '{NOW}') // 1000 END AS ttl FROM {ASKED} q LEFT JOIN {LIVE} t USING (key, member)")
+def _(spark, d):
+    return z.zttl(expiring(spark, d), asked(spark, d), instant(NOW))
+
+
+@query("zexpiretime_zpexpiretime", f"SELECT key, member, CASE WHEN t.score IS NULL THEN -2 WHEN expire_at IS NULL THEN -1 ELSE epoch_us(expire_at) // 1000 END AS at FROM {ASKED} q LEFT JOIN {LIVE} t USING (key, member)")
+def _(spark, d):
+    return z.zexpiretime(expiring(spark, d), asked(spark, d), instant(NOW))
+
+
+@query("zpersist", f"SELECT key, member, CASE WHEN t.score IS NULL THEN -2 WHEN expire_at IS NULL THEN -1 ELSE 1 END AS reply FROM {ASKED} q LEFT JOIN {TTL} t USING (key, member)")
+def _(spark, d):
+    return z.zpersist(expiring(spark, d), asked(spark, d))[1]
+
+
+@query("zpersist_state", f"SELECT key, member, score, epoch_us(CASE WHEN q.member IS NULL THEN expire_at END) // 1000 AS at FROM {TTL} t LEFT JOIN {ASKED} q USING (key, member)")
+def _(spark, d):
+    return millis(z.zpersist(expiring(spark, d), asked(spark, d))[0])
+
+
+@query("zcollect", f"SELECT key, member, score FROM {LIVE}")
+def _(spark, d):
+    return z.zcollect(expiring(spark, d), instant(NOW)).select("key", "member", "score")
+
+
+#: Writes to expiring members: of odd users the score that they have, of others their number.
+WRITES = "(SELECT event_id AS seq, event_type AS key, CAST(user_id AS VARCHAR) AS member, CASE WHEN user_id % 2 = 1 THEN CAST(count(*) OVER (PARTITION BY event_type, user_id) AS DOUBLE) ELSE CAST(event_id % 50 AS DOUBLE) END AS score FROM events)"
+
+
+def writes(spark, d):
+    from keelson.sources.keyspace import table
+
+    e = table(spark, d, "events")
+    n = e.groupBy("event_type", "user_id").agg(F.count("*").cast("double").alias("n"))
+    return e.join(n, ["event_type", "user_id"]).select(F.col("event_id").alias("seq"), F.col("event_type").alias("key"), F.col("user_id").cast("string").alias("member"), F.when(F.col("user_id") % 2 == 1, F.col("n")).otherwise((F.col("event_id") % 50).cast("double")).alias("score"))
+
+
+for only, compare, value, counts in (
+    (None, None, "n.last", "true"),
+    (None, "GT", "greatest(o.score, n.hi)", "w.score >= o.score"),
+    (None, "LT", "least(o.score, n.lo)", "w.score <= o.score"),
+    ("NX", None, "coalesce(o.score, n.first)", "w.score = o.score"),
+):
+    name = "zadd_drops_ttl" + (f"_{only.lower()}" if only else "") + (f"_{compare.lower()}" if compare else "")
+    sql = f"""WITH t AS MATERIALIZED (SELECT * FROM {LIVE}), w AS MATERIALIZED (SELECT * FROM {WRITES}),
+        n AS (SELECT key, member, max(score) AS hi, min(score) AS lo, arg_max(score, seq) AS last, arg_min(score, seq) AS first FROM w GROUP BY ALL),
+        touched AS (SELECT DISTINCT w.key, w.member FROM w JOIN t o USING (key, member) WHERE {counts})
+        SELECT key, member, coalesce({value}, o.score) AS score, epoch_us(CASE WHEN (key, member) NOT IN (SELECT (key, member) FROM touched) THEN o.expire_at END) // 1000 AS at FROM t o FULL JOIN n USING (key, member)"""
+    query(name, sql)(lambda spark, d, only=only, compare=compare: millis(z.zadd_expiring(expiring(spark, d), writes(spark, d), instant(NOW), only, compare)))
+
+
+@query("zadd_ch", f"SELECT key, count(*) FILTER (o.score IS NULL) AS added, count(*) FILTER (o.score IS NULL OR greatest(o.score, n.hi) <> o.score) AS changed FROM {SEED} o FULL JOIN (SELECT key, member, max(score) AS hi FROM {UP} GROUP BY ALL) n USING (key, member) GROUP BY key")
+def _(spark, d):
+    return z.zadd_changed(seed(spark, d), updates(spark, d), compare="GT")
+
+
+@query("zadd_incr", f"SELECT max(score) + 2.5 AS score FROM {EV} WHERE key = 'click' AND member = '3'")
 def _(spark, d):
-    return z.zrandmember(a.customers_by_nation(spark, d), -3, 7)
+    return z.zadd_incr(a.users_by_event(spark, d), "click", "3", 2.5, compare="GT")

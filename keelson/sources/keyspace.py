@@ -1,4 +1,4 @@
-"""Keyspace relations: their schemas, the live rows of one, and the op-log that states are folded from.
+"""Keyspace relations: the live rows of one, the op-log that states are folded from, and places in an order.
 
 A keyspace is a set of relations with one row per element: strings, hash fields, list items, set members, scored
 members, bitmap offsets, JSON documents, vectors and ordered fields. A key exists as long as it has rows.
@@ -6,26 +6,13 @@ members, bitmap offsets, JSON documents, vectors and ordered fields. A key exist
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCHEMAS = {
-    "string": "key string, value string, expire_at timestamp, etag long",
-    "hash": "key string, field string, value string, expire_at timestamp",
-    "list": "key string, pos long, value string",
-    "set": "key string, member string",
-    "zset": "key string, member string, score double, expire_at timestamp",
-    "bitmap": "key string, off long",
-    "json": "key string, doc string",
-    "vector": "key string, element string, embedding array<float>, attrs string",
-    "range": "key string, field string, value string",
-    "oplog": "seq long, key string, cmd string, field string, value string, expire_at timestamp",
-}
-
-
-def empty(spark: SparkSession, relation: str) -> DataFrame:
-    return spark.createDataFrame([], SCHEMAS[relation])
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data set. Times without a zone are read as UTC, whatever the session's zone is."""
@@ -59,5 +46,67 @@ def first_of(log: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
     return log.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.col(seq)).alias("r")).select(*keys, "r.*")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one; a cluster's is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='keelson-shared-')}"
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # noqa: BLE001  the session has ended, and with it what could delete the folder
+        return
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as rows written to the shared folder: what is derived from it sees the same rows each time, whatever is lost or
+    run again meanwhile. The folder goes when the program ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/keelson-rows/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(discard, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, keys: list[str], *order: Column, name: str = "idx") -> DataFrame:
+    """df with each row's place, from 0, among the rows of its keys in a total order.
+
+    A key may hold most rows, so this is no window over a key: rows are range-partitioned by keys and order, numbered
+    within a range, and offset by what the key has in the ranges before (a window of one row for each range and key).
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part, count = f"part_{uuid.uuid4().hex}", f"count_{uuid.uuid4().hex}"
+    ranged = kept(df.repartitionByRange(n, *keys, *order).withColumn(part, F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranged.groupBy(part, *keys).agg(F.count("*").alias(count))
+    offsets = sizes.select(part, *keys, F.coalesce(F.sum(count).over(before), F.lit(0)).alias(count))
+    here = ranged.withColumn(name, F.row_number().over(Window.partitionBy(part, *keys).orderBy(*order)))
+    return here.join(offsets, [part, *keys]).select(*df.columns, (F.col(name) + F.col(count) - 1).alias(name))
+
+
+def drawn(seed: int, *cells: str) -> Column:
+    """A draw for each row that doesn't depend on where or how often it is made: its place in a hash of seed and cells."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *cells))
+
+
+def draws(df: DataFrame, keys: list[str], cell: str, count: int, seed: int) -> DataFrame:
+    """count distinct rows of each key at random, or with replacement (a negative count): then row `draw` of -count."""
+    lot = drawn(seed, *keys, cell)
+    if count >= 0:
+        return df.withColumn("lot", F.row_number().over(Window.partitionBy(*keys).orderBy(lot, cell))).where(F.col("lot") <= count).drop("lot")
+    placed = numbered(df, keys, lot, F.col(cell), name="lot")
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("size"))
+    asked = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(-count))))
+    place = F.conv(F.substring(drawn(seed, *keys, "draw"), 1, 8), 16, 10).cast("long") % F.col("size")
+    return asked.withColumn("lot", place).join(placed, [*keys, "lot"]).select("draw", *df.columns)
+
+
 def ranked(df: DataFrame, keys: list[str], *order: Column, name: str = "rn") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

@@ -28,14 +28,28 @@ def compacted(log: DataFrame) -> DataFrame:
     return latest(log, ["key"])
 
 
+def sink(log: DataFrame, path: str, segments: int) -> None:
+    """Append a log (seq, ...) to files: `segments` of them, each a range of seq in order, so that a replay from an address
+    (a seq) skips those before it by their bounds."""
+    log.repartitionByRange(segments, "seq").sortWithinPartitions("seq").write.mode("append").parquet(path)
+
+
+def replay(spark: SparkSession, path: str, start: int = 0, end: int | None = None) -> DataFrame:
+    """The log from one address up to another."""
+    rows = spark.read.parquet(path).where(F.col("seq") >= start)
+    return rows if end is None else rows.where(F.col("seq") < end)
+
+
 def snapshots(log: DataFrame, path: str, checkpoint: str):
-    """A query that merges each batch into a state of one row per key, written as a new version; a batch that is run
-    again writes the same version again, so the result is as if each batch ran once."""
+    """A query that writes what each batch leaves of its keys: work is in proportion to the batch, whatever the state. A
+    batch that is run again overwrites its own folder, so the result is as if each batch ran once."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        compacted(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v{number - 1}") if number else None
-        rows = batch if old is None else old.unionByName(batch)
-        compacted(rows).write.mode("overwrite").parquet(f"{path}/v{number}")
 
-    return log.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+def restored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The state of all batches: the last write of each key, those whose last write is a `del` left out."""
+    return folded(spark.read.schema(schema).parquet(f"{path}/batch=*"))

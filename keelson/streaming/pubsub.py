@@ -35,6 +35,11 @@ def numsub(subscriptions: DataFrame) -> DataFrame:
     return subscriptions.groupBy("channel").agg(F.countDistinct("client").alias("clients"))
 
 
+def numpat(patterns: DataFrame) -> DataFrame:
+    """How many distinct patterns (pattern, client) clients have subscribed to."""
+    return patterns.agg(F.countDistinct("pattern").alias("n"))
+
+
 def channels(subscriptions: DataFrame, pattern: str = "*") -> DataFrame:
     found = subscriptions.select("channel").distinct()
     return found if pattern == "*" else found.where(glob_match(F.col("channel"), pattern))

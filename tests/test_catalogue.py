@@ -13,7 +13,5 @@ def test_matches_sql(spark, name):
     same(QUERIES[name](spark, SF), SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES.keys() - SQL.keys()))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).columns
-    QUERIES[name](spark, SF).write.format("noop").mode("overwrite").save()
+def test_every_query_has_sql():
+    assert QUERIES.keys() == SQL.keys()

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from keelson.functions import jsonpath
 from keelson.functions.filters import compile_filter
 from keelson.functions.glob import glob_to_regex
-from keelson.operators import bits, geo, keys, strings, zsets
+from keelson.operators import bits, geo, keys, lists, ranges, strings, zsets
+from keelson.sources import keyspace
 
 
 def one(spark, column):
@@ -106,3 +107,81 @@ def test_hrandfield_draws_from_every_key(spark):
     found = {r["key"]: r["n"] for r in catalogue.queries()["hrandfield"](spark, SF).groupBy("key").count().withColumnRenamed("count", "n").collect()}
     keys = {r["key"] for r in adapters.order_hash(spark, SF).select("key").distinct().collect()}
     assert found.keys() == keys and set(found.values()) == {2}
+
+
+def test_ranks_of_one_key_that_holds_every_row(spark, monkeypatch):
+    """Rows are dealt evenly, whatever their keys, and ranks and indexes are those of a window."""
+    seen = []
+    kept = keyspace.kept
+    monkeypatch.setattr(keyspace, "kept", lambda df: seen.append(kept(df)) or seen[-1])
+    rows = spark.range(20_000).selectExpr("'hot' AS key", "cast(id AS string) AS member", "cast(id % 7 AS double) AS score", "id AS pos", "id % 3 AS value")
+    few = spark.createDataFrame([("cold", "a", 1.0, 1, 1), ("cold", "b", 0.0, 2, 2)], "key string, member string, score double, pos long, value long")
+    both = rows.union(few)
+    want = sorted(((i % 7, str(i)) for i in range(20_000)))
+    ranked = zsets.zrank(both)
+    assert [r["member"] for r in ranked.where("key = 'hot' AND rank < 5 OR key = 'hot' AND rank IN (9999, 19999)").orderBy("rank").collect()] == [m for _, m in [*want[:5], want[9999], want[19999]]]
+    assert {(r["member"], r["rank"]) for r in ranked.where("key = 'cold'").collect()} == {("b", 0), ("a", 1)}
+    assert [(r["idx"], r["pos"]) for r in lists.lrange(both.select("key", "pos", "value"), 1, -19999).where("key = 'hot'").collect()] == [(1, 1)]
+    for df in seen:
+        sizes = sorted(r["count"] for r in df.groupBy([c for c in df.columns if c.startswith("part_")][0]).count().collect())
+        assert sizes[-1] <= 2 * sizes[len(sizes) // 2]
+
+
+def test_negative_and_mixed_bounds(spark):
+    z = spark.createDataFrame([("k", m, float(i)) for i, m in enumerate("abcdefgh")], "key string, member string, score double")
+    at = lambda df: [(r["rank"], r["member"]) for r in df.orderBy("rank").collect()]
+    assert at(zsets.zrange(z, -3, -2)) == [(5, "f"), (6, "g")] and at(zsets.zrange(z, -2, -1, True)) == [(6, "b"), (7, "a")]
+    assert at(zsets.zrange(z, 2, -4)) == [(2, "c"), (3, "d"), (4, "e")] and at(zsets.zrange(z, -20, -8)) == [(0, "a")] and at(zsets.zrange(z, -1, 3)) == []
+
+
+def test_draws_are_stable(spark):
+    s = spark.range(50).selectExpr("'k' AS key", "cast(id AS string) AS member")
+    from keelson.operators import sets
+
+    once, again = ({r["member"] for r in sets.srandmember(df, 7, 3).collect()} for df in (s, s.repartition(5, "member")))
+    assert once == again and len(once) == 7
+    popped, left = sets.spop(s, 7, 3)
+    assert {r["member"] for r in popped.collect()} | {r["member"] for r in left.collect()} == {str(i) for i in range(50)} and left.count() == 43
+    assert sets.srandmember(s, -60, 3).count() == 60
+
+
+@pytest.mark.parametrize(("a", "b", "text", "found"), [("ohmytext", "mynewtext", "mytext", [((4, 7), (5, 8), 4), ((2, 3), (0, 1), 2)]), ("", "x", "", []), ("abc", "abc", "abc", [((0, 2), (0, 2), 3)])])
+def test_lcs_stretches(spark, a, b, text, found):
+    assert strings.lcs_matches(a, b) == found and strings.lcs_matches(a, b, 4) == [f for f in found if f[2] >= 4]
+    row = strings.lcs(spark.createDataFrame([("k", a, b)], "key string, a string, b string")).first()
+    assert row["lcs"] == text and row["len"] == len(text)
+
+
+def test_fields_are_set(spark):
+    v = F.unhex(F.lit("ff00ff"))
+    after = lambda kind, at, x: one(spark, F.lower(F.hex(bits.set_field(v, kind, at, F.lit(x)))))
+    assert after("u8", 0, 1) == "0100ff" and after("u4", 4, 0) == "f000ff" and after("i8", 12, -1) == "ff0fff" and after("u8", 32, 7) == "ff00ff0007"
+    reply, field = bits.bitfield_incrby(F.unhex(F.lit("7f")), "i8", 0, F.lit(1), "FAIL")
+    assert one(spark, reply) is None and one(spark, bits.field(field, "i8", 0)) == 0
+
+
+def test_slots(spark):
+    assert [one(spark, keys.slot(F.lit(k))) for k in ("123456789", "foo", "{foo}.a", "{}x", "")] == [12739, 12182, 12182, one(spark, keys.slot(F.lit("{}x"))), 0]
+
+
+def test_range_indexes_hold_their_limits(spark):
+    rows = spark.createDataFrame([("k", "a", "1")], "key string, field string, value string")
+    with pytest.raises(ValueError, match="exists"):
+        ranges.create("k", ("k",))
+    with pytest.raises(ValueError, match="on disk"):
+        ranges.ranged(rows, ranges.create("k", backend="MEMORY"), "a", "b")
+    log = spark.createDataFrame([(1, "k", "b" * 9, "2")], "seq long, key string, field string, value string")
+    assert ranges.written(rows, log, ranges.create("k")).count() == 2
+    with pytest.raises(Exception, match="fit the index"):
+        ranges.written(rows, log, ranges.create("k", max_key_len=5)).collect()
+
+
+def test_script_libraries(spark):
+    from keelson.functions import scripts as s
+
+    x = F.lit(0xFFFFFFFF)
+    assert one(spark, s.band(x, F.lit(-1))) == -1 and one(spark, s.bor(F.lit(1), F.lit(6))) == 7 and one(spark, s.bnot(F.lit(0))) == -1
+    assert one(spark, s.lshift(F.lit(1), 31)) == -(1 << 31) and one(spark, s.rshift(F.lit(-1), 28)) == 15 and one(spark, s.arshift(F.lit(-8), 1)) == -4
+    for kind, digits in ((">I4", "000004D2"), ("<I4", "D2040000"), (">i2", "04D2"), ("<I8", "D204000000000000")):
+        assert one(spark, F.hex(s.pack(F.lit(1234), kind))) == digits and one(spark, s.unpack(F.unhex(F.lit(digits)), kind)) == 1234
+    assert one(spark, s.unpack(s.pack(F.lit(-2), ">i4"), ">i4")) == -2 and one(spark, s.decode(F.lit('{"a":3}'), "a int"))["a"] == 3

@@ -1,5 +1,6 @@
 """The streams themselves, driven by files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from keelson.streaming import blocking, oplog, pubsub
@@ -12,9 +13,8 @@ def test_tail_and_snapshots(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(log)
     q = oplog.snapshots(oplog.tail(spark, log, schema, 1), state, str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
-    last = max(int(p.name[1:]) for p in (tmp_path / "state").iterdir())
-    found = spark.read.parquet(f"{state}/v{last}")
-    assert {r["key"]: r["value"] for r in oplog.folded(found).collect()} == {"a": "3"}
+    assert {r["key"]: r["value"] for r in oplog.restored(spark, state, schema).collect()} == {"a": "3"}
+    assert sorted(p.name for p in (tmp_path / "state").iterdir()) == ["batch=0", "batch=1"]
 
 
 def test_windows_with_late_rows(spark, tmp_path):
@@ -28,6 +28,28 @@ def test_windows_with_late_rows(spark, tmp_path):
     assert sorted((r["n"], r["total"]) for r in spark.sql("SELECT * FROM windows").collect()) == [(1, 4.0), (2, 3.0)]
 
 
+REQUESTS = "key string, at long, kind string, client string, value string, score double, timeout_ms long"
+
+
+@pytest.mark.parametrize(("largest", "second"), [(None, "a"), (False, "a"), (True, "c")])
+def test_blocking_pops_as_a_stream(spark, tmp_path, largest, second):
+    """Clients that come first wait over a restart; later ones find what is there; keys don't mix; one's time runs out."""
+    where, cp = str(tmp_path / "in"), str(tmp_path / "cp")
+    rounds = [
+        [("k", 1, "pop", "one", None, None, 0), ("late", 1, "pop", "gone", None, None, 1)],
+        [("k", 2, "push", None, "b", 2.0, 0), ("k", 3, "push", None, "a", 1.0, 0), ("k", 4, "push", None, "c", 3.0, 0), ("other", 5, "push", None, "x", 1.0, 0)],
+        [("k", 6, "pop", "two", None, None, 0), ("late", 7, "push", None, "y", 1.0, 0)],
+    ]
+    got = []
+    for rows in rounds:
+        spark.createDataFrame(rows, REQUESTS).coalesce(1).write.mode("append").parquet(where)
+        stream = blocking.blocking_pops(spark.readStream.schema(REQUESTS).parquet(where), largest)
+        q = stream.writeStream.foreachBatch(lambda batch, _: got.extend(tuple(r) for r in batch.collect())).option("checkpointLocation", cp).trigger(once=True).start()
+        q.awaitTermination(120)
+        assert not q.isActive
+    assert got == [("k", "one", "b"), ("k", "two", second)]  # the first push of all goes to the client that waits
+
+
 class State:
     """A group's state, as the stateful operator sees it."""
 
@@ -48,12 +70,12 @@ class State:
 
 
 def test_blocking_pops_serve_in_turn():
-    """The operator's function alone; the stream around it isn't run here."""
+    """The operator's function alone: of two clients one is served, the other keeps its time."""
     import pandas as pd
 
-    columns, state = ["key", "at", "kind", "client", "value", "timeout_ms"], State()
-    first = pd.DataFrame([("k", 1, "pop", "one", None, 0), ("k", 2, "pop", "two", None, 500), ("k", 3, "push", None, "x", 0)], columns=columns)
-    (out,) = blocking.serve(("k",), iter([first]), state)
+    columns, state = ["key", "at", "kind", "client", "value", "score", "timeout_ms"], State()
+    first = pd.DataFrame([("k", 1, "pop", "one", None, None, 0), ("k", 2, "pop", "two", None, None, 500), ("k", 3, "push", None, "x", None, 0)], columns=columns)
+    (out,) = blocking.serve(None, ("k",), iter([first]), state)
     assert out.values.tolist() == [["k", "one", "x"]] and state.exists and state.timeout == 500
-    (out,) = blocking.serve(("k",), iter([pd.DataFrame([("k", 4, "push", None, "y", 0)], columns=columns)]), state)
+    (out,) = blocking.serve(None, ("k",), iter([pd.DataFrame([("k", 4, "push", None, "y", None, 0)], columns=columns)]), state)
     assert out.values.tolist() == [["k", "two", "y"]] and not state.exists
