@@ -3,6 +3,8 @@ and a top-k that each partition reduces first (TakeOrderedAndProject)."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,24 @@ def vsim_element(v: DataFrame, element: str, **how) -> DataFrame:
     return vsim(v, list(row["embedding"]) if row else [], **how)
 
 
+def quantised(embedding: Column, kind: str) -> Column:
+    """An embedding as a quantiser keeps it: NOQUANT as it is, BIN by its signs, Q8 in 127 steps of its largest component."""
+    if kind == "NOQUANT":
+        return F.transform(embedding, lambda x: x.cast("double"))
+    if kind == "BIN":
+        return F.transform(embedding, lambda x: F.when(x > 0, 1.0).otherwise(-1.0))
+    largest = F.array_max(F.transform(embedding, lambda x: F.abs(x.cast("double"))))
+    return F.transform(embedding, lambda x: F.when(largest == 0, 0.0).otherwise(F.round(x.cast("double") / largest * 127)))
+
+
+def reduced(embedding: Column, dim: int, seed: int = 0) -> Column:
+    """REDUCE: an embedding in fewer dimensions, by a projection on random signs (a hash of seed, row and column), scaled so
+    that lengths are kept on average."""
+    sign = lambda i, j: F.when(F.pmod(F.xxhash64(F.lit(seed), F.lit(i), j), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    row = lambda i: F.aggregate(F.transform(embedding, lambda x, j: x.cast("double") * sign(i, j)), F.lit(0.0), lambda s, x: s + x) / math.sqrt(dim)
+    return F.array(*[row(i) for i in range(dim)])
+
+
 def vadd(v: DataFrame, log: DataFrame) -> DataFrame:
     """The state after adding (seq, key, element, embedding, attrs): the last of an element counts."""
     new = log.groupBy("key", "element").agg(F.max_by(F.struct("embedding", "attrs"), "seq").alias("r")).select("key", "element", "r.*")

@@ -210,3 +210,13 @@ def _(spark, d):
 @query("delifgreater", f"SELECT key, value, etag FROM {STATE} JOIN {GIVEN} USING (key) WHERE given <= etag")
 def _(spark, d):
     return etags.delifgreater(etags.with_etag(log(spark, d)), given(spark, d))
+
+
+@query("setifmatch_ex_noget", f"SELECT key, CASE WHEN given = etag THEN given + 1 ELSE etag END AS etag, CASE WHEN given = etag THEN epoch_us(TIMESTAMP '2024-02-01') // 1000 END AS at, given = etag AS written FROM {STATE} JOIN {GIVEN} USING (key)")
+def _(spark, d):
+    return millis(etags.setifmatch(etags.with_etag(log(spark, d)), given(spark, d), instant("2024-02-01 00:00:00"), noget=True))
+
+
+@query("setifgreater_px", f"SELECT key, CASE WHEN given > etag THEN new ELSE value END AS value, CASE WHEN given > etag THEN given ELSE etag END AS etag, CASE WHEN given > etag THEN epoch_us(TIMESTAMP '2024-02-01') // 1000 END AS at FROM {STATE} JOIN {GIVEN} USING (key)")
+def _(spark, d):
+    return millis(etags.setifgreater(etags.with_etag(log(spark, d)), given(spark, d), instant("2024-02-01 00:00:00")))

@@ -72,6 +72,13 @@ def _(spark, d):
     return v.vismember(a.vectors(spark, d), table(spark, d, "orders").select(F.lit("emb").alias("key"), F.col("o_orderkey").cast("string").alias("element"))).select("element", "found")
 
 
+M = "list_max(list_transform(embedding, lambda x: abs(x::DOUBLE)))"
+for kind, cell in (("Q8", f"CASE WHEN {M} = 0 THEN 0.0 ELSE round(x / m * 127) + 0.0 END"), ("BIN", "CASE WHEN x > 0 THEN 1.0 ELSE -1.0 END")):
+    query(f"vadd_{kind.lower()}", f"SELECT vec_id, pos, CAST({cell.replace(M, 'm')} AS DOUBLE) AS value FROM (SELECT vec_id, {M} AS m, unnest(range(len(embedding))) AS pos, unnest(embedding)::DOUBLE AS x FROM embeddings)")(
+        lambda spark, d, kind=kind: a.vectors(spark, d).select(F.col("element").cast("long").alias("vec_id"), F.posexplode(v.quantised(F.col("embedding"), kind)).alias("pos", "value")).withColumn("pos", F.col("pos").cast("long"))
+    )
+
+
 @query("vlinks", f"SELECT of, element, round(dist, 5) AS dist FROM (SELECT CAST(b.vec_id AS VARCHAR) AS of, CAST(a.vec_id AS VARCHAR) AS element, {L2.replace('q)', 'b.embedding)').replace('(embedding', '(a.embedding')} AS dist, row_number() OVER (PARTITION BY b.vec_id ORDER BY dist, CAST(a.vec_id AS VARCHAR)) AS rn FROM embeddings a, embeddings b WHERE b.vec_id IN (1, 2, 3) AND a.vec_id <> b.vec_id) WHERE rn <= 5")
 def _(spark, d):
     return v.vlinks(a.vectors(spark, d), ["1", "2", "3"]).select("of", "element", F.round("dist", 5).alias("dist"))

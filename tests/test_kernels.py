@@ -185,3 +185,11 @@ def test_script_libraries(spark):
     for kind, digits in ((">I4", "000004D2"), ("<I4", "D2040000"), (">i2", "04D2"), ("<I8", "D204000000000000")):
         assert one(spark, F.hex(s.pack(F.lit(1234), kind))) == digits and one(spark, s.unpack(F.unhex(F.lit(digits)), kind)) == 1234
     assert one(spark, s.unpack(s.pack(F.lit(-2), ">i4"), ">i4")) == -2 and one(spark, s.decode(F.lit('{"a":3}'), "a int"))["a"] == 3
+
+
+def test_projections_keep_lengths(spark):
+    from keelson.operators import vectors
+
+    v = spark.range(60).select(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda j: F.sin(F.col("id") * 7 + j * j).cast("float")).alias("e"))
+    rows = v.select(vectors.dot(F.col("e"), F.col("e")).alias("a"), vectors.reduced(F.col("e"), 40).alias("r")).select("a", "r", vectors.dot(F.col("r"), F.col("r")).alias("b")).collect()
+    assert all(len(r["r"]) == 40 for r in rows) and 0.7 < sum(r["b"] for r in rows) / sum(r["a"] for r in rows) < 1.3
