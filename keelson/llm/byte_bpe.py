@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from keelson.llm.common import as_text, pieces_of, quiet_collector, table, text_rows
+from keelson.llm.common import as_text, hold, pieces_of, quiet_collector, table, text_rows
 from keelson.llm.token_ids import cut_at_spaces
 
 NEVER = 1 << 62
@@ -46,7 +46,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class MergeTransducer:
     """The transducer of one vocabulary. step() reads a byte, end() says what is still to be emitted."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, hold: int = 16):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, hold: int = 4):
         self.ranks, self.max_states, self.hold = ranks, max_states, hold
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
@@ -227,7 +227,7 @@ class Utf8Stream:
 class ByteBpe:
     """Encodes and decodes whole texts; keeps the ids of distinct pieces in a table of bounded size."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, table: int = 700_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, table: int = 450_000):
         import regex
 
         self.find = regex.compile(pattern).findall
@@ -274,12 +274,17 @@ class ByteBpe:
 
 
 @cache
-def coder(path: str, pattern: str) -> ByteBpe:
-    """One for each vocabulary in a Python worker; it outlives the tasks."""
+def made(path: str, pattern: str) -> ByteBpe:
     quiet_collector()
     return ByteBpe(load_ranks(path), pattern)
 
 
+def coder(path: str, pattern: str) -> ByteBpe:
+    """One for each vocabulary in a Python worker; it outlives the tasks until those of another operator begin."""
+    hold(path, made.cache_clear)
+    return made(path, pattern)
+
+
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -287,7 +292,7 @@ def digests(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
         decimal = bpe.decimal.__getitem__
-        for batch in pieces_of(batches, "text", 4 << 20):
+        for batch in pieces_of(batches, "text", 4 << 20, path):
             counts, ids_sha, text_sha = [], [], []
             for text in as_text(batch.column("text")):
                 ids = np.frombuffer(bpe.encode(text), "<u4").tolist()
@@ -308,7 +313,7 @@ def digests(path: str, pattern: str):
 def encoded(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        for batch in pieces_of(batches, "text", 4 << 20):
+        for batch in pieces_of(batches, "text", 4 << 20, path):
             ids = [np.frombuffer(bpe.encode(t), "<u4").astype(np.int32) for t in as_text(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 

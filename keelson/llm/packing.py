@@ -108,7 +108,7 @@ def packer(path: str, end_id: int, capacity: int, slack: float):
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[f.split()[0] for f in PIECES.split(", ")])
 
-        for batch in pieces_of(batches, "text", 4 << 20):
+        for batch in pieces_of(batches, "text", 4 << 20, path):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(as_text(batch.column("text"))), strict=True):
                 ids += end
                 placed(pack.add((doc, ids), len(ids) // 4))

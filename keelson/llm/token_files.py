@@ -160,7 +160,7 @@ def writer(folder: str, tokenizer: str, end_id: int, kind: str, block: int, file
         part, made, rows = task.partitionId(), 0, []
 
         def documents() -> Iterator[tuple[int | None, bytes]]:
-            for batch in pieces_of(batches, "text", 4 << 20):
+            for batch in pieces_of(batches, "text", 4 << 20, tokenizer):
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), encode(as_text(batch.column("text"))), strict=True):
                     yield doc, ids + end
 

@@ -19,10 +19,10 @@ import re
 from functools import cache
 from itertools import islice
 
-from keelson.llm.common import quiet_collector
+from keelson.llm.common import hold, quiet_collector
 
 #: Pieces, and parts of pieces, that a worker keeps. When the table is full, the older three quarters stay: frequent pieces come early.
-TABLE = 1_100_000
+TABLE = 600_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which can begin a contraction
 ODD_BLANKS = re.compile("[\x1c-\x1f\x85]")  # white space to Python, perhaps not to the library
@@ -128,7 +128,12 @@ class PieceEncoder:
 
 
 @cache
-def encoder(path: str) -> PieceEncoder:
-    """One for each tokenizer in a Python worker; it outlives the tasks."""
+def made(path: str) -> PieceEncoder:
     quiet_collector()
     return PieceEncoder(path)
+
+
+def encoder(path: str) -> PieceEncoder:
+    """One for each tokenizer in a Python worker; it outlives the tasks until those of another operator begin."""
+    hold(path, made.cache_clear)
+    return made(path)
