@@ -4,12 +4,14 @@ Writers hide words by look-alike signs (1d10t), spacing (i d i o t, i.d.i.o.t) a
 is what most likely went through that noisy channel: each sign of the observed string gives a lattice of the letters
 it may stand for (itself, a look-alike, nothing, a gap between words), runs of a letter may stand for one or two,
 separators between single letters may stand for nothing or a gap. Trigrams can't tell a sign that ends a word from
-punctuation, so a noisy string is read in three ways (READINGS), and the words of each count. The Viterbi algorithm finds the path with the best product of channel and language
-model. The language model is a character trigram model, counted over all documents given.
+punctuation, so a noisy string is read in three ways (READINGS), and the words of each count. The Viterbi algorithm
+finds the path with the best product of channel and language model. The language model is a character trigram model,
+counted over all documents given.
 
-Only strings that show signs of noise are decoded; other words are what they seem. The score is a logistic regression
-on the words of the restored text and on what they begin with. Which of those count is learnt from labelled documents: at most `sample` of them, the
-first by a hash of the id, each distinct text once, so that copies don't pose as evidence.
+Only strings that show signs of noise are decoded; other words are what they seem. A noisy string of over 64 signs is
+decoded in parts that overlap by half. The score is a logistic regression on the words of
+the restored text and on what they begin with. Which of those count is learnt from labelled documents: at most `sample`
+of them, the first by a hash of the id, each distinct text once, so that copies don't pose as evidence.
 
 Bounds: the trigram table has 28^3 cells, the vocabulary `words` entries, the regression `sample` rows; nothing else
 comes to the driver. The sample's ids are broadcast, `sample` of them at most.
@@ -34,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import as_text, materialise, pieces_of, table, text_rows
+from keelson.llm.common import as_text, materialise, pieces_of, release, table, text_rows
 
 SAMPLE = 20_000
 WORDS = 2_000
 #: Documents that a word must occur in to be learnt.
 LEAST_DOCS = 5
+#: Standard errors that a word's log odds must lie from zero to be learnt: with few labels chance makes many words look strong.
+LEAST_Z = 2.0
 #: Lengths of beginnings of words that count as features of their own: languages inflect and compound.
 STEMS = (5, 7)
 THRESHOLD = 0.3
@@ -63,6 +67,8 @@ NOISY = re.compile(
 #: A piece between blanks that is one letter or sign, but for punctuation around it.
 SINGLE = re.compile(rf"[\"'(\[]*([^\W_]|[{SIGNS}])[\"'.,;:!?)\]]*")
 WORD = re.compile(r"[^\W\d_]+")
+#: A word that no disguise can hide in: letters, with plain punctuation around them and no letter three times in a row.
+SIMPLE = re.compile(r"[\"']*+(?!\w*?(\w)\1\1)([^\W\d_]+)[.,;:?)\"']*+")
 LETTERS = {c: i + 1 for i, c in enumerate("abcdefghijklmnopqrstuvwxyz")}
 OTHER = 27
 SIDE = 28
@@ -170,6 +176,11 @@ def viterbi(observed: str, model: np.ndarray, reading: str = "hidden") -> str:
     return max((score + (model[a, b, 0] if b else 0.0), said) for (a, b), (score, said) in paths.items())[1]
 
 
+def stretches(noisy: str, longest: int = 64) -> list[str]:
+    """A noisy string in parts that are decoded on their own. They overlap by half, so that a word at a seam is whole in one."""
+    return [noisy[i : i + longest] for i in range(0, max(1, len(noisy) - longest // 2), longest // 2)]
+
+
 class Restorer:
     """The words of restored texts, and what longer ones begin with, under one language model.
 
@@ -177,21 +188,20 @@ class Restorer:
     letters in a row are decoded together. wanted: the features that count; all if it is None.
     """
 
-    def __init__(self, model: np.ndarray, wanted: dict[str, float] | None = None, table: int = 300_000):
+    def __init__(self, model: np.ndarray, wanted: dict[str, float] | None = None, table: int = 200_000):
         self.model, self.wanted, self.limit = model, wanted, table
         self.known: dict[str, tuple[str, ...]] = {}
 
     def restore(self, text: str) -> str:
-        """The text with its noisy strings decoded, each stretch of 64 signs on its own: the likeliest words of each reading."""
+        """The text with its noisy strings decoded: the likeliest words of each reading."""
 
         def said(m: re.Match) -> str:
-            parts = [m[0][i : i + 64] for i in range(0, len(m[0]), 64)]
-            return " ".join(dict.fromkeys(viterbi(x, self.model, r) for x in parts for r in READINGS))
+            return " ".join(dict.fromkeys(viterbi(x, self.model, r) for x in stretches(m[0]) for r in READINGS))
 
         return NOISY.sub(said, text)
 
     def of(self, word: str) -> tuple[str, ...]:
-        found = set(WORD.findall(self.restore(word)))
+        found = {m[2]} if (m := SIMPLE.fullmatch(word)) else set(WORD.findall(self.restore(word)))
         found |= {w[:n] + "^" for w in found if len(w) > min(STEMS) for n in STEMS if len(w) > n}
         out = tuple(sorted(found if self.wanted is None else found & self.wanted.keys()))
         if len(word) < 64:
@@ -211,7 +221,7 @@ class Restorer:
                 get = self.known.get
             if found:
                 out.update(found)
-        alone = {i: m[1] for i, w in enumerate(words) if len(w) < 8 and (m := SINGLE.fullmatch(w))}
+        alone = {i: m[1] for i, w in enumerate(words) if len(w) < 8 and (len(w) == 1 or not w.isalpha()) and (m := SINGLE.fullmatch(w))}
         single = list(alone)
         begun = 0
         for k in range(1, len(single) + 1):
@@ -281,13 +291,14 @@ def train(rows: DataFrame, labels: DataFrame, model: np.ndarray, sample: int = S
     odds = F.log((a + 0.5) / (F.lit(t) - a + 0.5)) - F.log((d - a + 0.5) / (F.lit(n - t) - (d - a) + 0.5))
     # log odds in units of their error: strong and well supported words first
     z = odds / F.sqrt(1 / (a + 0.5) + 1 / (d - a + 0.5))
-    best = counts.select("word", z.alias("z")).orderBy(F.desc(F.abs("z")), "word").limit(words).collect()
+    best = counts.select("word", z.alias("z")).where(F.abs("z") >= LEAST_Z).orderBy(F.desc(F.abs("z")), "word").limit(words).collect()
     vocabulary = {r["word"]: i for i, r in enumerate(best)}
-    if not vocabulary:
-        return {}, None
+    if not vocabulary:  # no word tells: the share of toxic ones is all there is to say
+        return {}, float(np.log((t + 0.5) / (n - t + 0.5)))
     wanted = F.broadcast(known.sparkSession.createDataFrame(list(vocabulary.items()), "word string, i int"))  # `words` rows at most
     used = known.select("sha", "toxic", F.explode_outer("words").alias("word")).join(wanted, "word", "left").groupBy("sha", "toxic").agg(F.collect_list("i").alias("x"))
     data = used.orderBy("sha").select("x", "toxic").collect()  # `sample` rows at most, of words' numbers
+    release(known)
     w, b = fitted([r["x"] for r in data], np.array([r["toxic"] for r in data], float), len(vocabulary))
     return {word: float(w[i]) for word, i in vocabulary.items()}, b
 
