@@ -94,3 +94,16 @@ def _(spark, d):
     path = f"{shared_dir(spark)}/keelson-log/{uuid.uuid4().hex}"
     oplog.sink(messages(spark, d).select(F.col("id").alias("seq"), F.col("channel").alias("cmd")), path, 4)
     return oplog.replay(spark, path, 100, 5000)
+
+
+@query("checkpoint_recovery", "SELECT key, cmd, seq FROM (SELECT 'user:' || user_id AS key, arg_max(CASE WHEN event_type = 'error' THEN 'del' ELSE 'set' END, event_id) AS cmd, max(event_id) AS seq FROM events GROUP BY user_id) WHERE cmd <> 'del'")
+def _(spark, d):
+    import uuid
+
+    from keelson.sources.keyspace import shared_dir
+
+    path = f"{shared_dir(spark)}/keelson-log/{uuid.uuid4().hex}"
+    log = messages(spark, d).select(F.col("id").alias("seq"), F.concat(F.lit("user:"), "user_id").alias("key"), F.when(F.col("channel") == "error", "del").otherwise("set").alias("cmd"))
+    for number in (0, 1, 1):  # what a batch leaves, the second run again after it was cut off
+        oplog.checkpointed(log.where(F.col("seq") % 2 == number), path, number)
+    return oplog.restored(spark, path, "seq long, key string, cmd string").select("key", "cmd", "seq")

@@ -40,14 +40,15 @@ def replay(spark: SparkSession, path: str, start: int = 0, end: int | None = Non
     return rows if end is None else rows.where(F.col("seq") < end)
 
 
+def checkpointed(batch: DataFrame, path: str, number: int) -> None:
+    """Write what a batch leaves of its keys; a batch of the same number is written over."""
+    compacted(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def snapshots(log: DataFrame, path: str, checkpoint: str):
     """A query that writes what each batch leaves of its keys: work is in proportion to the batch, whatever the state. A
     batch that is run again overwrites its own folder, so the result is as if each batch ran once."""
-
-    def write(batch: DataFrame, number: int) -> None:
-        compacted(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return log.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return log.writeStream.foreachBatch(lambda batch, number: checkpointed(batch, path, number)).option("checkpointLocation", checkpoint)
 
 
 def restored(spark: SparkSession, path: str, schema: str) -> DataFrame:
