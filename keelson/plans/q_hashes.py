@@ -18,7 +18,8 @@ UNIQUE = f"(SELECT seq, key, field, min(value) AS value FROM {LOG} GROUP BY ALL)
 def log(spark, d):
     field = F.when(F.col("l_linenumber") % 2 == 0, "o_orderstatus").otherwise("flag")
     rows = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("seq"), F.concat(F.lit("order:"), "l_orderkey").alias("key"), field.alias("field"), F.col("l_returnflag").alias("value"))
-    return rows.groupBy("seq", "key", "field").agg(F.min("value").alias("value"))
+    by_field = rows.repartition("key", "field")  # one exchange for this aggregation, that of the last write, and the join
+    return by_field.groupBy("seq", "key", "field").agg(F.min("value").alias("value"))
 
 
 @query("hset", f"SELECT key, field, coalesce(n.value, h.value) AS value FROM {HASH} h FULL JOIN (SELECT key, field, arg_max(value, seq) AS value FROM {UNIQUE} GROUP BY ALL) n USING (key, field)")
