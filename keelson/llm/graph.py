@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keelson.llm.common import materialise
+from keelson.llm.common import materialise, release
 
 
 def pointed(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lowest = large.groupBy("v").agg(F.min("u").alias("m"))
         hung = large.join(lowest, "v")
         small = pointed(hung.select("m", F.explode(F.array("u", "v")).alias("x")), "m", "x")
-        e = materialise(small, "edges")
+        spent, e = e, materialise(small, "edges")
+        release(spent)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keelson.llm.common import as_bytes, materialise, pieces_of, table, text_rows
+from keelson.llm.common import as_bytes, materialise, pieces_of, release, table, text_rows
 from keelson.llm.graph import components
 
 SEED = 42
@@ -200,7 +200,9 @@ def links(prints: DataFrame) -> DataFrame:
     found = materialise(keyed.repartition(n, "key").sortWithinPartitions("key").mapInArrow(bucket_links(HOT), LINKS), "links")
     finer = found.where("kind = 1").mapInArrow(finer_rows, "key long, fp long")
     more = finer.repartition(n, "key").sortWithinPartitions("key").mapInArrow(bucket_links(None), LINKS)
-    return found.where("kind = 0").select("a", "b").union(more.select("a", "b"))
+    out = found.where("kind = 0").select("a", "b").union(more.select("a", "b"))
+    out.read_from = found  # to be released once what is made from it has been written
+    return out
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,7 +212,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def labelled(prints: DataFrame) -> DataFrame:
     """(fp, component_id, label) of the fingerprints of prints (doc_id, fp); ids may repeat or be null, labels tell components apart."""
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    labels = components(links(nodes)).withColumnRenamed("vertex", "fp")
+    near = links(nodes)
+    labels = components(near).withColumnRenamed("vertex", "fp")
+    release(near.read_from)
     known = nodes.join(labels, "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     ids = known.groupBy("label").agg(F.min("first").alias("component_id"))
     return known.join(ids, "label").select("fp", "component_id", "label")
