@@ -96,7 +96,7 @@ def settle(edges: DataFrame, rounds: int = 64) -> DataFrame:
     key = ["conv_id", "call_id"]
     callers = edges.select(*key).distinct()
     fresh = materialise(edges.select("conv_id", F.col("to").alias("call_id")).distinct().join(callers, key, "left_anti").withColumn("level", F.lit(0)), "levels")
-    settled = [fresh]
+    settled, loose = [fresh], []
     # open references: to what, how many levels below it, and how low the call's level can be at least
     left = materialise(edges.select(*key, "to", F.lit(2).alias("step"), F.lit(0).alias("least")), "references")
     while left.limit(1).count():
@@ -108,7 +108,9 @@ def settle(edges: DataFrame, rounds: int = 64) -> DataFrame:
             break
         settled.append(fresh)
         if len(settled) > rounds:
-            settled = [materialise(reduce(DataFrame.union, settled), "levels")]
+            spent, settled = settled, [materialise(reduce(DataFrame.union, settled), "levels")]
+            release(*spent[:-2])  # this round still reads the last ones
+            loose += spent[-2:]
         rest = seen.where("below IS NULL").select(*key, "to", "step").join(state.where("open > 0").select(*key, "least"), key)
         # a reference to a call that waits for one other only is led on to that one
         on = rest.join(state.where("open = 1").select(*key), key, "left_semi").select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("step").alias("more"), F.col("least").alias("base"))
@@ -118,7 +120,9 @@ def settle(edges: DataFrame, rounds: int = 64) -> DataFrame:
     levels = reduce(DataFrame.union, settled)
     after = edges.join(left.select(*key).distinct(), key, "left_semi").join(levels.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"], "left")
     cyclic = after.groupBy(*key).agg(F.coalesce(F.max("level") + 2, F.lit(0)).alias("level"))
-    return materialise(levels.withColumn("cyclic", F.lit(False)).union(cyclic.withColumn("cyclic", F.lit(True))), "levels")
+    out = materialise(levels.withColumn("cyclic", F.lit(False)).union(cyclic.withColumn("cyclic", F.lit(True))), "levels")
+    release(left, *settled, *loose)
+    return out
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, rounds: int = 64) -> DataFrame:
@@ -135,15 +139,17 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, rounds: int =
     # which call an id names, and which result answers it: map-side minima, no group in one place
     named = calls.where("call_id IS NOT NULL AND conv_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "tool", "arguments")).alias("call"))
     answers = results.where("call_id IS NOT NULL AND conv_id IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", F.xxhash64("content").alias("h"))).alias("answer"))
-    both = named.join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "full")
+    both = materialise(named.join(answers.hint("shuffle_hash"), ["conv_id", "call_id"], "full"), "linked")
 
     # references: "$ref" strings within the arguments of calls that count
     refs = F.array_distinct(F.regexp_extract_all("call.arguments", F.lit(r'"\$ref"\s*:\s*"([^"\\]+)"'), F.lit(1)))
-    edges = named.select("conv_id", "call_id", F.explode(refs).alias("to"))
+    edges = both.where("call IS NOT NULL").select("conv_id", "call_id", F.explode(refs).alias("to"))
     answered = both.where("call IS NOT NULL AND answer IS NOT NULL").select("conv_id", F.col("call_id").alias("to"))
     edges = materialise(edges.join(answered.hint("shuffle_hash"), ["conv_id", "to"]), "references")
     levels = settle(edges, rounds)
-    known = both.join(levels.hint("shuffle_hash"), ["conv_id", "call_id"], "left").select("conv_id", "call_id", "call", "answer", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+    release(edges)
+    known = materialise(both.join(levels.hint("shuffle_hash"), ["conv_id", "call_id"], "left").select("conv_id", "call_id", "call", "answer", F.coalesce("level", F.lit(0)).alias("level"), F.coalesce("cyclic", F.lit(False)).alias("cyclic")), "linked")
+    release(both, levels)
 
     # validation: one row per tool with its parameters, which a schema bounds
     facets = [F.col(c).cast(t).alias(c) if c in schemas.columns else F.lit(None).cast(t).alias(c) for c, t in FACETS.items()]
@@ -164,7 +170,9 @@ def link(calls: DataFrame, results: DataFrame, schemas: DataFrame, rounds: int =
     said = json_object({"content": quoted(F.coalesce("content", F.lit(""))), "id": quoted(F.col("call_id")), "role": F.lit('"tool"'), "type": F.lit('"function_result"')})
     level = F.when(F.col("call").isNull(), 0).otherwise(F.coalesce("level", F.lit(0)) + 1)
     result_rows = results.select("conv_id", level.alias("level"), "turn", F.lit("result").alias("kind"), "call_id", F.col("call.tool").alias("tool"), result_status.alias("status"), F.lit(None).cast("boolean").alias("valid"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"), said.alias("json"))
-    return placed(call_rows.union(result_rows))
+    messages = materialise(call_rows.union(result_rows), "messages")  # the ranges' sample reads them, too
+    release(known)
+    return placed(messages)
 
 
 def placed(messages: DataFrame) -> DataFrame:
@@ -178,6 +186,7 @@ def placed(messages: DataFrame) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", "conv_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
     here = Window.partitionBy("part", "conv_id").orderBy(*order[1:])  # a range's rows, a task's worth
+    release(messages)
     joined = ranged.withColumn("rn", F.row_number().over(here)).join(offsets.toDF("p", "c", "offset"), (F.col("part") == F.col("p")) & F.col("conv_id").eqNullSafe(F.col("c")))
     return joined.select("conv_id", (F.col("offset") + F.col("rn") - 1).cast("long").alias("place"), "level", "turn", "kind", "call_id", "tool", "status", "valid", "cyclic", "json")
 

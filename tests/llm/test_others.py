@@ -254,6 +254,27 @@ def test_viterbi_finds_the_best_path(reading):
         assert max(map(score, same_said)) == pytest.approx(score(best)), noisy
 
 
+def test_regression_is_at_its_optimum():
+    """The gradient is zero there, and no step away from it is better."""
+    rng = np.random.default_rng(6)
+    x = [sorted(set(rng.integers(0, 30, rng.integers(0, 9)).tolist())) for _ in range(400)]
+    y = np.array([float(sum(f < 6 for f in row) + rng.random() > 1.5) for row in x])
+    dense = np.zeros((400, 30))
+    for row, features in zip(dense, x, strict=True):
+        row[features] = 1
+
+    def loss(w, b):
+        z = dense @ w + b
+        return np.logaddexp(0, z).sum() - y @ z + 0.5 * w @ w
+
+    w, b = toxicity.fitted(x, y, 30, 1.0)
+    p = 1 / (1 + np.exp(-(dense @ w + b)))
+    assert np.abs(dense.T @ (p - y) + w).max() < 0.05 and abs((p - y).sum()) < 0.05
+    assert all(loss(w + d, b) >= loss(w, b) - 1e-3 for d in rng.normal(0, 0.05, (50, 30)))
+    alone, base = toxicity.fitted([[]] * 10, np.array([1.0] * 3 + [0.0] * 7), 1)
+    assert not alone.any() and base == pytest.approx(np.log(3 / 7), abs=0.05)
+
+
 def test_very_long_texts_and_ties_are_scored(spark):
     name = lambda i: chr(97 + i // 26) + "x" + chr(97 + i % 26)
     docs = [(i, f"{'bad' if i % 2 else 'good'} word {name(i)}") for i in range(80)] + [(100, "good " * 200_000 + "bad"), (101, "b a d " * 50_000), (102, "good"), (102, "good"), (None, "bad")]
