@@ -30,6 +30,8 @@ from keelson.llm.common import as_text, pieces_of, table, text_rows
 from keelson.llm.token_ids import encoder
 
 CAPACITY = 4096
+#: Pieces that a worker keeps: fewer than for token files, as this runs in one process tree with other stages.
+TABLE = 600_000
 #: Share of a bin that equal lengths of a class may leave empty before a length is cut.
 SLACK = 1 / 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -93,7 +95,7 @@ class HarmonicPacker:
 
 def packer(path: str, end_id: int, capacity: int, slack: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = encoder(path, TABLE).encode
         pack = HarmonicPacker(capacity, slack, TaskContext.get().partitionId() << 40)
         end = np.array([end_id], "<u4").tobytes()
         # of a document with an open bin: its id, its length, and the crc of each piece by its start; of cut pieces, the ids

@@ -22,7 +22,7 @@ from itertools import islice
 from keelson.llm.common import hold, quiet_collector
 
 #: Pieces, and parts of pieces, that a worker keeps. When the table is full, the older three quarters stay: frequent pieces come early.
-TABLE = 600_000
+TABLE = 1_100_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 MARKS = r"!-&(-/:-@\[-`{-~"  # ASCII punctuation but the apostrophe, which can begin a contraction
 ODD_BLANKS = re.compile("[\x1c-\x1f\x85]")  # white space to Python, perhaps not to the library
@@ -41,10 +41,15 @@ BLANK_PAIRS = tuple(c + " " for c in " \t\n\x0b\x0c\r")
 RARE_PAIR = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000] ")
 
 
+def plainly_spaced(text: str) -> bool:
+    """Whether no space follows other white space."""
+    return not any(p in text for p in BLANK_PAIRS) and not RARE_PAIR.search(text)
+
+
 def cut_at_spaces(text: str) -> list[str]:
     """The text, cut before each space that follows a character that isn't white space."""
     parts = text.split(" ")
-    if not any(p in text for p in BLANK_PAIRS) and parts[0] and not (RARE_PAIR.search(text)):
+    if parts[0] and plainly_spaced(text):
         return [parts[0], *[" " + p for p in parts[1:]]]
     out: list[str] = []
     joined = parts[0]
@@ -71,8 +76,20 @@ class PieceEncoder:
         #: Whether white space gives tokens: it does unless it is normalised and then left out of the split.
         self.keeps_blanks = json.loads(self.tokenizer.to_str())["normalizer"] is None
         self.limit, self.letters = table, byte_letters()
+        #: Ids of pieces, and parts, that begin with a blank, by what follows it; and of others.
+        self.spaced: dict[str, bytes] = {}
         self.table: dict[str, bytes] = {}
 
+    def known(self, piece: str) -> bytes | None:
+        return self.spaced.get(piece[1:]) if piece[:1] == " " else self.table.get(piece)
+
+    def keep(self, piece: str, ids: bytes) -> bytes:
+        if piece[:1] == " ":
+            self.spaced[piece[1:]] = ids
+        else:
+            self.table[piece] = ids
+        return ids
+
     def split(self, text: str) -> list[str]:
         """The pieces of a text. Those but the first begin with the space that they were cut at, if blanks count."""
         if not self.keeps_blanks:
@@ -91,13 +108,13 @@ class PieceEncoder:
         return [p for p in PARTS.findall(piece) if self.keeps_blanks or p != "\n"]
 
     def part_ids(self, part: str) -> bytes:
-        ids = self.table.get(part)
+        ids = self.known(part)
         if ids is None:
             if part.isascii():
                 letters = part.replace(" ", self.letters[32]).replace("\n", self.letters[10])
             else:
                 letters = "".join(map(self.letters.__getitem__, part.encode()))
-            ids = self.table[part] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
+            ids = self.keep(part, b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)]))
         return ids
 
     def learn(self, missing: set[str]) -> None:
@@ -108,32 +125,54 @@ class PieceEncoder:
             elif parts == [piece]:
                 self.part_ids(parts[0])
             else:
-                self.table[piece] = b"".join(map(self.part_ids, parts))
+                self.keep(piece, b"".join(map(self.part_ids, parts)))
         if rest:
             import numpy as np
 
             for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-                self.table[p] = np.array(e.ids, "<u4").tobytes()
+                self.keep(p, np.array(e.ids, "<u4").tobytes())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.table) > self.limit:
-            self.table = dict(islice(self.table.items(), 3 * self.limit // 4))
-        get = self.table.get
-        split = [self.split(t) for t in texts]
-        found = [list(map(get, parts)) for parts in split]
-        if missing := {p for parts, ids in zip(split, found, strict=True) if None in ids for p, i in zip(parts, ids, strict=True) if i is None}:
+        for name in ("table", "spaced"):
+            if len(kept := getattr(self, name)) > self.limit:
+                setattr(self, name, dict(islice(kept.items(), 3 * self.limit // 4)))
+        get, spaced = self.table.get, self.spaced.get
+        found, open_ = [], []
+        missing: set[str] = set()
+        for text in texts:
+            if self.keeps_blanks and text and text[0] != " " and plainly_spaced(text):
+                # every piece but the first begins with the one blank before it
+                parts = text.split(" ")
+                ids = list(map(spaced, parts))
+                ids[0] = get(parts[0])
+                if None in ids:
+                    at = [k for k, i in enumerate(ids) if i is None]
+                    pieces = [" " + parts[k] if k else parts[0] for k in at]
+            else:
+                parts = self.split(text)
+                ids = list(map(self.known if self.keeps_blanks else get, parts))
+                if None in ids:
+                    at = [k for k, i in enumerate(ids) if i is None]
+                    pieces = [parts[k] for k in at]
+            if None in ids:
+                missing.update(pieces)
+                open_.append((ids, at, pieces))
+            found.append(ids)
+        if missing:
             self.learn(missing)
-            found = [[get(p) if i is None else i for p, i in zip(parts, ids, strict=True)] if None in ids else ids for parts, ids in zip(split, found, strict=True)]
+            for ids, at, pieces in open_:
+                for k, i in zip(at, map(self.known, pieces), strict=True):
+                    ids[k] = i
         return [b"".join(ids) for ids in found]
 
 
 @cache
-def made(path: str) -> PieceEncoder:
+def made(path: str, table: int) -> PieceEncoder:
     quiet_collector()
-    return PieceEncoder(path)
+    return PieceEncoder(path, table)
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, table: int = TABLE) -> PieceEncoder:
     """One for each tokenizer in a Python worker; it outlives the tasks until those of another operator begin."""
     hold(path, made.cache_clear)
-    return made(path)
+    return made(path, table)
