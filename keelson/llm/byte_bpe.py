@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from keelson.llm.common import as_text, hold, pieces_of, quiet_collector, table, text_rows
-from keelson.llm.token_ids import cut_at_spaces
+from keelson.llm.token_ids import cut_at_spaces, plainly_spaced
 
 NEVER = 1 << 62
 
@@ -71,11 +71,16 @@ class MergeTransducer:
     def merged(self, data: bytes) -> list[bytes]:
         """BPE by its definition, for pairs of tokens: join the neighbours of the lowest rank until none is left."""
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            at = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], NEVER))
-            if parts[at] + parts[at + 1] not in self.ranks:
-                break
+        get = self.ranks.get
+        ranks = [get(a + b, NEVER) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (least := min(ranks)) < NEVER:
+            at = ranks.index(least)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = get(parts[at] + parts[at + 1], NEVER)
+            if at:
+                ranks[at - 1] = get(parts[at - 1] + parts[at], NEVER)
         return parts
 
     def stable(self, left: bytes, token: bytes) -> bool:
@@ -138,16 +143,22 @@ class MergeTransducer:
     def walk(self, state: int, rest: bytes) -> bytes:
         """The ids due from a state on, for the last bytes of a piece, without making states."""
         before, chain, tail, starts = self.states[state][0], [*self.chains[state]], self.tails[state], self.starts[state]
-        sound, prefixes, stable = self.sound, self.prefixes, self.stable
+        sound, prefixes, pairs = self.sound, self.prefixes, self.pairs
         begin, tail = len(tail), tail + rest
         for n in range(begin + 1, len(tail) + 1):
+            ahead = []
+            token = None
             for start in starts:
-                token = tail[start:n]
-                if token in sound and ((left := chain[start] if start else before) == b"" or stable(left, token)):
-                    break
+                part = tail[start:n]
+                if token is None and part in sound:
+                    left = chain[start] if start else before
+                    if not left or (fits := pairs.get((left, part))) or (fits is None and self.stable(left, part)):
+                        token = part
+                if part in prefixes:
+                    ahead.append(start)
             chain.append(token)
-            starts = [s for s in starts if tail[s:n] in prefixes]
-            starts.append(n)
+            ahead.append(n)
+            starts = ahead
         return self.end(chain)
 
     def transduce(self, piece: bytes) -> bytes:
@@ -227,14 +238,17 @@ class Utf8Stream:
 class ByteBpe:
     """Encodes and decodes whole texts; keeps the ids of distinct pieces in a table of bounded size."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, table: int = 450_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, table: int = 700_000):
         import regex
 
         self.find = regex.compile(pattern).findall
         self.transducer = MergeTransducer(ranks)
         self.tokens = dict(zip(ranks.values(), ranks.keys(), strict=True))
-        self.decimal = {i: str(i) for i in self.tokens}
+        #: each id in decimal with a comma, as rows of equal width that end in zero bytes
+        self.decimal = np.array([f"{i},".encode() for i in range(max(self.tokens) + 1)])
         self.limit = table
+        #: Ids of pieces that begin with a blank, by what follows it; of others; and of matches of the pattern.
+        self.spaced: dict[str, bytes] = {}
         self.table: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -249,25 +263,37 @@ class ByteBpe:
             out.append(ids)
         ids = b"".join(out)
         if len(piece) < 256:
-            self.table[piece] = ids
+            if piece[:1] == " ":
+                self.spaced[piece[1:]] = ids
+            else:
+                self.table[piece] = ids
         return ids
 
+    def known(self, piece: str) -> bytes | None:
+        return self.spaced.get(piece[1:]) if piece[:1] == " " else self.table.get(piece)
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        for name in ("table", "parts"):
+        for name in ("table", "spaced", "parts"):
             if len(kept := getattr(self, name)) > self.limit:
                 setattr(self, name, dict(islice(kept.items(), self.limit // 2)))
-        pieces = cut_at_spaces(text)
-        found = list(map(self.table.get, pieces))
-        if None in found:
-            get, learn = self.table.get, self.learn
-            found = [ids if ids is not None else get(p) or learn(p) for p, ids in zip(pieces, found, strict=True)]
+        if text and text[0] != " " and plainly_spaced(text):
+            # every piece but the first begins with the one blank before it
+            pieces = text.split(" ")
+            found = list(map(self.spaced.get, pieces))
+            found[0] = self.table.get(pieces[0])
+            if None in found:
+                get, learn = self.spaced.get, self.learn
+                for k in [k for k, ids in enumerate(found) if ids is None]:
+                    found[k] = (get(pieces[k]) if k else None) or learn(" " + pieces[k] if k else pieces[k])
+        else:
+            found = [self.known(p) or self.learn(p) for p in cut_at_spaces(text)]
         return b"".join(found)
 
     def decode(self, ids: Iterable[int], block: int = 1 << 16) -> Iterator[bytes]:
         """The text's bytes in blocks that end at whole characters."""
         stream, get = Utf8Stream(), self.tokens.__getitem__
-        ids = list(ids)
+        ids = ids if isinstance(ids, list) else list(ids)
         for i in range(0, len(ids), block):
             yield stream.feed(b"".join(map(get, ids[i : i + block])))
         yield stream.finish()
@@ -291,15 +317,15 @@ CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def digests(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path, pattern)
-        decimal = bpe.decimal.__getitem__
         for batch in pieces_of(batches, "text", 4 << 20, path):
             counts, ids_sha, text_sha = [], [], []
             for text in as_text(batch.column("text")):
-                ids = np.frombuffer(bpe.encode(text), "<u4").tolist()
+                ids = np.frombuffer(bpe.encode(text), "<u4")
                 counts.append(len(ids))
-                ids_sha.append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest())
+                listed = bpe.decimal[ids].tobytes().translate(None, b"\0")
+                ids_sha.append(hashlib.sha256(listed[:-1]).hexdigest())
                 decoded = hashlib.sha256()
-                for block in bpe.decode(ids):
+                for block in bpe.decode(ids.tolist()):
                     decoded.update(block)
                 text_sha.append(decoded.hexdigest())
             yield pa.RecordBatch.from_arrays(
