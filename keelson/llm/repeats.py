@@ -13,9 +13,9 @@ the suffixes of a large corpus byte by byte would move each byte dozens of times
    number M of phrases from it on that occur in the same order elsewhere.
 3. A place p starts a repeat for certain if the match of a phrase that begins at p + LEFT at the latest reaches
    p + span. It can't if the phrases well inside of p .. p + span don't match elsewhere. What is left, a few dozen
-   places at the ends of each match, is open: each is decided by the count of a 128-bit hash of its span bytes, among
-   open places and those certain ones whose first letter inside is one of an open place's (one of each set of texts
-   that agree there).
+   places at the ends of each match, is open: each is decided by the count of its span bytes (of the first 128 bits of
+   their SHA-256) among open places and those certain ones whose first letter inside is one of an open place's (one of
+   each set of texts that agree there).
 
 Several spans can be judged in one go; the shortest sets the window. Numbers travel in packets (see `packets`): a
 letter that occurs again within a task's texts is known to repeat, so a task sends each letter once to be counted, and
@@ -89,7 +89,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 with np.errstate(over="ignore"):
     BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * ODD)
-    SECOND = mixed(np.arange(1001, 1257, dtype=np.uint64) * ODD)
 SHORT = (BYTE >> U(32)).astype(np.uint32)
 BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 POWERS: dict[str, np.ndarray] = {}
@@ -110,11 +109,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Hashes:
     """64-bit hashes of any byte ranges of a text, from prefix sums of byte * ODD^-place."""
 
-    def __init__(self, text: np.ndarray, values: np.ndarray = BYTE):
+    def __init__(self, text: np.ndarray):
         self.up, down = powers(len(text) + 1)
         self.sums = np.zeros(len(text) + 1, np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(np.take(values, text) * down[: len(text)], out=self.sums[1:])
+            np.cumsum(np.take(BYTE, text) * down[: len(text)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -583,22 +582,13 @@ def texts_read(wanted) -> Callable:
     return run
 
 
-def place_hashes(text: np.ndarray, runs: list[np.ndarray], spans: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(number of the span, places, and two hashes of the span from each of them) for low .. high of each span."""
-    short = [Hashes(text, values) for values in (BYTE, SECOND)] if len(text) <= 2 * STRETCH else None
-    for tag, span in enumerate(spans):
-        low, high = runs[2 * tag], runs[2 * tag + 1]
-        if short is None:
-            order = np.argsort(low, kind="stable")
-            low, high = low[order], high[order]
-        for i, j in [(0, len(low))] if short and len(low) else stretches(low, high):
-            n = high[i:j] - low[i:j] + 1
-            places = np.repeat(low[i:j] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            if short:
-                yield tag, places, *(h.of(places, places + span).view(np.int64) for h in short)
-            else:
-                first, stop = int(low[i]), int(high[i:j].max()) + span
-                yield tag, places, *(Hashes(text[first:stop], values).of(places - first, places - first + span).view(np.int64) for values in (BYTE, SECOND))
+def place_hashes(text: bytes, low: np.ndarray, high: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, the first 128 bits of the SHA-256 of the span from each of them, as two numbers) for runs of places."""
+    n = high - low + 1
+    places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    sha = hashlib.sha256
+    digests = b"".join([sha(text[p : p + span]).digest() for p in places.tolist()])
+    return places, np.frombuffer(digests, np.int64).reshape(-1, 4)[:, :2]
 
 
 def deal_hashes(spans: list[int], n: int) -> Callable:
@@ -622,12 +612,14 @@ def deal_hashes(spans: list[int], n: int) -> Callable:
                             yield k, 0, HASHED, tag, j - i, np.concatenate((one[at], two[at])).tobytes(), owners_cell(owner[at]), place[at].tobytes()
 
         for sha, text, rid, copied, certain, hashed in rows:
-            data, runs = np.frombuffer(text, np.uint8), got(hashed)
-            for tag, place, one, two in place_hashes(data, runs, spans):
-                held[tag].append((np.full(len(place), rid), place, one, two))
-                size += len(place)
+            data, runs = bytes(text), got(hashed)
+            for tag, span in enumerate(spans):
+                place, both = place_hashes(data, runs[2 * tag], runs[2 * tag + 1], span)
+                if len(place):
+                    held[tag].append((np.full(len(place), rid), place, both[:, 0].copy(), both[:, 1].copy()))
+                    size += len(place)
             if not copied:
-                yield rid % n, rid, TEXT, 0, len(text), bytes(text), bytes(certain), bytes(sha)
+                yield rid % n, rid, TEXT, 0, len(data), data, bytes(certain), bytes(sha)
             if size >= GATHERED:
                 yield from out()
                 size = 0
@@ -744,16 +736,19 @@ def marked(rows: DataFrame, spans: list[int], judge: Callable, schema: str, type
     entries = mapped(dealt(letters, n), repeated_letters(n)).union(later)
     segments = materialise(tabled(dealt(entries, n), segment_rows, SEGMENTS, [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]), "segments")
     free_shuffles(spark)
-    kinds = segments.groupBy("seg").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("lead"))  # fixed width: hashed, combined map-side
+    # one row for each segment, written, so that Spark can split the other side of a join where one segment has most rows
+    kinds = materialise(segments.groupBy("seg").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("lead")), "kinds")
     leads = F.struct("rid", "place") == F.col("lead")
     firsts = segments.join(kinds, "seg").where(leads).select("seg", "letters", "sizes", "least")
     found = matches(firsts, max(spans) - margins(window)[1], n)  # a phrase that begins at p or later needs no more
+    known = materialise(kinds.join(found, "seg"), "kinds")
+    release(kinds, found)
     cell = lambda c: F.col(c).cast("binary")
     number = F.when(F.col("n") > 1, 2).otherwise(0) + F.when(leads, 1).otherwise(0)
-    of_segments = segments.join(kinds, "seg").join(found, "seg").select(home, F.col("rid").alias("id"), F.lit(SEGMENT).alias("kind"), F.col("place").alias("part"), number.cast("long").alias("n"), cell("letters").alias("a"), cell("m").alias("b"), cell("prev").alias("c"))
+    of_segments = segments.join(known, "seg").select(home, F.col("rid").alias("id"), F.lit(SEGMENT).alias("kind"), F.col("place").alias("part"), number.cast("long").alias("n"), cell("letters").alias("a"), cell("m").alias("b"), cell("prev").alias("c"))
     of_texts = parsed_.where("letters IS NOT NULL").select("rid", "sizes").join(light.where("NOT later"), "rid").select(home, F.col("rid").alias("id"), F.lit(TEXT).alias("kind"), F.when(F.col("copies") > 1, 1).otherwise(0).alias("part"), F.col("n_bytes").alias("n"), cell("sha").alias("a"), cell("sizes").alias("b"), F.lit(None).cast("binary").alias("c"))
     places = materialise(mapped(dealt(of_segments.union(of_texts), n), to_places(spans, window, n)), "places")
-    release(parsed_, segments, found)
+    release(parsed_, segments, known)
     wanted = mapped(dealt(places.where(F.col("kind").isin(LEADER, ASKED)), n), wanted_leaders(n))
     candidates = materialise(tabled(dealt(places.where(F.col("kind") == PLACES).union(wanted), n), candidates_of(len(spans)), CANDIDATES, [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]), "candidates")
     release(places)
