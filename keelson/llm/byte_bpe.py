@@ -35,6 +35,9 @@ from keelson.llm.common import as_text, hold, pieces_of, quiet_collector, table,
 from keelson.llm.token_ids import cut_at_spaces, plainly_spaced
 
 NEVER = 1 << 62
+SOUND, OPEN = 1, 2
+#: Signs from which a piece isn't kept for other texts.
+LONG = 256
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,10 +51,12 @@ class MergeTransducer:
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, hold: int = 4):
         self.ranks, self.max_states, self.hold = ranks, max_states, hold
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
+        prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
         self.pairs: dict[tuple[bytes, bytes], bool] = {}
         #: tokens that merging their own bytes gives; another can only be a whole match
-        self.sound = {t for t in ranks if len(t) == 1 or self.merged(t) == [t]}
+        sound = {t for t in ranks if len(t) == 1 or self.merged(t) == [t]}
+        #: of each string of bytes that is such a token, or that some token begins with: SOUND, OPEN or both
+        self.kinds = {t: (t in sound) * SOUND + (t in prefixes) * OPEN for t in sound | prefixes}
         self.code = {t: i.to_bytes(4, "little") for t, i in ranks.items()}
         self.once: set[int] = set()
         self.reset()
@@ -96,12 +101,14 @@ class MergeTransducer:
         """The transition by byte, made anew."""
         before, chain, tail = self.states[state][0], self.chains[state], self.tails[state] + bytes((byte,))
         n = len(tail)
+        starts, token, kinds = [], None, self.kinds
         for start in self.starts[state]:  # the longest first
-            token = tail[start:]
-            if token in self.sound and ((left := chain[start] if start else before) == b"" or self.stable(left, token)):
-                break
-        prefixes = self.prefixes
-        starts = [s for s in self.starts[state] if tail[s:] in prefixes]
+            part = tail[start:]
+            kind = kinds.get(part, 0)
+            if token is None and kind & SOUND and ((left := chain[start] if start else before) == b"" or self.stable(left, part)):
+                token = part
+            if kind & OPEN:
+                starts.append(start)
         starts.append(n)
         chain = [*chain, token]
         final, out = 0, []
@@ -143,19 +150,21 @@ class MergeTransducer:
     def walk(self, state: int, rest: bytes) -> bytes:
         """The ids due from a state on, for the last bytes of a piece, without making states."""
         before, chain, tail, starts = self.states[state][0], [*self.chains[state]], self.tails[state], self.starts[state]
-        sound, prefixes, pairs = self.sound, self.prefixes, self.pairs
+        kinds, pairs = self.kinds.get, self.pairs
         begin, tail = len(tail), tail + rest
         for n in range(begin + 1, len(tail) + 1):
             ahead = []
             token = None
             for start in starts:
                 part = tail[start:n]
-                if token is None and part in sound:
-                    left = chain[start] if start else before
-                    if not left or (fits := pairs.get((left, part))) or (fits is None and self.stable(left, part)):
-                        token = part
-                if part in prefixes:
-                    ahead.append(start)
+                kind = kinds(part)
+                if kind:
+                    if token is None and kind & SOUND:
+                        left = chain[start] if start else before
+                        if not left or (fits := pairs.get((left, part))) or (fits is None and self.stable(left, part)):
+                            token = part
+                    if kind & OPEN:
+                        ahead.append(start)
             chain.append(token)
             ahead.append(n)
             starts = ahead
@@ -251,25 +260,46 @@ class ByteBpe:
         self.spaced: dict[str, bytes] = {}
         self.table: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
-
-    def learn(self, piece: str) -> bytes:
-        out, parts = [], self.parts
-        for part in self.find(piece):
-            ids = parts.get(part)
-            if ids is None:
-                ids = self.transducer.transduce(part.encode("utf-8", "replace"))
-                if len(part) < 64:
-                    parts[part] = ids
-            out.append(ids)
-        ids = b"".join(out)
-        if len(piece) < 256:
-            if piece[:1] == " ":
-                self.spaced[piece[1:]] = ids
-            else:
-                self.table[piece] = ids
+        #: Of pieces too long to be kept, for the text at hand.
+        self.long: dict[str, bytes] = {}
+
+    def learn(self, pieces: list[str]) -> None:
+        """The ids of new pieces. The pattern runs over all of them at once: no match spans their seams."""
+        matches = self.find("".join(pieces))
+        if sum(map(len, matches)) != sum(map(len, pieces)):  # the pattern leaves signs out
+            for p in pieces:
+                self.keep(p, b"".join(map(self.part_ids, self.find(p))))
+            return
+        at = 0
+        for p in pieces:
+            part = matches[at]
+            at += 1
+            ids, rest = self.part_ids(part), len(p) - len(part)
+            while rest:
+                part = matches[at]
+                at += 1
+                ids, rest = ids + self.part_ids(part), rest - len(part)
+            self.keep(p, ids)
+
+    def part_ids(self, part: str) -> bytes:
+        ids = self.parts.get(part)
+        if ids is None:
+            ids = self.transducer.transduce(part.encode("utf-8", "replace"))
+            if len(part) < 64:
+                self.parts[part] = ids
         return ids
 
+    def keep(self, piece: str, ids: bytes) -> None:
+        if len(piece) >= LONG:
+            self.long[piece] = ids
+        elif piece[:1] == " ":
+            self.spaced[piece[1:]] = ids
+        else:
+            self.table[piece] = ids
+
     def known(self, piece: str) -> bytes | None:
+        if len(piece) >= LONG:
+            return self.long.get(piece)
         return self.spaced.get(piece[1:]) if piece[:1] == " " else self.table.get(piece)
 
     def encode(self, text: str) -> bytes:
@@ -283,11 +313,17 @@ class ByteBpe:
             found = list(map(self.spaced.get, pieces))
             found[0] = self.table.get(pieces[0])
             if None in found:
-                get, learn = self.spaced.get, self.learn
-                for k in [k for k, ids in enumerate(found) if ids is None]:
-                    found[k] = (get(pieces[k]) if k else None) or learn(" " + pieces[k] if k else pieces[k])
+                at = [k for k, ids in enumerate(found) if ids is None]
+                self.learn(list(dict.fromkeys(" " + pieces[k] if k else pieces[k] for k in at)))
+                for k in at:
+                    found[k] = self.known(" " + pieces[k] if k else pieces[k])
         else:
-            found = [self.known(p) or self.learn(p) for p in cut_at_spaces(text)]
+            pieces = cut_at_spaces(text)
+            for p in dict.fromkeys(pieces):
+                if p and self.known(p) is None:
+                    self.learn([p])
+            found = [self.known(p) for p in pieces if p]
+        self.long.clear()
         return b"".join(found)
 
     def decode(self, ids: Iterable[int], block: int = 1 << 16) -> Iterator[bytes]:
