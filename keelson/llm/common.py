@@ -113,8 +113,16 @@ def quiet_collector() -> None:
     gc.set_threshold(200_000, 50, 1000)
 
 
+#: Rows with texts in an Arrow batch.
+TEXTS = 2_000
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Two columns, `doc_id` and `text`, whatever else docs holds; clashing extra columns go."""
+    """Two columns, `doc_id` and `text`, whatever else docs holds; clashing extra columns go. Rows that hold texts are large:
+    the session's Arrow batches have TEXTS of them at most from here on, so that executors needn't hold more off the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(name)) <= TEXTS:
+        docs.sparkSession.conf.set(name, str(TEXTS))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 

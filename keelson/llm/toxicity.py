@@ -188,7 +188,7 @@ class Restorer:
     letters in a row are decoded together. wanted: the features that count; all if it is None.
     """
 
-    def __init__(self, model: np.ndarray, wanted: dict[str, float] | None = None, table: int = 200_000):
+    def __init__(self, model: np.ndarray, wanted: dict[str, float] | None = None, table: int = 150_000):
         self.model, self.wanted, self.limit = model, wanted, table
         self.known: dict[str, tuple[str, ...]] = {}
 
