@@ -18,14 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folders of local sessions for which none is set, by application.
+LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets one; a cluster's is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        path = f"file://{tempfile.mkdtemp(prefix='keelson-shared-')}"  # driver and executor are one process here
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in LOCAL:
+            LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='keelson-shared-')}"  # driver and executor are one process here
+        path = LOCAL[app]
     return path.rstrip("/")
 
 
