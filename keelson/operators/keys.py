@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keelson.functions.glob import glob_match
+from keelson.sources.keyspace import discard, kept
 
 
 def delete(ks: DataFrame, gone: DataFrame) -> DataFrame:
@@ -43,13 +44,35 @@ def ttl_ms(now: Column) -> Column:
 
 
 def rename(ks: DataFrame, pairs: DataFrame, only_new: bool = False) -> DataFrame:
-    """The state after renaming pairs (key, new): the target's old rows go, unless only_new protects them."""
-    moves = pairs.join(ks.select("key").distinct(), "key", "left_semi")
-    if only_new:
-        moves = moves.join(ks.select(F.col("key").alias("new")).distinct(), "new", "left_anti")
-    kept = ks.join(moves.select(F.col("new").alias("key")), "key", "left_anti")
+    """The state after renaming pairs (key, new) at once: the target's old rows go, unless only_new protects them."""
+    moves = granted(ks, pairs) if only_new else pairs.join(ks.select("key").distinct(), "key", "left_semi")
+    stay = ks.join(moves.select(F.col("new").alias("key")), "key", "left_anti")
     moved = ks.join(moves, "key").select(F.col("new").alias("key"), *[c for c in ks.columns if c != "key"])
-    return kept.join(moves.select("key"), "key", "left_anti").select(*ks.columns).union(moved.select(*ks.columns))
+    return stay.join(moves.select("key"), "key", "left_anti").select(*ks.columns).union(moved.select(*ks.columns))
+
+
+def granted(ks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (key, new) whose target is free: not there, or moved away by another of the pairs that are granted. Of a
+    key's pairs, then of those to a target, the first counts. Pairs in a ring wait for one another: none is granted.
+
+    A pair whose target is moved itself waits for that pair's answer. Each round doubles how far it looks ahead, so
+    rounds grow with the logarithm of the longest chain; what still waits after a round without answers is a ring.
+    """
+    there = ks.select("key").distinct()
+    first = pairs.join(there, "key", "left_semi").groupBy("key").agg(F.min("new").alias("new")).groupBy("new").agg(F.min("key").alias("key"))
+    marked = lambda keys, name: keys.select(F.col("key").alias("new"), F.lit(True).alias(name))
+    goes = F.when(F.col("taken").isNull(), True).when(F.col("leaves").isNull(), False)
+    state = kept(first.join(marked(there, "taken"), "new", "left").join(marked(first, "leaves"), "new", "left").select("key", "new", F.col("new").alias("ahead"), goes.alias("goes")))
+    waiting = state.where("goes IS NULL").count()
+    while waiting:
+        answers = state.select(F.col("key").alias("ahead"), F.col("ahead").alias("further"), F.col("goes").alias("answer"))
+        told = state.where("goes IS NULL").join(answers, "ahead").select("key", "new", F.col("further").alias("ahead"), F.col("answer").alias("goes"))
+        spent, state = state, kept(state.where("goes IS NOT NULL").union(told))
+        discard(ks.sparkSession, spent.written_at)
+        before, waiting = waiting, state.where("goes IS NULL").count()
+        if waiting == before:
+            break
+    return state.where("goes").select("key", "new")
 
 
 def keys(ks: DataFrame, pattern: str) -> DataFrame:

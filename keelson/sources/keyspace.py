@@ -73,12 +73,14 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def kept(df: DataFrame) -> DataFrame:
     """df as rows written to the shared folder: what is derived from it sees the same rows each time, whatever is lost or
-    run again meanwhile. The folder goes when the program ends."""
+    run again meanwhile. The folder (`written_at`) goes when the program ends, if not before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/keelson-rows/{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(discard, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def numbered(df: DataFrame, keys: list[str], *order: Column, name: str = "idx") -> DataFrame:

@@ -220,3 +220,48 @@ def test_pfadd_sees_each_register(spark):
     states = keyed(many.crossJoin(old.select("value")))
     changed = bits.pfadd_changed(states, many.select(F.col("id").alias("key"), F.col("id").alias("value"))).where("changed").collect()
     assert {r["key"] for r in changed} == higher
+
+
+def renamed_in_turn(state: dict, pairs: list) -> dict:
+    """RENAMENX, pair by pair and over again, until none finds its target free."""
+    state, left, found = dict(state), sorted(pairs), True
+    while found:
+        found = next(((a, b) for a, b in left if a in state and b not in state), None)
+        if found:
+            state[found[1]] = state.pop(found[0])
+            left.remove(found)
+    return state
+
+
+@pytest.mark.parametrize(
+    "pairs",
+    [
+        [("a", "b"), ("b", "z")],  # b is free once it has moved
+        [("b", "a"), ("a", "z")],
+        [("a", "b"), ("b", "c")],  # c stays, so both do
+        [("a", "a"), ("b", "a")],
+        [("a", "b"), ("b", "c"), ("c", "a"), ("d", "z")],  # a ring
+        [("a", "z"), ("b", "z"), ("c", "b")],  # one of two gets the target
+        [("a", "z"), ("a", "z")],
+        [(chr(97 + i), chr(98 + i)) for i in range(11)],  # a chain of eleven
+        [(chr(97 + i), chr(98 + i)) for i in range(11)][::-1] + [("l", "c")],
+        [("x", "y")],
+    ],
+)
+def test_renamenx_as_in_turn(spark, pairs):
+    held = {chr(97 + i): str(i) for i in range(12)} if len(pairs) > 10 else {k: k.upper() for k in "abcd"}
+    if len(pairs) == 11:
+        del held["l"]
+    ks = spark.createDataFrame(list(held.items()), "key string, value string")
+    found = keys.rename(ks, spark.createDataFrame(pairs, "key string, new string"), only_new=True).collect()
+    assert sorted(map(tuple, found)) == sorted(renamed_in_turn(held, list(dict.fromkeys(pairs))).items())
+
+
+def test_renamenx_of_keys_that_leave(spark, tmp_path):
+    from keelson.plans import catalogue
+    from tests.oracle import same
+
+    parts = [(i, f"part {i}") for i in (0, 1, 2, 11, 21, 31, 1000011, 1000031, 2000011)]  # 11 moves to where 1000011 leaves
+    path = f"{tmp_path}/part.parquet"
+    spark.createDataFrame(parts, "p_partkey long, p_name string").toPandas().to_parquet(path)
+    same(catalogue.queries()["renamenx"](spark, str(tmp_path)), catalogue.oracle_sql()["renamenx"], str(tmp_path))
